@@ -28,7 +28,7 @@ def content_hash(t: Tables) -> DataFrame:
     """SELECT doc_id,
       'kdoc_' || substr(sha1(source || '/' || doc_id), 1, 20) AS document_key,
       'kchunk_' || substr(sha1('kdoc_' || substr(sha1(source || '/' || doc_id), 1, 20) || ':0:' || text), 1, 20) AS chunk_key,
-      'pref_' || substr(sha256(concat_ws(chr(10), lang, source, text)), 1, 20) AS sample_key
+      'pref_' || substr(sha256(concat_ws('|', lang, source, text)), 1, 24) AS sample_key
     FROM documents""",
 )
 def stable_ids(t: Tables) -> DataFrame:
@@ -38,7 +38,7 @@ def stable_ids(t: Tables) -> DataFrame:
         "doc_id",
         doc.alias("document_key"),
         tx.stable_id("kchunk_", 20, doc, F.lit("0"), F.col("text")).alias("chunk_key"),
-        tx.stable_id("pref_", 20, F.col("lang"), F.col("source"), F.col("text"), sep="\n", digest="sha256").alias(
+        tx.stable_id("pref_", 24, F.col("lang"), F.col("source"), F.col("text"), sep="|", digest="sha256").alias(
             "sample_key"
         ),
     )

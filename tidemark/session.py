@@ -19,6 +19,7 @@ def build_session(app: str = "tidemark", cores: str = "*", shuffle_partitions: i
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -50,3 +51,20 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy per-row work on a table that arrives in few splits.
+
+    A large table already has more splits than cores, and then nothing moves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)
+
+
+def small_rows(df: DataFrame, limit: int):
+    """All rows as pandas when there are at most `limit`, else None. Reads limit + 1 rows at most."""
+    rows = df.limit(limit + 1).toPandas()
+    return rows if len(rows) <= limit else None
