@@ -24,6 +24,11 @@ QUERY_STOPWORDS = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(col: Column) -> Column:
     """Remove Unicode white space at both ends."""
     return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+\\z", "")

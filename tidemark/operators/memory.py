@@ -57,26 +57,30 @@ def explode_source_refs(df: DataFrame, ref: str = "source_ref") -> DataFrame:
 
 def parse_event_time(col: Column, zone: str = LOCAL_ZONE) -> Column:
     """UTC time of ISO text; a time without a zone is local to `zone`. Bad text gives null."""
-    text = tx.strip(F.coalesce(col, F.lit("")))
-    day = F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}$"))
-    shape = F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$"))
-    zoned = F.rlike(text, F.lit(r"[T ]\d{2}.*(Z|[+-]\d{2}:?\d{2})$"))
-    with_zone = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, "Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2"))
-    naive = F.to_utc_timestamp(F.try_to_timestamp(text), zone)
-    return F.when(day | (shape & ~zoned), naive).when(shape, with_zone)
+
+    def parsed(text: Column) -> Column:
+        day = F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}$"))
+        shape = F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$"))
+        zoned = F.rlike(text, F.lit(r"[T ]\d{2}.*(Z|[+-]\d{2}:?\d{2})$"))
+        spelled = F.regexp_replace(F.regexp_replace(text, "Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+        naive = F.to_utc_timestamp(F.try_to_timestamp(text), zone)
+        return F.when(day | (shape & ~zoned), naive).when(shape, F.try_to_timestamp(spelled))
+
+    return tx.let(tx.strip(F.coalesce(col, F.lit(""))), parsed)
 
 
 def summary_time(summary: Column) -> Column:
     """ISO local time from a `[YYYY-MM-DD HH:MM[:SS]]` prefix, else null."""
     pattern = r"^\[(\d{4}-\d{2}-\d{2})(?:[ T](\d{2}):(\d{2})(?::(\d{2}))?)?\]"
-    text = tx.strip(F.coalesce(summary, F.lit("")))
 
-    def piece(i: int) -> Column:
-        value = F.regexp_extract(text, pattern, i)
-        return F.when(value == "", "00").otherwise(value)
+    def built(text: Column) -> Column:
+        def piece(i: int) -> Column:
+            return F.coalesce(F.nullif(F.regexp_extract(text, pattern, i), F.lit("")), F.lit("00"))
 
-    built = F.concat(F.regexp_extract(text, pattern, 1), F.lit("T"), piece(2), F.lit(":"), piece(3), F.lit(":"), piece(4))
-    return F.when(F.rlike(text, F.lit(pattern)), built)
+        parts = F.concat(F.regexp_extract(text, pattern, 1), F.lit("T"), piece(2), F.lit(":"), piece(3), F.lit(":"), piece(4))
+        return F.when(F.rlike(text, F.lit(pattern)), parts)
+
+    return tx.let(tx.strip(F.coalesce(summary, F.lit(""))), built)
 
 
 def time_bounds(text: str, now_local: "datetime") -> tuple["datetime", "datetime"] | None:  # noqa: F821
@@ -150,15 +154,22 @@ def filter_memory(
 # -- candidates -------------------------------------------------------------------------------
 
 
-def dedup_candidates(new: DataFrame, stored: DataFrame, k: int = CANDIDATES, same: str | None = "memory_type") -> DataFrame:
+def dedup_candidates(
+    new: DataFrame,
+    stored: DataFrame,
+    k: int = CANDIDATES,
+    same: str | None = "memory_type",
+    stored_at: float = STORED_SIMILARITY,
+    batch_at: float = BATCH_SIMILARITY,
+) -> DataFrame:
     """Up to `k` likely duplicates per new item: stored ones first, then earlier ones of the batch.
 
     `new` needs id, ord (place in the batch), embedding; `stored` needs id, embedding.
     """
     asked = new.withColumnRenamed("id", "query_id")
-    known = similar(asked, stored, k=k, threshold=STORED_SIMILARITY, same=same, epsilon=NORM_EPSILON)
+    known = similar(asked, stored, k=k, threshold=stored_at, same=same, epsilon=NORM_EPSILON)
     order = new.select("id", "ord")
-    batch = similar(asked, new, threshold=BATCH_SIMILARITY, same=same, skip_same_id=True, epsilon=NORM_EPSILON)
+    batch = similar(asked, new, threshold=batch_at, same=same, skip_same_id=True, epsilon=NORM_EPSILON)
     batch = (
         batch.join(order.withColumnRenamed("id", "query_id").withColumnRenamed("ord", "q_ord"), "query_id")
         .join(order, "id")
@@ -172,13 +183,13 @@ def dedup_candidates(new: DataFrame, stored: DataFrame, k: int = CANDIDATES, sam
     return ranked.select("query_id", "id", "score", (F.col("lane") == 1).alias("in_batch"), "rank")
 
 
-def invalidate_candidates(topics: DataFrame, rules: DataFrame, protected: DataFrame | None = None, k: int = CANDIDATES) -> DataFrame:
+def invalidate_candidates(topics: DataFrame, rules: DataFrame, protected: DataFrame | None = None, k: int = CANDIDATES, threshold: float = INVALIDATE_SIMILARITY) -> DataFrame:
     """Rules close enough to a topic to be reconsidered, without the protected ids."""
     open_rules = rules if protected is None else rules.join(protected.select("id"), "id", "left_anti")
-    return similar(topics, open_rules, k=k, threshold=INVALIDATE_SIMILARITY, epsilon=NORM_EPSILON)
+    return similar(topics, open_rules, k=k, threshold=threshold, epsilon=NORM_EPSILON)
 
 
-def semantic_dedup(new: DataFrame, stored: DataFrame, now: Column, days: int = 7) -> tuple[DataFrame, DataFrame]:
+def semantic_dedup(new: DataFrame, stored: DataFrame, now: Column, days: int = 7, threshold: float = EVENT_SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Split new events into (fresh, repeats): a repeat has a close active event of the last days.
 
     A repeat names the closest event in `reinforced_id`. `stored` has id, embedding, status,
@@ -190,7 +201,7 @@ def semantic_dedup(new: DataFrame, stored: DataFrame, now: Column, days: int = 7
         & (F.col("created_at") >= now - F.expr(f"INTERVAL {max(1, days)} DAYS"))
     )
     asked = new.withColumnRenamed("id", "query_id")
-    best = similar(asked, recent.select("id", "embedding"), k=1, threshold=EVENT_SIMILARITY, epsilon=NORM_EPSILON)
+    best = similar(asked, recent.select("id", "embedding"), k=1, threshold=threshold, epsilon=NORM_EPSILON)
     match = best.select(F.col("query_id").alias("id"), F.col("id").alias("reinforced_id"), "score")
     return new.join(match.select("id"), "id", "left_anti"), new.join(match, "id")
 

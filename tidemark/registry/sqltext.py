@@ -54,3 +54,14 @@ def hot(reinf: str, updated: str, now: str, weight: str, half: float = 14.0) ->
 
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
+
+# memory items made of documents; `hash` is the identity of the text within its type
+KIND = "CASE lang WHEN 'en' THEN 'event' WHEN 'fr' THEN 'profile' WHEN 'de' THEN 'preference' ELSE 'procedure' END"
+
+
+def items_cte() -> str:
+    return f"""
+  mi AS (SELECT 'm' || doc_id AS id, doc_id, {KIND} AS memory_type, text AS summary,
+      substr(sha256({squash(strip("lower(text)"))} || {KIND}), 1, 16) AS content_hash, (1 + n_chars % 5)::INT AS reinforcement, (n_chars % 11)::INT AS emotional_weight,
+      '{{"scope_channel":"' || source || '","category":"' || lang || '"}}' AS extra_json, '["c' || doc_id || ':1"]#h:x' AS source_ref, '' AS happened_at,
+      CASE WHEN n_chars % 7 = 0 THEN 'superseded' ELSE 'active' END AS status, {NOW} - INTERVAL (doc_id) HOUR AS created_at, {NOW} - INTERVAL (doc_id) HOUR AS updated_at FROM documents)"""
