@@ -14,17 +14,21 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 
 
 def clamp(col: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), col))
+    """Limit a value to a range; null stays null (least and greatest alone would skip it)."""
+    return F.when(col.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), col)))
 
 
 def hotness(
     reinforcement: Column, updated: Column, now: Column, weight: Column, half_life_days: float = 14.0
 ) -> Column:
-    """Use frequency times age decay; emotional weight stretches the half life by up to a half."""
-    half_life = F.greatest(half_life_days * (1.0 + 0.5 * clamp(weight, 0, 10) / 10.0), F.lit(0.1))
+    """Use frequency times age decay; emotional weight stretches the half life by up to a half.
+
+    Without a time of last update the score is 0.
+    """
+    half_life = F.greatest(half_life_days * (1.0 + 0.5 * clamp(F.coalesce(weight, F.lit(0)), 0, 10) / 10.0), F.lit(0.1))
     frequency = 1.0 / (1.0 + F.exp(-F.log1p(F.greatest(reinforcement, F.lit(0)).cast("double"))))
     age_days = F.greatest(seconds_between(now, updated) / 86400.0, F.lit(0.0))
-    return frequency * F.exp(-F.log(F.lit(2.0)) / half_life * age_days)
+    return F.when(updated.isNull(), F.lit(0.0)).otherwise(frequency * F.exp(-F.log(F.lit(2.0)) / half_life * age_days))
 
 
 def energy(last_user: Column, now: Column) -> Column:
@@ -33,7 +37,7 @@ def energy(last_user: Column, now: Column) -> Column:
     value = (
         0.50 * F.exp(-minutes / 30.0) + 0.35 * F.exp(-minutes / 240.0) + 0.15 * F.exp(-minutes / 2880.0)
     )
-    return F.coalesce(value, F.lit(0.0))
+    return F.when(last_user.isNull(), F.lit(0.0)).otherwise(value)
 
 
 def content_saturation(new_items: Column, half: float = 3.0) -> Column:
@@ -88,7 +92,7 @@ def reply_factor(last_user: Column, last_sent: Column, now: Column, cfg: Interru
 
 def activity_factor(last_any_user: Column, messages: Column, now: Column, cfg: InterruptConfig) -> Column:
     idle = F.greatest(seconds_between(now, last_any_user) / 60.0, F.lit(0.0))
-    live = F.coalesce(F.exp(-idle / max(cfg.activity_decay_minutes, 1.0)), F.lit(0.2))
+    live = F.when(last_any_user.isNull(), F.lit(0.2)).otherwise(F.exp(-idle / max(cfg.activity_decay_minutes, 1.0)))
     return 0.5 * live + 0.5 * recent_activity(messages, cfg.recent_scale)
 
 

@@ -44,7 +44,7 @@ def near_dups(df: DataFrame, threshold: float = SIMILAR_AT, id_col: str = "id",
     levels = counts.select(F.col("level").alias("o_level"), F.col("n_blocks").alias("o_blocks"))
     near = counts.select("level", F.explode(F.sequence(F.col("level") - reach, F.col("level") + reach)).alias("o_level")).join(levels, "o_level")
     left = placed.join(near, "level").withColumn("o_block", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1)))
-    left = left.select("id", "g", F.col("level").alias("la"), F.col("block").alias("ba"), F.col("o_level").alias("lb"), F.col("o_block").alias("bb"))
+    left = left.select(F.col("id"), F.col("g"), F.col("level").alias("la"), F.col("block").alias("ba"), F.col("o_level").alias("lb"), F.col("o_block").alias("bb"))
     right = placed.join(near, "level").withColumn("o_block", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1)))
     right = right.select("id", "g", F.col("o_level").alias("la"), F.col("o_block").alias("ba"), F.col("level").alias("lb"), F.col("block").alias("bb"))
     id_type = df.schema[id_col].dataType.simpleString()
@@ -66,6 +66,7 @@ def near_dups(df: DataFrame, threshold: float = SIMILAR_AT, id_col: str = "id",
         return pd.DataFrame({"id": a_ids[ok], "similar_id": b_ids[pick[ok]], "score": top[ok]})
 
     keys = ["la", "ba", "lb", "bb"]
+    right = right.toDF("id", "g", *keys)
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"id {id_type}, similar_id {id_type}, score double")
     order = F.struct(F.col("score"), -F.col("similar_id")) if id_type in ("bigint", "int") else F.struct("score", "similar_id")
     return found.groupBy("id").agg(F.max_by(F.struct("similar_id", "score"), order).alias("m")).select("id", "m.similar_id", "m.score")

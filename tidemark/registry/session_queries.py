@@ -57,11 +57,11 @@ def context_range_join(t: Tables) -> DataFrame:
 
 @query(
     "id_list_fetch",
-    "SELECT conv_id || ':' || turn AS id, min(event_id) AS pos, any_value(role) AS role FROM events JOIN conversations ON conv_id = user_id AND turn = value::BIGINT % 8 GROUP BY 1",
+    "SELECT conv_id || ':' || turn AS id, min(event_id) AS pos, any_value(role) AS role FROM events JOIN conversations ON conv_id = user_id AND turn = floor(value)::BIGINT % 8 GROUP BY 1",
 )
 def id_list_fetch(t: Tables) -> DataFrame:
     wanted = t.events.select(
-        F.concat_ws(":", F.col("user_id").cast("string"), (F.round("value").cast("bigint") % 8).cast("string")).alias("id"), F.col("event_id").alias("pos")
+        F.concat_ws(":", F.col("user_id").cast("string"), (F.floor("value") % 8).cast("string")).alias("id"), F.col("event_id").alias("pos")
     )
     log = messages(t).withColumn("id", sessions.message_id())
     return sessions.fetch_in_order(log, wanted).orderBy("pos").select("id", "pos", "role")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 
@@ -59,7 +60,7 @@ DROPPED_ELEMENTS = ("script", "style", "noscript", "iframe", "object", "embed")
 
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(html.unescape, na_action="ignore")
