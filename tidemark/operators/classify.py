@@ -112,33 +112,51 @@ def post_sections(text: Column) -> Column:
 
 def classify_messages(df: DataFrame, rules: PostRules = JOB_RULES, text: str = "text") -> DataFrame:
     """Add the decision (`matched`, `skipped`), the reason and the matched keywords."""
-    body = F.col(text)
-    cut = df.withColumn("__s", post_sections(body))
-    title, duties, needs = (F.col(f"__s.{n}") for n in ("title", "duties", "needs"))
-    scope = F.when(title != "", title).otherwise(body)
-    cut = (
-        cut.withColumn("matched_exclude", matched(body, rules.exclude, rules))
-        .withColumn("matched_intent", matched(body, rules.intent, rules))
-        .withColumn("matched_irrelevant", matched(scope, rules.irrelevant, rules))
-        .withColumn("matched_title", matched(title, rules.target, rules))
-        .withColumn("__body", F.array_distinct(F.concat(matched(duties, rules.target, rules), matched(needs, rules.target, rules))))
+    none = F.array().cast("array<string>")
+
+    def found(row: Column) -> Column:
+        title, duties, needs = (row["s"][n] for n in ("title", "duties", "needs"))
+        scope = F.when(title != "", title).otherwise(row["body"])
+        return F.struct(
+            title.alias("title"),
+            matched(row["body"], rules.exclude, rules).alias("exclude"),
+            matched(row["body"], rules.intent, rules).alias("intent"),
+            matched(scope, rules.irrelevant, rules).alias("irrelevant"),
+            matched(title, rules.target, rules).alias("titled"),
+            F.array_distinct(F.concat(matched(duties, rules.target, rules), matched(needs, rules.target, rules))).alias("inside"),
+        )
+
+    def judged(m: Column) -> Column:
+        has_title = m["title"] != ""
+        strong = F.arrays_overlap(m["inside"], F.array(*[F.lit(w) for w in rules.strong])) if rules.strong else F.lit(False)
+        reason = (
+            F.when(F.size(m["exclude"]) > 0, "skipped_by_exclude_keywords")
+            .when(has_title & (F.size(m["irrelevant"]) > 0), "skipped_irrelevant_role")
+            .when(F.size(m["intent"]) == 0, "skipped_no_job_intent_keywords")
+            .when(has_title & (F.size(m["titled"]) > 0), "")
+            .when(~has_title & ((F.size(m["inside"]) >= 2) | strong), "")
+            .otherwise("skipped_no_title_target_keywords")
+        )
+        return F.struct(m.alias("m"), reason.alias("reason"))
+
+    # each step is bound once: a filter on the decision must not repeat the keyword search inside it
+    row = F.struct(F.coalesce(F.col(text), F.lit("")).alias("body"), post_sections(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+    out = df.withColumn("__v", tx.let(tx.let(row, found), judged))
+    m, reason = F.col("__v.m"), F.col("__v.reason")
+    early = reason.isin("skipped_by_exclude_keywords", "skipped_irrelevant_role", "skipped_no_job_intent_keywords")
+    target = (
+        F.when(early, F.array_distinct(F.concat(m["titled"], m["inside"])))
+        .when((reason == "") & (m["title"] != ""), m["titled"])
+        .otherwise(F.coalesce(m["inside"], none))
     )
-    has_title = title != ""
-    strong = F.arrays_overlap("__body", F.array(*[F.lit(w) for w in rules.strong])) if rules.strong else F.lit(False)
-    reason = (
-        F.when(F.size("matched_exclude") > 0, "skipped_by_exclude_keywords")
-        .when(has_title & (F.size("matched_irrelevant") > 0), "skipped_irrelevant_role")
-        .when(F.size("matched_intent") == 0, "skipped_no_job_intent_keywords")
-        .when(has_title & (F.size("matched_title") > 0), "")
-        .when(~has_title & ((F.size("__body") >= 2) | strong), "")
-        .otherwise("skipped_no_title_target_keywords")
+    return out.select(
+        *df.columns,
+        F.when(reason == "", "matched").otherwise("skipped").alias("decision"),
+        reason.alias("reason"),
+        m["title"].alias("title"),
+        target.alias("matched_target"),
+        *[m[a].alias(f"matched_{b}") for a, b in (("exclude", "exclude"), ("intent", "intent"), ("irrelevant", "irrelevant"), ("titled", "title"))],
     )
-    out = cut.withColumn("reason", reason).withColumn("decision", F.when(F.col("reason") == "", "matched").otherwise("skipped"))
-    every = F.array_distinct(F.concat("matched_title", "__body"))
-    target = F.when(
-        F.col("reason").isin("skipped_by_exclude_keywords", "skipped_irrelevant_role", "skipped_no_job_intent_keywords"), every
-    ).when((F.col("decision") == "matched") & has_title, F.col("matched_title")).otherwise(F.col("__body"))
-    return out.withColumn("matched_target", target).withColumn("title", title).drop("__s", "__body")
 
 
 # What counts as audio.

@@ -78,7 +78,7 @@ def tool_policy(events: DataFrame, keys: tuple[str, ...] = ("tool",)) -> DataFra
         F.max("ts").alias("last_used_at"),
     )
     judged = F.greatest(F.col("success_count") + F.col("failure_count"), F.lit(1))
-    return stats.withColumn("avg_reward", F.round(F.col("total_reward") / F.col("count"), 6)).withColumn(
+    return stats.withColumn("avg_reward", F.col("total_reward") / F.col("count")).withColumn(
         "success_rate", F.round(F.col("success_count") / judged, 6)
     )
 

@@ -47,8 +47,13 @@ def _cosine_blocks(queries: pd.DataFrame, items: pd.DataFrame, epsilon: float) -
         yield q_rows, i_rows, np.nan_to_num(score, nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def _best(queries: pd.DataFrame, items: pd.DataFrame, k: int | None, threshold: float, skip_same: bool, epsilon: float) -> pd.DataFrame:
-    """Rows at or above the threshold, at most `k` per query (ties at the cut are kept)."""
+def _best(
+    queries: pd.DataFrame, items: pd.DataFrame, k: int | None, threshold: float, skip_same: bool, epsilon: float, rescore=None
+) -> pd.DataFrame:
+    """Rows at or above the threshold, at most `k` per query (ties at the cut are kept).
+
+    `rescore(cosine matrix, item rows)` gives the score that ranks and is returned.
+    """
     frames = []
     q_ids, i_ids = queries["qid"].to_numpy(), items["iid"].to_numpy()
     q_groups, i_groups = queries["grp"].to_numpy(), items["grp"].to_numpy()
@@ -57,6 +62,8 @@ def _best(queries: pd.DataFrame, items: pd.DataFrame, k: int | None, threshold:
         ok = (score >= threshold) & (q_groups[q_rows][:, None] == i_groups[i_rows][None, :])
         if skip_same:
             ok &= q_ids[q_rows][:, None] != i_ids[i_rows][None, :]
+        if rescore is not None:
+            score = rescore(score, items.iloc[i_rows])
         if k is not None and len(i_rows) > k:
             masked = np.where(ok, score, -np.inf)
             cut = np.partition(masked, len(i_rows) - k, axis=1)[:, len(i_rows) - k]
@@ -95,17 +102,21 @@ def similar(
     same: str | None = None,
     skip_same_id: bool = False,
     epsilon: float = 0.0,
+    extra: Sequence[str] = (),
+    rescore=None,
     broadcast_rows: int = BROADCAST_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(query_id, id, score[, rank]): the `k` best items per query with cosine >= `threshold`.
 
     `same` names a column both sides must agree on. Vectors of different length never match; a
-    zero vector scores 0. Without `k` every pair above the threshold is returned.
+    zero vector scores 0. Without `k` every pair above the threshold is returned. With `rescore`,
+    a function of the cosine matrix and the item rows (with their `extra` columns), the cut to `k`
+    follows the new score, so a blended ranking still keeps only `k` rows per query and task.
     """
     group = F.col(same) if same else F.lit(0)
     q = queries.select(F.col(query_id).alias("qid"), group.alias("grp"), F.col(vector).alias("vec")).filter(F.col("vec").isNotNull())
-    x = items.select(F.col(item_id).alias("iid"), group.alias("grp"), F.col(vector).alias("vec")).filter(F.col("vec").isNotNull())
+    x = items.select(F.col(item_id).alias("iid"), group.alias("grp"), F.col(vector).alias("vec"), *extra).filter(F.col("vec").isNotNull())
     schema = f"qid {q.schema['qid'].dataType.simpleString()}, iid {x.schema['iid'].dataType.simpleString()}, score double"
     local = small_rows(q, broadcast_rows) if broadcast_rows else None
     if local is not None:
@@ -113,7 +124,7 @@ def similar(
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield _best(sent.value, batch, k, threshold, skip_same_id, epsilon)
+                yield _best(sent.value, batch, k, threshold, skip_same_id, epsilon, rescore)
 
         found = spread(x).mapInPandas(scan, schema)
     else:
@@ -121,7 +132,7 @@ def similar(
         right = _grid(x, q, "ib", "qb", block_rows, same is not None).groupBy("grp", "qb", "ib")
 
         def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            return _best(a, b, k, threshold, skip_same_id, epsilon)
+            return _best(a, b, k, threshold, skip_same_id, epsilon, rescore)
 
         found = left.cogroup(right).applyInPandas(pair, schema)
     found = found.select(F.col("qid").alias(query_id), F.col("iid").alias(item_id if item_id != query_id else "id"), "score")

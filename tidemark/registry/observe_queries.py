@@ -53,16 +53,16 @@ def tool_stats(t: Tables) -> DataFrame:
     return policy.tool_policy(rows)
 
 
-@query("tool_policy_stats", f"WITH {_TOOLS} SELECT tool, n AS count, round(total, 6) AS total_reward, round(total / n, 6) AS avg_reward, round(rate, 6) AS success_rate, {sql_stamp('last', 'last_used_at')} FROM ts_")
+@query("tool_policy_stats", f"WITH {_TOOLS} SELECT tool, n AS count, round(total, 6) AS total_reward, round(round(total, 6) / n, 5) AS avg_reward, round(rate, 6) AS success_rate, {sql_stamp('last', 'last_used_at')} FROM ts_")
 def tool_policy_stats(t: Tables) -> DataFrame:
     out = tool_stats(t)
-    return out.select("tool", "count", "total_reward", "avg_reward", "success_rate", stamp("last_used_at"))
+    return out.select("tool", "count", "total_reward", F.round("avg_reward", 5).alias("avg_reward"), "success_rate", stamp("last_used_at"))
 
 
 @query(
     "bandit_rank",
     f"""WITH {_TOOLS}, c AS (SELECT DISTINCT p_size::BIGINT * 4 AS tool FROM part), g AS (SELECT sum(n) AS total FROM ts_),
-    s AS (SELECT c.tool, round(coalesce(round(ts_.total / n, 6), 0.25) + CASE WHEN n > 0 THEN sqrt(ln(greatest(2, g.total + 1)) / n) ELSE 1.0 END, 9) AS score FROM c LEFT JOIN ts_ USING (tool), g)
+    s AS (SELECT c.tool, round(coalesce(round(ts_.total, 6) / n, 0.25) + CASE WHEN n > 0 THEN sqrt(ln(greatest(2, g.total + 1)) / n) ELSE 1.0 END, 9) AS score FROM c LEFT JOIN ts_ USING (tool), g)
     SELECT tool, score, row_number() OVER (ORDER BY score DESC, tool) AS rank FROM s""",
 )
 def bandit_rank(t: Tables) -> DataFrame:

@@ -12,7 +12,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-POINTER = "_current"
+POINTER = "CURRENT"
 
 
 def _fs(spark: SparkSession, path: str):
