@@ -18,6 +18,15 @@ def clamp(col: Column, low: float, high: float) -> Column:
     return F.when(col.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), col)))
 
 
+def settle(col: Column, digits: int) -> Column:
+    """Drop the last bits of a double so that the order of a sum cannot decide a tie.
+
+    Unlike `round` this is plain arithmetic and stays inside generated code.
+    """
+    scale = float(10**digits)
+    return F.rint(col * scale) / scale
+
+
 def hotness(
     reinforcement: Column, updated: Column, now: Column, weight: Column, half_life_days: float = 14.0
 ) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scoring import settle
 from tidemark.operators.windows import top_rows
 
 RRF_K = 60
@@ -21,7 +22,7 @@ def rrf(lanes: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
         F.min("rank").alias("rank"), F.max("score").alias("score")
     )
     fused = first.groupBy("query_id", "id").agg(
-        F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), SCORE_DIGITS).alias("rrf_score"),
+        settle(F.sum(1.0 / (rrf_k + F.col("rank"))), SCORE_DIGITS).alias("rrf_score"),
         F.max("score").alias("best_score"),
         F.array_sort(F.collect_set("lane")).alias("lanes"),
         F.min(F.when(F.col("lane") == "vector", F.col("rank"))).alias("vector_rank"),
@@ -45,7 +46,7 @@ def rrf_weighted(vector_hits: DataFrame, keyword_hits: DataFrame, n: int, rrf_k:
         "vector_rank",
         "keyword_rank",
         F.coalesce("vector_score", "keyword_score").alias("score"),
-        F.round(
+        settle(
             F.coalesce(1.0 / (rrf_k + F.col("vector_rank")), F.lit(0.0))
             + F.coalesce(KEYWORD_WEIGHT / (rrf_k + F.col("keyword_rank")), F.lit(0.0)),
             SCORE_DIGITS,

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.scoring import settle
 from tidemark.operators.windows import top_rows
-from tidemark.session import spread
+from tidemark.session import checked_side, small_side, spread
 
 # Marks one extra posting per document that carries the collection statistics.
 DOC_MARK = "\u0000"
 SCORE_DIGITS = 9
+QUERY_TERMS_SENT = 1_000_000
+KEYS_INLINE = 4096
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
@@ -32,28 +35,36 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", vocabu
     )
     if vocabulary is not None:
         mark = docs.sparkSession.createDataFrame([(DOC_MARK,)], "term string")
-        wanted = vocabulary.select("term").union(mark).distinct()
+        wanted = small_side(vocabulary.select("term").union(mark).distinct())
         exploded = exploded.join(wanted, "term", "left_semi")
+    exploded = exploded.filter(F.col("term").isNotNull())
     return exploded.groupBy("id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_from_postings(
     index: DataFrame, query_terms: DataFrame, k: int, *, query_id: str = "query_id", k1: float = 1.5, b: float = 0.75
 ) -> DataFrame:
-    """Rank documents per query. `query_terms` holds distinct (query_id, term) rows."""
-    by_term = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("doc_len").alias("len_sum"))
-    collection = by_term.filter(F.col("term") == DOC_MARK)
-    n_docs = collection.select("df").scalar().cast("double")
-    mean_len = collection.select(F.col("len_sum") / F.col("df")).scalar()
+    """Rank documents per query. `query_terms` holds distinct (query_id, term) rows.
+
+    A checked, bounded set of query terms is sent to the postings, which then stay where they are.
+    """
+    query_terms, small = checked_side(query_terms, QUERY_TERMS_SENT)
+    # every branch reads the same columns of the index, so its shuffle is run once and reused
+    by_term = index.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("doc_len").alias("len_sum"))
+    mark = F.col("term") == DOC_MARK
+    collection = by_term.agg(
+        F.max(F.when(mark, F.col("df"))).cast("double").alias("n"), F.max(F.when(mark, F.col("len_sum") / F.col("df"))).alias("mean")
+    )
+    n_docs, mean_len = collection.select("n").scalar(), collection.select("mean").scalar()
     idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = by_term.filter(F.col("term") != DOC_MARK).select("term", idf.alias("idf"))
+    weighted = by_term.select("term", idf.alias("idf"))
     norm = F.col("tf") + k1 * (1.0 - b + b * F.col("doc_len") / mean_len)
     part = F.col("idf") * (F.col("tf") * (k1 + 1.0)) / norm
+    wanted = query_terms.join(weighted, "term")  # no more rows than query_terms, and none with the mark
     scored = (
-        index.filter(F.col("term") != DOC_MARK)
-        .join(query_terms.join(weighted, "term"), "term")
+        index.join(F.broadcast(wanted) if small else wanted, "term")
         .groupBy(query_id, "id")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+        .agg(settle(F.sum(part), SCORE_DIGITS).alias("score"))
         .filter(F.col("score") > 0)
     )
     return top_rows(scored, [query_id], [F.col("score").desc(), F.col("id")], k)
@@ -156,14 +167,27 @@ def substring_join(
     the containment itself is then checked on the full texts. Longer keys suit longer needles.
     """
     sizes = sorted({1, *sizes})
+    wanted = needles.filter(F.length(needle_col) > 0).select(F.col(needle_col))
+    wanted, small = checked_side(wanted)
+    if small:
+        lengths = [row[0] for row in wanted.select(F.length(needle_col)).distinct().collect()]
+        sizes = sorted({max(n for n in sizes if n <= length) for length in lengths})
+        if not sizes:
+            return texts.limit(0).select(F.col(id_col), F.lit(None).cast("string").alias(needle_col))
     key = F.substring(needle_col, 1, sizes[0])
     for size in sizes[1:]:
         key = F.when(F.length(needle_col) >= size, F.substring(needle_col, 1, size)).otherwise(key)
-    keyed = needles.filter(F.length(needle_col) > 0).select(F.col(needle_col), key.alias("gram"))
-    windows = [F.regexp_extract_all(F.col(text_col), F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes]
+    keyed = wanted.select(F.col(needle_col), key.alias("gram"))
+    windows = F.concat(*[F.regexp_extract_all(F.col("__body"), F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in sizes])
+    grams = F.array_distinct(windows)
+    if small:
+        keys = [row[0] for row in keyed.select("gram").distinct().limit(KEYS_INLINE + 1).collect()]
+        if len(keys) <= KEYS_INLINE:  # drop other substrings inside the row
+            grams = F.array_intersect(windows, F.array(*[F.lit(k) for k in keys]))
     found = (
-        texts.select(F.col(id_col), F.col(text_col).alias("__body"), F.explode(F.array_distinct(F.concat(*windows))).alias("gram"))
-        .join(keyed, "gram")
+        spread(texts.select(F.col(id_col), F.col(text_col).alias("__body")))
+        .select(F.col(id_col), F.col("__body"), F.explode(grams).alias("gram"))
+        .join(F.broadcast(keyed) if small else keyed, "gram")
         .filter(F.contains(F.col("__body"), F.col(needle_col)))
     )
     return found.select(id_col, needle_col)
@@ -213,7 +237,7 @@ def search_messages(
             tf = F.col(f"__tf{i}")
             total = total + idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * F.col("__len") / mean))
             found = found | (tf > 0)
-        rank = F.when(found, F.round(-total, SCORE_DIGITS))
+        rank = F.when(found, settle(-total, SCORE_DIGITS))
     hits = counted.withColumn("rank_score", rank).filter(
         (F.col("match_score") > 0) | F.col("rank_score").isNotNull()
     )

@@ -54,6 +54,8 @@ def _best(
 
     `rescore(cosine matrix, item rows)` gives the score that ranks and is returned.
     """
+    # missing vectors are dropped here: a filter in the plan would run an embedding function twice
+    queries, items = queries[queries["vec"].notna()], items[items["vec"].notna()]
     frames = []
     q_ids, i_ids = queries["qid"].to_numpy(), items["iid"].to_numpy()
     q_groups, i_groups = queries["grp"].to_numpy(), items["grp"].to_numpy()
@@ -115,8 +117,8 @@ def similar(
     follows the new score, so a blended ranking still keeps only `k` rows per query and task.
     """
     group = F.col(same) if same else F.lit(0)
-    q = queries.select(F.col(query_id).alias("qid"), group.alias("grp"), F.col(vector).alias("vec")).filter(F.col("vec").isNotNull())
-    x = items.select(F.col(item_id).alias("iid"), group.alias("grp"), F.col(vector).alias("vec"), *extra).filter(F.col("vec").isNotNull())
+    q = queries.select(F.col(query_id).alias("qid"), group.alias("grp"), F.col(vector).alias("vec"))
+    x = items.select(F.col(item_id).alias("iid"), group.alias("grp"), F.col(vector).alias("vec"), *extra)
     schema = f"qid {q.schema['qid'].dataType.simpleString()}, iid {x.schema['iid'].dataType.simpleString()}, score double"
     local = small_rows(q, broadcast_rows) if broadcast_rows else None
     if local is not None:
@@ -159,7 +161,9 @@ def embed(df: DataFrame, col: str, fn=None, dim: int = 64, out: str = "embedding
 
         return df.withColumn(out, model(F.col(col)))
 
-    digests = F.transform(tx.bm25_tokens(F.col(col)), lambda t: F.substring(F.md5(t), 1, 5))
+    digests = F.transform(
+        tx.bm25_tokens(F.col(col)), lambda t: F.conv(F.substring(F.md5(t), 1, 5), 16, 10).cast("int")
+    )
 
     @F.pandas_udf("array<float>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -168,14 +172,14 @@ def embed(df: DataFrame, col: str, fn=None, dim: int = 64, out: str = "embedding
             for codes in rows:
                 values = np.zeros(dim)
                 if len(codes):
-                    numbers = np.fromiter((int(c, 16) for c in codes), dtype=np.int64, count=len(codes))
-                    np.add.at(values, (numbers >> 4) % dim, np.where(numbers & 1, -1.0, 1.0))
+                    numbers = np.asarray(codes, dtype=np.int64)
+                    values = np.bincount((numbers >> 4) % dim, weights=np.where(numbers & 1, -1.0, 1.0), minlength=dim)
                     length = np.sqrt((values * values).sum())
                     values = values / length if length > 0 else values
                 vectors.append(values.astype(np.float32))
             yield pd.Series(vectors)
 
-    return df.withColumn(out, hashed(digests))
+    return spread(df).withColumn(out, hashed(digests))
 
 
 def score_pairs(pairs: DataFrame, fn, columns: Sequence[str], out: str = "given_score") -> DataFrame:

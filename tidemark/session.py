@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -58,6 +59,9 @@ def spread(df: DataFrame) -> DataFrame:
 
     A large table already has more splits than cores, and then nothing moves.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(node in plan for node in ("Repartition", "Aggregate", "Join", "Window", "Sort", "InPandas", "Limit", "Union")):
+        return df  # not a plain scan: its splits are set by a shuffle
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 > cores:
         return df
@@ -68,3 +72,21 @@ def small_rows(df: DataFrame, limit: int):
     """All rows as pandas when there are at most `limit`, else None. Reads limit + 1 rows at most."""
     rows = df.limit(limit + 1).toPandas()
     return rows if len(rows) <= limit else None
+
+
+def checked_side(df: DataFrame, limit: int = 100_000) -> tuple[DataFrame, bool]:
+    """(`df`, False), or its rows as a local table and True when there are at most `limit` of them.
+
+    Spark cannot know that an exploded or aggregated side is small, and would shuffle the large side
+    by the join key before it finds out. Counting first costs one small job.
+    """
+    rows = small_rows(df, limit)
+    if rows is None:
+        return df, False
+    return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
+def small_side(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """`df` marked for broadcast when it has at most `limit` rows, else `df` itself."""
+    side, small = checked_side(df, limit)
+    return F.broadcast(side) if small else side
