@@ -66,7 +66,10 @@ def parse_event_time(col: Column, zone: str = LOCAL_ZONE) -> Column:
         naive = F.to_utc_timestamp(F.try_to_timestamp(text), zone)
         return F.when(day | (shape & ~zoned), naive).when(shape, F.try_to_timestamp(spelled))
 
-    return tx.let(tx.strip(F.coalesce(col, F.lit(""))), parsed)
+    # hours and minutes may stand alone; the cast wants seconds
+    text = F.regexp_replace(tx.strip(F.coalesce(col, F.lit(""))), r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(?=$|Z|[+-])", "$1:00")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=$|Z|[+-])", "$1:00")
+    return tx.let(text, parsed)
 
 
 def summary_time(summary: Column) -> Column:

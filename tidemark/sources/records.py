@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,16 @@ def _reader(spark: SparkSession, glob: str):
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
 
 
+def _parsed(reader, path: str) -> DataFrame | None:
+    """The files as a table, or None when there is no such file to infer a schema from."""
+    try:
+        return reader.json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return None
+
+
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Rows of all .json and .jsonl files below a path.
 
@@ -30,12 +41,11 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str | No
         many = T.ArrayType(row)
         wrapped = T.StructType([*row.fields, *[T.StructField(w, many) for w in WRAPPERS if w not in row.names]])
         lines, whole = lines.schema(row), whole.schema(wrapped)
-    single = lines.json(path)
-    objects = whole.json(path)
-    if not objects.columns:
-        return single
+    single, objects = _parsed(lines, path), _parsed(whole, path)
+    if objects is None:
+        return spark.createDataFrame([], "prompt string") if single is None else single
     held = [w for w in WRAPPERS if w in objects.columns and isinstance(objects.schema[w].dataType, T.ArrayType)]
-    out = single if single.columns else None
+    out = single
     if held:
         holder = F.coalesce(*[F.when(F.col(w).isNotNull(), F.lit(w)) for w in held])
         for w in held:
@@ -160,10 +170,24 @@ def read_persona_cases(spark: SparkSession, questions: str, contexts: str) -> Da
     return persona_cases(asked, held)
 
 
+def _write_lines(df: DataFrame, path: str) -> None:
+    """Write JSON lines and name the files .jsonl, which is what `read_records` takes them for."""
+    df.write.mode("overwrite").json(path)
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().toString()
+        if name.endswith(".json"):
+            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(name + "l"))
+
+
 def write_preferences(samples: DataFrame, path: str) -> None:
     """Full samples as JSON lines below `full`, and the three training columns below `train`."""
-    samples.select(*[c for c in SAMPLE_COLUMNS if c in samples.columns]).write.mode("overwrite").json(f"{path}/full")
-    samples.select("prompt", "chosen", "rejected").write.mode("overwrite").json(f"{path}/train")
+    full = samples.select(*[c for c in SAMPLE_COLUMNS if c in samples.columns])
+    _write_lines(full, f"{path}/full")
+    _write_lines(samples.select("prompt", "chosen", "rejected"), f"{path}/train")
 
 
 def journal_rows(entries: DataFrame, entry: str = "entry") -> DataFrame:
