@@ -125,11 +125,11 @@ def clean_summary(col: Column) -> Column:
     return F.regexp_replace(tx.strip(tx.squash(col)), r"^[ \-。；;]+|[ \-。；;]+\z", "")
 
 
-def rollup_candidates(items: DataFrame, long_term: str, now: Column, ids_per_row: int = 1000) -> DataFrame:
+def rollup_candidates(items: DataFrame, long_term: str, now: Column) -> DataFrame:
     """Group unprocessed profile and preference items of the same text into candidates.
 
     Content is the longest summary; score, reinforcement and weight come from the hottest item.
-    At most `ids_per_row` evidence ids are listed per row (`part`); counts are complete.
+    The ids behind a candidate come from `rollup_evidence`, as rows: one text may have very many.
     """
     marked = F.coalesce(F.get_json_object("extra_json", "$._rollup"), F.lit(""))
     source = items.filter(
@@ -190,11 +190,11 @@ def prompt_cost(calls: DataFrame) -> DataFrame:
     )
 
 
-def cost_delta(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """Size differences (after minus before) per key."""
+def cost_delta(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Size differences (after minus before) per call, matched by `keys`."""
     names = ["system_chars", "messages_json_chars", "tools_schema_chars", "tool_count", "estimated_input_tokens"]
-    b, a = before.select(key, *[F.col(n).alias(f"b_{n}") for n in names]), after.select(key, *[F.col(n).alias(f"a_{n}") for n in names])
-    return b.join(a, key).select(key, *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names])
+    b, a = before.select(*keys, *[F.col(n).alias(f"b_{n}") for n in names]), after.select(*keys, *[F.col(n).alias(f"a_{n}") for n in names])
+    return b.join(a, list(keys)).select(*keys, *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names])
 
 
 def recall_turns(log: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tidemark.functions import text as tx
 from tidemark.operators import chunking, classify, dedup, evals, maintain, prefs, relations
 from tidemark.registry import sqltext as q
 from tidemark.registry.core import Tables, query
-from tidemark.registry.memory_queries import big, items, key, labelled, now
+from tidemark.registry.memory_queries import big, items, key, labelled, now, segment
 from tidemark.sources import documents, feeds, records
 
 
@@ -104,7 +104,7 @@ def haystack_scan(t: Tables) -> DataFrame:
     turn = F.struct("turn", "role", F.col("text").alias("content"), (F.col("turn") == 2).alias("has_answer"))
     rows = t.conversations.withColumn("s", F.floor(F.col("turn") / 2)).groupBy("conv_id", "s").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     slim = F.transform("turns", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["has_answer"].alias("has_answer")))
-    nested = rows.withColumn("turns", slim).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("s", "turns"))).alias("ss"))
+    nested = rows.withColumn("turns", slim).groupBy("conv_id", segment("s")).agg(F.array_sort(F.collect_list(F.struct("s", "turns"))).alias("ss"))
     form = lambda s: F.when(s == 0, "2024-01-01").when(s == 1, "2024/01/02").otherwise(F.concat(F.lit("2024-01-0"), (s + 1).cast("string"), F.lit(" 10:00:00")))
     cases = nested.select(
         F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question_id"), F.lit("multi").alias("question_type"), F.lit("?").alias("question"), F.lit("!").alias("answer"),
@@ -126,11 +126,12 @@ def haystack_scan(t: Tables) -> DataFrame:
 def persona_scan(t: Tables) -> DataFrame:
     said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     prefix = lambda m: F.when(m["role"] == "user", F.concat(F.lit(" User: "), m["text"])).otherwise(m["text"])
-    contexts = t.conversations.groupBy("conv_id").agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), prefix(m).alias("content"))).alias("messages"))
-    contexts = contexts.select(F.col("conv_id").cast("string").alias("shared_context_id"), "messages")
-    asked = t.conversations.select("conv_id").distinct().select(
+    contexts = t.conversations.groupBy("conv_id", segment("turn")).agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), prefix(m).alias("content"))).alias("messages"))
+    shared = F.concat_ws("-", F.col("conv_id").cast("string"), F.nullif(F.col("segment"), F.lit(0)).cast("string")).alias("shared_context_id")
+    contexts = contexts.select(shared, "messages")
+    asked = t.conversations.select("conv_id", segment("turn")).distinct().select(
         F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question_id"), F.lit("t").alias("question_type"), F.lit("why").alias("user_question_or_message"),
-        F.lit(" (B) ").alias("correct_answer"), F.lit("""['one', "it's b", 'c']""").alias("all_options"), F.col("conv_id").cast("string").alias("shared_context_id"), F.lit("3").alias("end_index_in_shared_context"),
+        F.lit(" (B) ").alias("correct_answer"), F.lit("""['one', "it's b", 'c']""").alias("all_options"), shared, F.lit("3").alias("end_index_in_shared_context"),
     )
     out = records.persona_cases(asked, contexts)
     return out.select("question_id", "gold_label", "gold_option", F.size("turns").cast("bigint").alias("n_turns"), F.md5("profile").alias("profile"))
@@ -262,7 +263,7 @@ def history_entries(t: Tables) -> DataFrame:
     text = F.when(F.col("role") == "system", "  ").otherwise(F.concat(F.lit(" "), "text"))
     twice = F.explode(F.sequence(F.lit(0), F.lit(1)))
     rows = t.conversations.select("conv_id", "turn", text.alias("summary"), (F.col("turn") * 2).cast("int").alias("emotional_weight"), twice.alias("again"))
-    packed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("again", "turn", "summary", "emotional_weight"))).alias("e"))
+    packed = rows.groupBy("conv_id", segment("turn")).agg(F.array_sort(F.collect_list(F.struct("again", "turn", "summary", "emotional_weight"))).alias("e"))
     slim = F.transform("e", lambda x: F.struct(x["summary"].alias("summary"), x["emotional_weight"].alias("emotional_weight")))
     clean = packed.select("conv_id", classify.history_entries(slim).alias("h"))
     return clean.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evals, runs
 from tidemark.registry.core import Tables, query
 from tidemark.registry.curation_queries import ab_rows
-from tidemark.registry.memory_queries import big
+from tidemark.registry.memory_queries import big, segment
 from tidemark.operators import prefs
 from tidemark.sources import feeds, records
 from tidemark.streaming.jobs import scratch
@@ -26,7 +26,7 @@ def recorded(t: Tables) -> DataFrame:
     )
     event = F.struct(F.when(F.col("l_tax") > 0.05, "interrupt.required").otherwise("step").alias("type"), name.alias("tool_name"))
     at = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    steps = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(*at, call.alias("call"), sizes.alias("sizes"), event.alias("event")))).alias("s"))
+    steps = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), segment("l_linenumber")).agg(F.array_sort(F.collect_list(F.struct(*at, call.alias("call"), sizes.alias("sizes"), event.alias("event")))).alias("s"))
     full = t.orders.join(steps, "o_orderkey")
     return full.select(
         F.floor(F.col("o_orderkey") / 2).alias("scenario_id"), F.when(F.col("o_orderkey") % 2 == 0, "native").otherwise("graph").alias("backend"), (F.col("o_orderstatus") != "F").alias("passed"),
@@ -88,7 +88,7 @@ def backend_compare(t: Tables) -> DataFrame:
 )
 def rag_case_metrics(t: Tables) -> DataFrame:
     pack = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", c.alias("v")))), lambda r: r["v"])
-    rows = t.conversations.groupBy("conv_id").agg(
+    rows = t.conversations.groupBy("conv_id", segment("turn")).agg(
         pack(F.col("turn").cast("string")).alias("chunk_ids"), pack(F.concat(F.lit("d"), (F.col("turn") % 3).cast("string"))).alias("document_ids")
     )
     gold = F.col("conv_id") % 4 != 0
@@ -104,7 +104,7 @@ def rag_case_metrics(t: Tables) -> DataFrame:
 @query("json_records_scan", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
 def json_records_scan(t: Tables) -> DataFrame:
     out = scratch(t.spark, "records")
-    held = t.conversations.groupBy("conv_id").agg(F.collect_list(F.struct("conv_id", "turn", "role", "text")).alias("records"))
+    held = t.conversations.groupBy("conv_id", segment("turn")).agg(F.collect_list(F.struct("conv_id", "turn", "role", "text")).alias("records"))
     held.select("records").write.option("maxRecordsPerFile", 1).json(out)
     rows = records.read_records(t.spark, out, "conv_id bigint, turn bigint, role string, text string")
     return rows.filter("conv_id IS NOT NULL").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
@@ -112,7 +112,7 @@ def json_records_scan(t: Tables) -> DataFrame:
 
 @query(
     "eval_cases_scan",
-    "SELECT 'set' || (item_id % 8) AS dataset, item_id::VARCHAR AS case_id, md5(text) AS query, 'c' || item_id AS chunks, 0::BIGINT AS n_docs FROM benchmark",
+    "SELECT 'set' || (item_id // 10) AS dataset, item_id::VARCHAR AS case_id, md5(text) AS query, 'c' || item_id AS chunks, 0::BIGINT AS n_docs FROM benchmark",
 )
 def eval_cases_scan(t: Tables) -> DataFrame:
     out = scratch(t.spark, "cases")
@@ -121,7 +121,7 @@ def eval_cases_scan(t: Tables) -> DataFrame:
     case = F.struct(
         item.alias("case_id"), F.col("text").alias("query"), F.array(F.concat(F.lit("c"), item), F.lit(" ")).alias("relevant_chunk_ids"), F.array(F.lit(""), none).alias("relevant_document_ids")
     )
-    sets = t.benchmark.groupBy(F.concat(F.lit("set"), (F.col("item_id") % 8).cast("string")).alias("name")).agg(F.collect_list(case).alias("cases"))
+    sets = t.benchmark.groupBy(F.concat(F.lit("set"), F.floor(F.col("item_id") / 10).cast("string")).alias("name")).agg(F.collect_list(case).alias("cases"))
     sets.write.option("maxRecordsPerFile", 1).json(out)
     cases = records.read_eval_cases(t.spark, out)
     return cases.select("dataset", "case_id", F.md5("query").alias("query"), F.array_join("relevant_chunk_ids", "|").alias("chunks"), F.size("relevant_document_ids").cast("bigint").alias("n_docs"))

@@ -10,7 +10,7 @@ from tidemark.operators import observe, policy, relations
 from tidemark.operators.windows import top_rows
 from tidemark.registry import sqltext as q
 from tidemark.registry.core import Tables, query
-from tidemark.registry.memory_queries import big, key, now
+from tidemark.registry.memory_queries import big, key, now, segment
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -261,9 +261,9 @@ def prompt_cost(t: Tables) -> DataFrame:
 
 
 def model_calls(t: Tables) -> DataFrame:
-    """One call per conversation; a conversation is the bounded message list of one request."""
+    """One call per conversation, or per stretch of a very long one."""
     said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    rows = t.conversations.groupBy("conv_id").agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
+    rows = t.conversations.groupBy("conv_id", segment("turn")).agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
     tools = F.array(
         F.struct(F.lit("shell").alias("name"), F.lit("run a command").alias("schema")), F.struct(F.lit("read").alias("name"), F.lit("f").alias("schema"))
     )
@@ -279,7 +279,7 @@ def model_calls(t: Tables) -> DataFrame:
 def cost_delta(t: Tables) -> DataFrame:
     full = model_calls(t)
     lean = full.withColumn("messages", F.filter("messages", lambda m: m["role"] != "system"))
-    delta = observe.cost_delta(observe.prompt_cost(full), observe.prompt_cost(lean), "conv_id")
+    delta = observe.cost_delta(observe.prompt_cost(full), observe.prompt_cost(lean), ["conv_id", "segment"])
     return delta.select("conv_id", (F.col("messages_json_chars") < 0).cast("int").alias("had_system"), *big("tool_count", "system_chars"))
 
 
