@@ -505,7 +505,7 @@ def _set_f1(a: str, b: str) -> str:
     "model_comparison",
     f"""WITH s AS (SELECT {_SETF.format(x="a.text")} AS x, {_SETF.format(x="b.text")} AS y, {_SETF.format(x="d.text")} AS z FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN documents d ON d.doc_id = a.doc_id + 2),
     f AS (SELECT {_set_f1("x", "z")} AS b, {_set_f1("y", "z")} AS n FROM s)
-    SELECT count(*) AS num_prompts, round(avg((n > b)::INT), 3) AS win_rate, round(avg((n = b)::INT), 3) AS tie_rate, round(avg(b), 3) AS avg_score_base, round(avg(n), 3) AS avg_score_new, round(avg(n - b), 3) AS score_delta FROM f""",
+    SELECT count(*) AS num_prompts, round(avg((n > b)::INT), 4) AS win_rate, round(avg((n = b)::INT), 4) AS tie_rate, round(avg(b), 4) AS avg_score_base, round(avg(n), 4) AS avg_score_new, round(avg(n - b), 4) AS score_delta FROM f""",
 )
 def model_comparison(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "text")
@@ -513,7 +513,7 @@ def model_comparison(t: Tables) -> DataFrame:
     two = d.select((F.col("doc_id") - 2).alias("doc_id"), F.col("text").alias("reference"))
     rows = d.withColumnRenamed("text", "base_answer").join(one, "doc_id").join(two, "doc_id")
     out = evals.compare_models(rows)
-    return out.select("num_prompts", *[F.round(c, 3).alias(c) for c in ("win_rate", "tie_rate", "avg_score_base", "avg_score_new", "score_delta")])
+    return out
 
 
 def option_rows(t: Tables) -> DataFrame:

@@ -247,12 +247,12 @@ def qa_rows(t: Tables) -> DataFrame:
 
 @query(
     "qa_scores",
-    f"""WITH {_QA} SELECT coalesce(qt, '__all__') AS question_type, round(avg(f1), 3) AS f1, round(avg(em), 3) AS em, round(coalesce(avg(jc::INT) FILTER (err = ''), -1), 3) AS judge_acc,
+    f"""WITH {_QA} SELECT coalesce(qt, '__all__') AS question_type, round(avg(f1), 4) AS f1, round(avg(em), 4) AS em, round(coalesce(avg(jc::INT) FILTER (err = ''), -1), 4) AS judge_acc,
       count(*) AS n, count(*) FILTER (err <> '') AS errors FROM fs GROUP BY ROLLUP (qt)""",
 )
 def qa_scores(t: Tables) -> DataFrame:
     out = evals.qa_scores(qa_rows(t))
-    return out.select("question_type", F.round("f1", 3).alias("f1"), F.round("em", 3).alias("em"), F.round(F.coalesce("judge_acc", F.lit(-1.0)), 3).alias("judge_acc"), "n", "errors")
+    return out.select("question_type", "f1", "em", F.coalesce("judge_acc", F.lit(-1.0)).alias("judge_acc"), "n", "errors")
 
 
 @query("qa_pair_scores", f"WITH {_QA} SELECT case_id, round(CASE WHEN np = '' OR ng = '' THEN (np = ng)::INT ELSE f1 END, 6) AS f1, (np = ng)::INT::DOUBLE AS em FROM fs")
