@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, langid, lm, neardup, pii, urls
+from tidemark.llm import bpe, chat, decontaminate, fingerprint, langid, lm, neardup, pii, urls
 from tidemark.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -109,3 +109,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+
+
+@query("op7_fingerprint")
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_versions(table(spark, sf_dir, "documents"))
