@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, fingerprint, langid, lm, neardup, pii, urls
+from tidemark.llm import bpe, chat, decontaminate, fingerprint, langid, lm, neardup, pii, repeats, urls
 from tidemark.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -114,3 +114,8 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_fingerprint")
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_versions(table(spark, sf_dir, "documents"))
+
+
+@query("op5_repeats")
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))

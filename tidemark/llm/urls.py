@@ -1,23 +1,17 @@
 """URL filters: host and path rules first, then a list of canonical URLs.
 
-The list is asked through a blocked Bloom filter: a table of 256-bit blocks, every URL sets one bit in
-each of the eight words of a single block. The filter is built and probed with column expressions, and
-its size has a fixed bound, so it is always small enough to send to every executor; past that bound
-only its share of false hits grows. Possible hits then meet the list in an exact hash join, which
-removes the false ones. A null URL or one without "://" has an empty host and path and is on no list.
+The list is asked through a blocked Bloom filter of bounded size (module bloom), which is sent to every
+executor. Possible hits then meet the list in an exact hash join, which removes the false ones. A null URL or one without "://" has an empty host and path and is on no list.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import bloom
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORDS = 8
-#: Bits of filter per listed URL, and the most blocks (of 32 bytes) that it may have.
-BITS_PER_URL, MOST_BLOCKS = 16, 1 << 17
 #: Parameters that do not change what a URL shows, and host labels of the same site.
 NOISE, SAME_SITE = "^(utm_|ref=)", r"^(www|m)\."
 
@@ -54,32 +48,17 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return out
 
 
-def _bits(url: Column) -> list[Column]:
-    spread = F.xxhash64(url, F.lit(1))
-    return [F.call_function("shiftleft", F.lit(1), F.shiftrightunsigned(spread, 5 * j).bitwiseAND(F.lit(31).cast("bigint")).cast("int")) for j in range(WORDS)]
-
-
-def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
-    """The filter as rows: block, w0 .. w7."""
-    bits = listed.select(F.pmod(F.xxhash64("canonical"), F.lit(blocks)).alias("block"), *[b.alias(f"w{j}") for j, b in enumerate(_bits(F.col("canonical")))])
-    return bits.groupBy("block").agg(*[F.bit_or(f"w{j}").alias(f"w{j}") for j in range(WORDS)])
-
-
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", most_blocks: int = MOST_BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", listed_col: str = "url", most_blocks: int = bloom.MOST_BLOCKS) -> DataFrame:
     """Judge every URL: the rule's verdict where one fits, else block if its canonical form is listed.
 
     `rules`: ("host/path", "allow" or "block"). Output: the id, host, path, canonical, rule, listed
     (boolean) and verdict; repeated rows stay repeated.
     """
     asked = listed.select(canonical(F.col(listed_col)).alias("canonical")).filter(F.col("canonical") != "").distinct()
-    count = asked.count()
-    blocks = max(1, min(most_blocks, -(-count * BITS_PER_URL // (32 * WORDS))))
     url = F.col(url_col)
     seen = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
     seen = seen.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    probe = seen.withColumn("block", F.pmod(F.xxhash64("canonical"), F.lit(blocks)))
-    hit = reduce(lambda a, b: a & b, [F.col(f"w{j}").bitwiseAND(b) != 0 for j, b in enumerate(_bits(F.col("canonical")))])
-    probe = probe.join(F.broadcast(bloom_blocks(asked, blocks)), "block", "left").withColumn("maybe", F.coalesce(hit, F.lit(False)))
+    probe = bloom.ask(seen, "canonical", asked, "canonical", most_blocks)
     columns = [id_col, "host", "path", "canonical", "rule"]
     out = probe.filter(~F.col("maybe")).select(*columns, F.lit(False).alias("listed"))
     sure = probe.filter("maybe").select(*columns).join(asked.withColumn("on_list", F.lit(True)), "canonical", "left")
