@@ -3,10 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import bloom, bpe, decontaminate, langid, neardup, pii
+from tidemark.llm.queries import vocabulary
 from tidemark.llm.store import keep
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of its letters that a text's language must hold.
+LEAST_SHARE = 0.5
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` without those whose doc_id is in `ids`; only rows a Bloom filter cannot clear are shuffled."""
+    asked = bloom.ask(docs, "doc_id", ids, "doc_id")
+    sure = asked.filter("NOT maybe").select(*docs.columns)
+    return sure.unionByName(asked.filter("maybe").select(*docs.columns).join(ids, "doc_id", "left_anti"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters, or of which no language holds LEAST_SHARE, go; the others get the language found."""
+    model = langid.train(docs)
+    found = langid.identify(docs, model, carry=("text", "source", "n_chars"))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates (five words, 0.8) the smallest doc_id stays."""
+    found = keep(neardup.near_duplicates(docs, size=5).filter("NOT kept").select("doc_id").distinct(), "copies")
+    return without(docs, found).select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    found = keep(decontaminate.find_leaks(docs, items).select("doc_id").distinct(), "leaks")
+    return without(docs, found).select(*COLUMNS)
+
+
+def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    found = pii.find_pii(docs, with_text=True, carry=("lang", "source"))
+    return found.withColumnRenamed("masked", "text").withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return bpe.encode_texts(docs, vocabulary(), with_ids=False)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("pii", without_pii), ("bpe", encoded)]
 
 #: Language identification, near-duplicate search and tagging have no SQL form; tests/llm compares them with plain versions.
 ORACLE_SQL = None

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text one numpy pass holds at a time; a longer single text is still taken whole.
 PIECE_BYTES = 2_000_000
@@ -122,3 +124,9 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 def signed(values: np.ndarray) -> np.ndarray:
     """Unsigned hashes as the longs Spark has."""
     return np.ascontiguousarray(values, np.uint64).view(np.int64)
+
+
+def carrying(df: DataFrame, columns: tuple[str, ...]) -> tuple[list[Column], str]:
+    """Columns that pass an operator unchanged: under names c0, c1, ... on the way in, and their schema on the way out."""
+    named = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    return named, "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import LOWER, pieces, text_bytes
+from tidemark.llm.batches import LOWER, carrying, pieces, text_bytes
 
 PAIRS, TRIPLES = 1 << 16, 1 << 17
 #: Cost of changing the language between two words, and the most that one word may say.
@@ -182,15 +182,16 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     return Model(languages, counts)
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Language of every text.
 
     Output: the id, lang_pred, score (share of letters), n_langs and, with `with_spans`, spans
-    (array of language and number of words, in order).
+    (array of language and number of words, in order). `carry` names columns to pass on.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, lang_pred string, score double, n_langs int" + ", spans array<struct<lang: string, words: int>>" * with_spans
+    named, more = carrying(df, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = sent.value
@@ -219,6 +220,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 columns = [piece.column("id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(many, pa.int32())]
                 if with_spans:
                     columns.append(pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "lang_pred", "score", "n_langs", "spans"][: len(columns)])
+                columns += [piece.column(f"c{i}") for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "lang_pred", "score", "n_langs", *["spans"] * with_spans, *carry])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *named).mapInArrow(run, schema + more)

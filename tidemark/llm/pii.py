@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import pieces, text_bytes
+from tidemark.llm.batches import carrying, pieces, text_bytes
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -426,16 +426,17 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, field: Field | None = None) -> DataFrame:
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, field: Field | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Personal data of every text.
 
     Output: the id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans ("kind:start:end"
-    joined by commas, base and field together, code points), n_spans and, with `with_text`, masked.
+    joined by commas, base and field together, code points), n_spans and, with `with_text`, masked. `carry` names columns to pass on.
     """
     model = df.sparkSession.sparkContext.broadcast(field or default_field())
     reach = model.value.reach
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint" + ", masked string" * with_text
+    named, more = carrying(df, carry)
     line = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,6 +452,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
                 columns = list(zip(*rows, strict=True))
                 types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()] + [pa.string()] * with_text
                 arrays = [piece.column("id")] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "masked"][: len(arrays)])
+                arrays += [piece.column(f"c{i}") for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", *["masked"] * with_text, *carry])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *named).mapInArrow(run, schema + more)
