@@ -7,13 +7,19 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as tx
 from tidemark.session import spread
 
+# What counts as a heading, a blank line and a line end.
 HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*$")
+LEVELS = 6
+BLANK_LINES = re.compile(r"\n\s*\n")
+LINE_ENDS = "\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 CHUNK_SCHEMA = (
     "id string, document_id string, chunk_index int, text string, heading_path string, line_start int, "
     "line_end int, token_count int, content_hash string, parent_id string, chunk_type string, parent_chunk_index int"
@@ -24,55 +30,48 @@ def _digest(prefix: str, *parts: object) -> str:
     return prefix + hashlib.sha1(":".join(map(str, parts)).encode()).hexdigest()[:20]
 
 
-def _sections(content: str) -> Iterator[tuple[str, int, str]]:
-    """(heading path, first line number, text) for every stretch that starts at a heading."""
-    open_headings: dict[int, str] = {}
-    path, start, body = "", 1, []
-    for number, line in enumerate(content.splitlines(), 1):
-        heading = HEADING.match(line)
-        if heading:
-            if body:
-                yield path, start, "\n".join(body)
-                body = []
-            level = len(heading[1])
-            open_headings = {k: v for k, v in open_headings.items() if k < level} | {level: heading[2].strip()}
-            path = " > ".join(open_headings.values())
-        if not body:
-            start = number
-        body.append(line)
-    if body:
-        yield path, start, "\n".join(body)
-
-
-def _windows(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Sliding cuts of a text that has no better place to break."""
-    step = max(size - overlap, 1)
-    for at in range(0, max(len(text) - overlap, 1), step):
-        piece = text[at : at + size].strip()
-        if piece:
-            yield piece
-        if at + size >= len(text):
-            return
-
-
-def _pieces(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Whole paragraphs packed up to `size`; a longer paragraph is cut by windows."""
-    if len(text) <= size:
-        yield text
-        return
-    pack = ""
-    for block in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
-        joined = f"{pack}\n\n{block}" if pack else block
-        if len(joined) <= size:
-            pack = joined
-            continue
-        if pack:
-            yield pack
-        pack = "" if len(block) > size else block
-        if not pack:
-            yield from _windows(block, size, overlap)
-    if pack:
-        yield pack
+def _outline(lines: list[str]) -> tuple[np.ndarray, list[str]]:
+    """First line of every section, and the headings it stands under.
+
+    A section begins at each heading, and at the top if no heading is there. Of each level the latest
+    heading counts, unless one of a lower level came after it.
+    """
+    found = [(i, len(m[1]), m[2].strip()) for i, m in enumerate(map(HEADING.match, lines)) if m]
+    if not found:
+        return np.zeros(1, np.int64), [""]
+    at, level, titles = zip(*found)
+    latest = np.full((LEVELS, len(found)), -1)
+    latest[np.array(level) - 1, np.arange(len(found))] = np.arange(len(found))
+    latest = np.maximum.accumulate(latest, axis=1)  # level x heading -> latest heading of the level so far
+    above = np.vstack([np.full(len(found), -1), np.maximum.accumulate(latest, axis=0)[:-1]])
+    paths = [" > ".join(titles[j] for j in column[column > over].tolist()) for column, over in zip(latest.T, above.T)]
+    top = [0] if at[0] else []
+    return np.array([*top, *at]), [""] * len(top) + paths
+
+
+def _packed(lengths: np.ndarray, room: int, gap: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring blocks that fit into `room` with `gap` between two, filled from the left."""
+    ends = np.cumsum(lengths + gap)
+    out, start = [], 0
+    while start < len(lengths):
+        used = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, used + room + gap, side="right")))
+        out.append((start, stop))
+        start = stop
+    return out
+
+
+def _pieces(text: str, room: int, overlap: int) -> list[str]:
+    """A section as pieces: packed paragraphs; a paragraph that has no room is cut every room - overlap characters."""
+    if len(text) <= room:
+        return [text] if text else []
+    blocks = [b for b in (raw.strip() for raw in BLANK_LINES.split(text)) if b]
+    out: list[str] = []
+    for start, stop in _packed(np.array([len(b) for b in blocks]), room, 2):
+        body, step = "\n\n".join(blocks[start:stop]), room - overlap
+        cuts = 1 + max(0, -(-(len(body) - room) // step))
+        out += [body] if cuts == 1 else [body[k * step : k * step + room].strip() for k in range(cuts)]
+    return [piece for piece in out if piece]
 
 
 def _limits(size: int, overlap: int) -> tuple[int, int]:
@@ -81,30 +80,22 @@ def _limits(size: int, overlap: int) -> tuple[int, int]:
 
 
 def _chunks(document_id: str, content: str, size: int, overlap: int) -> list[dict]:
-    size, overlap = _limits(size, overlap)
-    rows: list[dict] = []
-    for path, line, raw in _sections(content):
-        text = raw.strip()
-        for piece in _pieces(text, size, overlap) if text else ():
-            height = piece.count("\n") + 1
-            rows.append(
-                {
-                    "id": _digest("kchunk_", document_id, len(rows), piece),
-                    "document_id": document_id,
-                    "chunk_index": len(rows),
-                    "text": piece,
-                    "heading_path": path,
-                    "line_start": line,
-                    "line_end": line + height - 1,
-                    "token_count": max(1, len(piece) // 4),
-                    "content_hash": hashlib.sha256(piece.encode()).hexdigest(),
-                    "parent_id": None,
-                    "chunk_type": "child",
-                    "parent_chunk_index": None,
-                }
-            )
-            line += height
-    return rows
+    """Rows of one document. A piece is placed below the ones before it in its section, by counted lines."""
+    room, shared = _limits(size, overlap)
+    lines = content.splitlines()
+    starts, paths = _outline(lines)
+    found = [(path, int(a) + 1, piece) for path, a, b in zip(paths, starts, [*starts[1:], len(lines)]) for piece in _pieces("\n".join(lines[a:b]).strip(), room, shared)]
+    height = np.array([piece.count("\n") + 1 for _, _, piece in found], np.int64)
+    above = np.cumsum(height) - height
+    section = np.array([first for _, first, _ in found], np.int64)
+    line = section + above - above[np.searchsorted(section, section)] if found else section
+    return [
+        {
+            "id": _digest("kchunk_", document_id, index, piece), "document_id": document_id, "chunk_index": index, "text": piece, "heading_path": path, "line_start": int(top), "line_end": int(top + tall) - 1,
+            "token_count": max(1, len(piece) // 4), "content_hash": hashlib.sha256(piece.encode()).hexdigest(), "parent_id": None, "chunk_type": "child", "parent_chunk_index": None,
+        }
+        for index, ((path, _, piece), top, tall) in enumerate(zip(found, line, height))
+    ]
 
 
 def _families(document_id: str, content: str, parent: tuple[int, int], child: tuple[int, int]) -> list[dict]:
@@ -157,33 +148,20 @@ def chunk_parent_child(
     return _map_documents(docs, lambda k, t: _families(k, t, parent, child), id_col, content_col)
 
 
-def _memory_blocks(text: str, limit: int) -> Iterator[str]:
-    """`##` sections; long ones by paragraph; long paragraphs by bullet."""
-    for section in map(str.strip, re.split(r"(?m)(?=^##\s)", text.strip())):
-        parts = [section] if len(section) <= limit else map(str.strip, re.split(r"\n{2,}", section))
-        for part in filter(None, parts):
-            if len(part) <= limit:
-                yield part
-                continue
-            bullet: list[str] = []
-            for line in filter(None, map(str.strip, part.splitlines())):
-                if bullet and re.match(r"[-*]\s", line):
-                    yield "\n".join(bullet)
-                    bullet = []
-                bullet.append(line)
-            if bullet:
-                yield "\n".join(bullet)
+def _full(parts: Column) -> Column:
+    return F.filter(F.transform(parts, tx.strip), lambda p: p != "")
 
 
 def chunk_memory_text(docs: DataFrame, max_chars: int = 400, id_col: str = "id", content_col: str = "content") -> DataFrame:
-    """(id, pos, block) of a memory text: sections, paragraphs or bullets."""
-
-    @F.udf("array<string>", useArrow=True)
-    def blocks(text):
-        return list(_memory_blocks(text or "", max_chars))
-
-    slim = spread(docs.select(F.col(id_col).alias("id"), F.col(content_col).alias("text")))
-    return slim.select("id", F.posexplode(blocks("text")).alias("pos", "block"))
+    """(id, pos, block) of a memory text: `##` sections, long ones by paragraph, long paragraphs by bullet."""
+    short = lambda part, rest: F.when(F.length(part) <= max_chars, F.array(part)).otherwise(rest(part))
+    each = lambda parts, rest: F.flatten(F.transform(parts, lambda p: short(p, rest)))
+    solid = lambda part: F.array_join(_full(F.split(part, LINE_ENDS)), "\n")
+    bullets = lambda part: F.split(solid(part), f"\n(?=[-*]{tx.SPACE})")
+    paragraphs = lambda section: each(_full(F.split(section, "\n{2,}")), bullets)
+    sections = _full(F.split(tx.strip(F.coalesce("text", F.lit(""))), f"(?md)(?=^##{tx.SPACE})"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(content_col).alias("text"))
+    return slim.select("id", F.posexplode(each(sections, paragraphs)).alias("pos", "block"))
 
 
 def sample_chunks(blocks: DataFrame, n: int, seed: int) -> DataFrame:
