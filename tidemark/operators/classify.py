@@ -315,8 +315,16 @@ def history_entries(entries: Column) -> Column:
         ),
     )
     kept = F.filter(clean, lambda e: e["summary"] != "")
-    names = F.transform(kept, lambda e: e["summary"])
-    return F.filter(kept, lambda e, i: F.array_position(names, e["summary"]) == i + 1)
+    names = lambda all_: F.transform(all_, lambda e: e["summary"])
+    firsts = lambda both: F.filter(both["kept"], lambda e, i: F.array_position(both["names"], e["summary"]) == i + 1)
+    return tx.let(kept, lambda all_: tx.let(F.struct(all_.alias("kept"), names(all_).alias("names")), firsts))
+
+
+def history_rows(entries: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The same for entries as rows (keys, order, summary, emotional_weight): the first of each text per key."""
+    weight = F.least(F.lit(10), F.greatest(F.lit(0), F.coalesce(F.col("emotional_weight").cast("int"), F.lit(0))))
+    clean = entries.select(*keys, F.col(order), tx.strip(F.coalesce("summary", F.lit(""))).alias("summary"), weight.alias("emotional_weight")).filter("summary <> ''")
+    return clean.groupBy(*keys, "summary").agg(F.min(order).alias(order), F.min_by("emotional_weight", order).alias("emotional_weight"))
 
 
 def pending_lines(items: Column) -> Column:

@@ -254,7 +254,7 @@ def search_messages(
         F.col("seq").desc(),
         F.col("session_key"),
     )
-    return page.offset(max(0, offset)).limit(max(1, min(limit, 100))).withColumn("total", total_count)
+    return page.offset(max(0, offset)).limit(max(1, limit)).withColumn("total", total_count)
 
 
 # Catalog match weights (exact part, part overlap, full name, hint, description).

@@ -85,10 +85,10 @@ def changed_since(now_df: DataFrame, base_df: DataFrame) -> DataFrame:
     return first.select("item_id", "memory_type", "summary", "r.*")
 
 
-def page(df: DataFrame, allowed: Sequence[str], sort_by: str, ascending: bool, number: int, size: int, id_col: str, max_size: int = 200) -> DataFrame:
+def page(df: DataFrame, allowed: Sequence[str], sort_by: str, ascending: bool, number: int, size: int, id_col: str) -> DataFrame:
     """One page of a table, sorted by an allowed column (else the first allowed) and the id, with the total."""
     column = sort_by if sort_by in allowed else allowed[0]
-    rows = max(1, min(int(size), max_size))
+    rows = max(1, int(size))
     total = df.agg(F.count(F.lit(1)).alias("c")).scalar()
     key = F.col(column).asc() if ascending else F.col(column).desc()
     cut = df.orderBy(key, F.col(id_col)).offset((max(1, int(number)) - 1) * rows).limit(rows)

@@ -169,21 +169,25 @@ def rollup_evidence(items: DataFrame) -> DataFrame:
     return items.select(F.substring(F.sha1(F.concat_ws("\n", F.col("memory_type"), key)), 1, 16).alias("candidate_id"), "id")
 
 
-def prompt_cost(calls: DataFrame) -> DataFrame:
-    """Sizes of a model call: `messages` array<struct<role,content>> and `tools` array<struct<name,schema>>.
+def prompt_cost(calls: DataFrame, messages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sizes of model calls: `calls` has keys and `tools` array<struct<name,schema>>, `messages` keys, pos, role, content.
 
-    Adds system, message and schema characters, tool count, estimated tokens and the five
-    largest schemas.
+    Adds system, message and schema characters, tool count, estimated tokens and the five largest
+    schemas. The size of the JSON list of messages is summed up message by message.
     """
-    sized = calls.withColumn("messages_json_chars", F.length(F.to_json("messages"))).withColumn("tools_schema_chars", F.length(F.to_json("tools")))
-    first = F.try_element_at("messages", F.lit(1))
+    text = F.struct("role", "content")
+    said = messages.select(*keys, "pos", "role", F.coalesce(F.length("content"), F.lit(0)).alias("chars"), F.length(F.to_json(text)).alias("json"))
+    sums = said.groupBy(*keys).agg(
+        (F.sum("json") + F.count(F.lit(1)) + 1).alias("__json"), F.sum("chars").alias("__chars"), F.min_by(F.struct("role", "chars"), "pos").alias("__first"),
+    )
+    joined = calls.join(sums, list(keys), "left").withColumn("messages_json_chars", F.coalesce("__json", F.lit(2))).withColumn("tools_schema_chars", F.length(F.to_json("tools")))
     ranked = F.slice(
         F.reverse(F.array_sort(F.transform("tools", lambda s: F.struct(F.length(F.to_json(s)).alias("chars"), s["name"].alias("name"))))), 1, 5
     )
-    return sized.select(
-        "*",
-        F.when(first["role"] == "system", F.length(first["content"])).otherwise(0).alias("system_chars"),
-        F.aggregate("messages", F.lit(0), lambda a, m: a + F.coalesce(F.length(m["content"]), F.lit(0))).alias("messages_chars"),
+    return joined.select(
+        *[c for c in joined.columns if not c.startswith("__")],
+        F.when(F.col("__first.role") == "system", F.col("__first.chars")).otherwise(0).alias("system_chars"),
+        F.coalesce("__chars", F.lit(0)).alias("messages_chars"),
         F.size("tools").alias("tool_count"),
         F.greatest(F.lit(1), F.floor((F.col("messages_json_chars") + F.col("tools_schema_chars")) / 3)).alias("estimated_input_tokens"),
         ranked.alias("largest_schemas"),
@@ -327,9 +331,9 @@ def quota_days(df: DataFrame, reset_hour: int, zone: str, daily_max: int, min_in
 
 
 def recent_events(df: DataFrame, start: Column, end: Column, n: int, keys: Sequence[str] = ()) -> DataFrame:
-    """The latest `n` (1..200) events of a half-open range, per key if given."""
+    """The latest `n` events of a half-open range, per key if given."""
     ranged = df.filter((F.col("ts") >= start) & (F.col("ts") < end))
-    limit = max(1, min(n, 200))
+    limit = max(1, n)
     if not keys:
         return ranged.orderBy(F.col("ts").desc(), F.col("id").desc()).limit(limit)
     return top_rows(ranged, list(keys), [F.col("ts").desc(), F.col("id").desc()], limit, "__n").drop("__n")

@@ -30,22 +30,21 @@ def changed_docs(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(stored.select("source_path", "content_hash"), ["source_path", "content_hash"], "left_anti")
 
 
-def nest_hits(events: DataFrame, items: DataFrame, key: str, item_order: str, fields: Sequence[Column], injected: Column, page: int = 1000) -> DataFrame:
+def nest_hits(events: DataFrame, items: DataFrame, key: str, item_order: str, fields: Sequence[Column], injected: Column, page: int | None = None) -> DataFrame:
     """One row per event with its items as an ordered array and the number of injected ones.
 
-    An array holds at most `page` items. An event with more continues on further rows (`part`
-    1, 2, ...), so a very large event never has to fit into one value.
+    With `page` an array holds at most that many items, and an event with more continues on further
+    rows (`part` 1, 2, ...); `injected_count` is always that of the whole event.
     """
     from tidemark.operators.windows import position, seq_bucket
 
     placed = position(items, [key], seq_bucket(item_order), [F.col(item_order), *fields], "__n")
-    parts = placed.withColumn("part", F.floor((F.col("__n") - 1) / page).cast("bigint"))
+    parts = placed.withColumn("part", (F.floor((F.col("__n") - 1) / page) if page else F.lit(0)).cast("bigint"))
     hits = parts.groupBy(key, "part").agg(
         F.array_sort(F.collect_list(F.struct(F.col("__n"), F.struct(*fields).alias("hit")))).alias("rows"),
-        F.count_if(injected).alias("injected_count"),
     )
-    nested = hits.select(key, "part", F.transform("rows", lambda r: r["hit"]).alias("hits"), "injected_count")
-    joined = events.join(nested, key, "left")
+    nested = hits.select(key, "part", F.transform("rows", lambda r: r["hit"]).alias("hits"))
+    joined = events.join(nested, key, "left").join(items.groupBy(key).agg(F.count_if(injected).alias("injected_count")), key, "left")
     return joined.withColumn("part", F.coalesce("part", F.lit(0))).withColumn("injected_count", F.coalesce("injected_count", F.lit(0)))
 
 

@@ -1,15 +1,20 @@
 """Recorded runs: summaries, checks and comparisons.
 
-A run has scenario_id, backend, passed, final_answer, llm_calls (array of structs of sizes),
-tool_chain (array of groups with calls name, status, human_interrupted) and trace_events (type,
-tool_name). The arrays belong to one run and are as long as that run.
+A run is known by scenario_id and backend and comes as rows (`RunRows`): its outcome, calls, sizes of
+model calls and trace events, each with a position. Only sums, extremes and distinct names are
+gathered per run, so a run may have any number of steps. Nested runs (llm_calls, tool_chain with
+calls, trace_events) are taken apart first.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import position, seq_bucket
+
 INTERRUPTS = ("interrupt.required", "interrupt_required")
 # Size checks and the call field they look at.
 SIZE_CHECKS = {
@@ -23,55 +28,70 @@ SIZE_CHECKS = {
 COMPARISONS = ("backend_consistency", "both_passed", "tool_call_count_delta_lte", "token_delta_lte")
 
 
-def _calls() -> Column:
-    return F.flatten(F.transform("tool_chain", lambda g: g["calls"]))
+RUN = ["scenario_id", "backend"]
+SIZES = ("system_chars", "messages_json_chars", "tools_schema_json_chars", "tool_count", "estimated_input_tokens")
 
 
-def tool_names() -> Column:
-    """Names of all calls in order, unnamed ones left out."""
-    return F.filter(F.transform(_calls(), lambda c: F.coalesce(c["name"], F.lit(""))), lambda n: n != "")
+@dataclass
+class RunRows:
+    """`outcome`: passed, final_answer. `calls`: pos, name, status, human_interrupted. `sizes`: the SIZES.
+    `events`: pos, type, tool_name. All have scenario_id and backend."""
 
+    outcome: DataFrame
+    calls: DataFrame
+    sizes: DataFrame
+    events: DataFrame
 
-def interrupt_tools() -> Column:
-    marked = F.filter("trace_events", lambda e: e["type"].isin(*INTERRUPTS))
-    return F.transform(marked, lambda e: F.coalesce(e["tool_name"], F.lit("")))
 
+def taken_apart(runs: DataFrame) -> RunRows:
+    """Rows of nested runs."""
+    call = F.posexplode(F.flatten(F.transform("tool_chain", lambda g: g["calls"]))).alias("pos", "c")
+    calls = runs.select(*RUN, call).select(*RUN, F.col("pos").cast("bigint").alias("pos"), "c.name", "c.status", "c.human_interrupted")
+    events = runs.select(*RUN, F.posexplode("trace_events").alias("pos", "e")).select(*RUN, F.col("pos").cast("bigint").alias("pos"), "e.type", "e.tool_name")
+    return RunRows(runs.select(*RUN, "passed", "final_answer"), calls, runs.select(*RUN, F.inline("llm_calls")), events)
 
-def _sum(field: str) -> Column:
-    return F.aggregate("llm_calls", F.lit(0).cast("bigint"), lambda a, c: a + F.coalesce(c[field], F.lit(0)))
 
+def _in_order(rows: DataFrame, name: str, out: str) -> DataFrame:
+    """Number, distinct values and a digest of the values in order, per run."""
+    placed = position(rows, RUN, seq_bucket("pos"), [F.col("pos")], "at")
+    half = lambda salt: F.sum(F.xxhash64("at", name, F.lit(salt)).cast("decimal(20,0)"))
+    return placed.groupBy(*RUN).agg(F.count(F.lit(1)).alias(f"n_{out}"), F.collect_set(name).alias(out), F.struct(half(0).alias("a"), half(1).alias("b")).alias(f"{out}_order"))
 
-def _peak(*fields: str) -> Column:
-    def size(c: Column) -> Column:
-        return sum((F.coalesce(c[f], F.lit(0)) for f in fields[1:]), F.coalesce(c[fields[0]], F.lit(0))).cast("bigint")
 
-    return F.coalesce(F.array_max(F.transform("llm_calls", size)), F.lit(0))
+def run_facts(runs: DataFrame | RunRows) -> DataFrame:
+    """One row per run with all that summaries and checks ask for."""
+    rows = runs if isinstance(runs, RunRows) else taken_apart(runs)
+    shell = (F.col("name") == "shell") & (F.col("status") == "success") & ~F.coalesce("human_interrupted", F.lit(False))
+    calls = rows.calls.groupBy(*RUN).agg(F.count(F.lit(1)).alias("calls"), F.count_if(shell).alias("direct_shell"))
+    named = _in_order(rows.calls.filter(F.coalesce("name", F.lit("")) != "").select(*RUN, "pos", "name"), "name", "names")
+    stops = rows.events.filter(F.col("type").isin(*INTERRUPTS)).select(*RUN, "pos", F.coalesce("tool_name", F.lit("")).alias("tool"))
+    size = lambda f: F.coalesce(F.col(f), F.lit(0)).cast("bigint")
+    sizes = rows.sizes.groupBy(*RUN).agg(
+        *[F.max(size(f)).alias(f"peak_{f}") for f in SIZES], F.max(size("messages_json_chars") + size("tools_schema_json_chars")).alias("peak"),
+        F.sum(size("messages_json_chars")).alias("prompt_chars"), F.sum(size("tools_schema_json_chars")).alias("tool_schema_chars"),
+    )
+    out = rows.outcome
+    for part in (calls, named, _in_order(stops, "tool", "stops"), sizes):
+        out = out.join(part, RUN, "left")
+    zero = ["calls", "direct_shell", "n_names", "n_stops", "peak", "prompt_chars", "tool_schema_chars", *[f"peak_{f}" for f in SIZES]]
+    none = F.array().cast("array<string>")
+    return out.fillna(0, zero).withColumn("names", F.coalesce("names", none)).withColumn("stops", F.coalesce("stops", none))
 
 
-def run_summary(runs: DataFrame) -> DataFrame:
+def run_summary(runs: DataFrame | RunRows) -> DataFrame:
     """Prompt and schema characters, calls and interrupts per run."""
-    return runs.select(
-        "scenario_id", "backend", "passed",
-        F.size(_calls()).alias("tool_call_count"),
-        F.size(interrupt_tools()).alias("interrupt_count"),
-        _sum("messages_json_chars").alias("prompt_chars"),
-        _sum("tools_schema_json_chars").alias("tool_schema_chars"),
-        (_sum("messages_json_chars") + _sum("tools_schema_json_chars")).alias("total_tokens"),
+    return run_facts(runs).select(
+        *RUN, "passed", F.col("calls").alias("tool_call_count"), F.col("n_stops").alias("interrupt_count"), "prompt_chars", "tool_schema_chars",
+        (F.col("prompt_chars") + F.col("tool_schema_chars")).alias("total_tokens"),
     )
 
 
-def check_runs(runs: DataFrame, specs: DataFrame) -> DataFrame:
+def check_runs(runs: DataFrame | RunRows, specs: DataFrame) -> DataFrame:
     """(scenario_id, backend, kind, value, passed, message) for every check of a run.
 
     `specs`: scenario_id, kind, value (text), params (map). Unknown kinds and comparisons fail.
     """
-    fields = ["system_chars", "messages_json_chars", "tools_schema_json_chars", "tool_count", "estimated_input_tokens"]
-    shell = F.filter(_calls(), lambda c: (c["name"] == "shell") & (c["status"] == "success") & ~F.coalesce(c["human_interrupted"], F.lit(False)))
-    facts = runs.select(
-        "scenario_id", "backend", "final_answer", tool_names().alias("names"), interrupt_tools().alias("stops"), F.size(shell).alias("direct_shell"),
-        _peak("messages_json_chars", "tools_schema_json_chars").alias("peak"),
-        F.create_map(*[x for f in fields for x in (F.lit(f), _peak(f))]).alias("peaks"),
-    )
+    facts = run_facts(runs).withColumn("peaks", F.create_map(*[x for f in SIZES for x in (F.lit(f), F.col(f"peak_{f}"))]))
     joined = facts.join(specs, "scenario_id")
     kind, value = F.col("kind"), F.col("value")
     limit = F.expr("try_cast(value AS BIGINT)")
@@ -84,7 +104,7 @@ def check_runs(runs: DataFrame, specs: DataFrame) -> DataFrame:
     passed = (
         F.when(kind == "required_tool", called)
         .when(kind == "forbidden_tool", ~called)
-        .when(kind == "max_tool_calls", F.size("names") <= limit)
+        .when(kind == "max_tool_calls", F.col("n_names") <= limit)
         .when(kind == "max_tokens", F.col("peak") <= limit)
         .when(kind.isin(*SIZE_CHECKS), observed <= limit)
         .when(kind == "cost_regression_lte", regression <= limit)
@@ -96,7 +116,7 @@ def check_runs(runs: DataFrame, specs: DataFrame) -> DataFrame:
     )
     message = (
         F.when(kind.isin(*COMPARISONS), F.concat(kind, F.lit(" is a comparison check")))
-        .when(kind == "max_tool_calls", F.concat(F.lit("tool calls="), F.size("names").cast("string"), F.lit(", limit="), value))
+        .when(kind == "max_tool_calls", F.concat(F.lit("tool calls="), F.col("n_names").cast("string"), F.lit(", limit="), value))
         .when(kind == "max_tokens", F.concat(F.lit("peak request chars="), F.col("peak").cast("string"), F.lit(", limit="), value))
         .when(kind.isin(*SIZE_CHECKS), F.concat(F.try_element_at(sizes, kind), F.lit("="), observed.cast("string"), F.lit(", limit="), value))
         .when(kind == "cost_regression_lte", F.concat(field, F.lit(" regression="), regression.cast("string"), F.lit(", limit="), value))
@@ -105,21 +125,18 @@ def check_runs(runs: DataFrame, specs: DataFrame) -> DataFrame:
     return joined.select("scenario_id", "backend", "kind", "value", F.coalesce(passed, F.lit(False)).alias("passed"), message.alias("message"))
 
 
-def compare_backends(runs: DataFrame, first: str, second: str) -> DataFrame:
-    """Both runs of each scenario side by side: passes, equal tools and interrupts, size deltas."""
-    facts = runs.select(
-        "scenario_id", "backend",
-        F.struct("passed", tool_names().alias("names"), interrupt_tools().alias("stops"), (_sum("messages_json_chars") + _sum("tools_schema_json_chars")).alias("chars")).alias("f"),
-    )
-    sides = facts.groupBy("scenario_id").agg(
-        F.any_value(F.when(F.col("backend") == first, F.col("f")), ignoreNulls=True).alias("a"),
-        F.any_value(F.when(F.col("backend") == second, F.col("f")), ignoreNulls=True).alias("b"),
-    )
-    same = (F.col("a.passed") == F.col("b.passed")) & (F.col("a.names") == F.col("b.names")) & (F.col("a.stops") == F.col("b.stops"))
-    return sides.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select(
+def compare_backends(runs: DataFrame | RunRows, first: str, second: str) -> DataFrame:
+    """Both runs of each scenario side by side: passes, equal tools and interrupts in order, size deltas."""
+    kept = ["passed", "n_names", "names_order", "n_stops", "stops_order", "prompt_chars", "tool_schema_chars"]
+    facts = run_facts(runs)
+    side = lambda backend: facts.filter(F.col("backend") == backend).select("scenario_id", F.struct(*kept).alias("a" if backend == first else "b"))
+    both = side(first).join(side(second), "scenario_id")
+    same = (F.col("a.passed") == F.col("b.passed")) & F.col("a.names_order").eqNullSafe(F.col("b.names_order")) & F.col("a.stops_order").eqNullSafe(F.col("b.stops_order"))
+    chars = lambda s: F.col(f"{s}.prompt_chars") + F.col(f"{s}.tool_schema_chars")
+    return both.select(
         "scenario_id",
         (F.col("a.passed") & F.col("b.passed")).alias("both_passed"),
         same.alias("consistent"),
-        F.abs(F.size("a.names") - F.size("b.names")).alias("tool_call_delta"),
-        F.abs(F.col("a.chars") - F.col("b.chars")).alias("char_delta"),
+        F.abs(F.col("a.n_names") - F.col("b.n_names")).alias("tool_call_delta"),
+        F.abs(chars("a") - chars("b")).alias("char_delta"),
     )

@@ -150,16 +150,13 @@ def consolidation_window(
     return placed.join(plan, "session_key").filter((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("up_to"))).drop("start")
 
 
-def window_refs(window: DataFrame, ids_per_row: int = 1000) -> DataFrame:
-    """JSON id lists of a consolidation window, without context frames.
-
-    A list holds at most `ids_per_row` ids; a longer window continues in further parts.
-    """
+def window_refs(window: DataFrame) -> DataFrame:
+    """The JSON id list of every consolidation window, without context frames."""
     kept = window.filter(~((F.col("role") == "user") & is_context_frame(F.col("content"))))
-    parts = kept.withColumn("part", F.floor(F.col("pos") / ids_per_row) - F.lit(0)).groupBy("session_key", "up_to", "part").agg(
+    parts = kept.groupBy("session_key", "up_to").agg(
         F.array_sort(F.collect_list(F.struct("seq", message_id().alias("id")))).alias("rows"), F.count(F.lit(1)).alias("n")
     )
-    return parts.select("session_key", "up_to", "part", "n", F.to_json(F.transform("rows", lambda r: r["id"])).alias("source_ref"))
+    return parts.select("session_key", "up_to", "n", F.to_json(F.transform("rows", lambda r: r["id"])).alias("source_ref"))
 
 
 def turn_sessions(messages: DataFrame) -> DataFrame:

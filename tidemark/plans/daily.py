@@ -14,20 +14,28 @@ def day_bounds(day: str) -> tuple[Column, Column]:
     return start, start + F.expr("INTERVAL 1 DAY")
 
 
-def daily_snapshot(runs: DataFrame, steps: DataFrame, messages: DataFrame, items: DataFrame, day: str, limit: int = 100) -> DataFrame:
+def with_status(runs: DataFrame) -> DataFrame:
+    fields = ("final_message", "skip_reason", "gate_exit", "terminal_action", "finished_at")
+    return runs.withColumn("status", observe.run_status(*[F.col(f) for f in fields]))
+
+
+def latest_missions(runs: DataFrame, day: str, n: int) -> DataFrame:
+    """The latest `n` runs of a day with their status, for display."""
+    start, end = day_bounds(day)
+    today = runs.withColumn("ts", F.col("started_at")).withColumn("id", F.col("run_id"))
+    return with_status(observe.recent_events(today, start, end, n)).drop("ts", "id")
+
+
+def daily_snapshot(runs: DataFrame, steps: DataFrame, messages: DataFrame, items: DataFrame, day: str) -> DataFrame:
     """(section, key, value) of one day: mission states, tool calls, totals, archive and status.
 
     `runs`: run_id, started_at, final_message, skip_reason, gate_exit, terminal_action,
-    finished_at. `steps`: run_id, step_index, result_text. `messages` and `items` have ts. Missions
-    are the latest `limit` runs of the day.
+    finished_at. `steps`: run_id, step_index, result_text. `messages` and `items` have ts. All runs of
+    the day count; `latest_missions` lists some of them.
     """
     start, end = day_bounds(day)
-    today = runs.withColumnRenamed("started_at", "ts").withColumn("id", F.col("run_id"))
-    recent = observe.recent_events(today, start, end, limit)
-    status = observe.run_status(
-        F.col("final_message"), F.col("skip_reason"), F.col("gate_exit"), F.col("terminal_action"), F.col("finished_at")
-    )
-    missions = recent.withColumn("status", status)
+    today = runs.withColumnRenamed("started_at", "ts")
+    missions = with_status(today.filter((F.col("ts") >= start) & (F.col("ts") < end)))
     states = missions.groupBy("status").agg(F.count(F.lit(1)).alias("value"))
     calls = run_steps(missions.select("run_id"), steps).groupBy("status").agg(F.count(F.lit(1)).alias("value"))
 

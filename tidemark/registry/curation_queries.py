@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import chunking, classify, dedup, evals, maintain, prefs, relations
+from tidemark.operators import chunking, classify, dedup, evals, maintain, prefs, relations, windows
 from tidemark.registry import sqltext as q
 from tidemark.registry.core import Tables, query
-from tidemark.registry.memory_queries import big, items, key, labelled, now, segment
+from tidemark.registry.memory_queries import big, items, key, labelled, now
 from tidemark.sources import documents, feeds, records
 
 
@@ -77,10 +77,10 @@ _HTML = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
 @query(
     "html_text",
     f"""WITH h AS (SELECT page_id, replace(replace(replace(replace({_HTML}, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS s FROM pages)
-    SELECT page_id, substr({q.strip(q.squash("s"))}, 1, 5000) AS text FROM h""",
+    SELECT page_id, {q.strip(q.squash("s"))} AS text FROM h""",
 )
 def html_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", documents.html_text(F.col("html"), 5000).alias("text"))
+    return t.pages.select("page_id", documents.html_text(F.col("html")).alias("text"))
 
 
 @query(
@@ -98,14 +98,14 @@ def legacy_nest(t: Tables) -> DataFrame:
 
 @query(
     "haystack_scan",
-    """SELECT 'q' || conv_id AS question_id, turn // 2 AS session_no, turn % 2 AS turn_no, role, md5(text) AS digest, turn // 2 = 1 AS is_answer_session, '2024-01-0' || (1 + turn // 2) AS day FROM conversations""",
+    """SELECT 'q' || conv_id AS question_id, turn // 2 AS session_no, turn % 2 AS turn_no, role, md5(text) AS digest, turn // 2 = 1 AS is_answer_session, strftime(DATE '2024-01-01' + (turn // 2)::INT, '%Y-%m-%d') AS day FROM conversations""",
 )
 def haystack_scan(t: Tables) -> DataFrame:
     turn = F.struct("turn", "role", F.col("text").alias("content"), (F.col("turn") == 2).alias("has_answer"))
     rows = t.conversations.withColumn("s", F.floor(F.col("turn") / 2)).groupBy("conv_id", "s").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     slim = F.transform("turns", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["has_answer"].alias("has_answer")))
-    nested = rows.withColumn("turns", slim).groupBy("conv_id", segment("s")).agg(F.array_sort(F.collect_list(F.struct("s", "turns"))).alias("ss"))
-    form = lambda s: F.when(s == 0, "2024-01-01").when(s == 1, "2024/01/02").otherwise(F.concat(F.lit("2024-01-0"), (s + 1).cast("string"), F.lit(" 10:00:00")))
+    nested = rows.withColumn("turns", slim).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("s", "turns"))).alias("ss"))
+    form = lambda s: F.when(s == 0, "2024-01-01").when(s == 1, "2024/01/02").otherwise(F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), s.cast("int")), "yyyy-MM-dd"), F.lit(" 10:00:00")))
     cases = nested.select(
         F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question_id"), F.lit("multi").alias("question_type"), F.lit("?").alias("question"), F.lit("!").alias("answer"),
         F.transform("ss", lambda x: F.concat(F.lit("s"), x["s"].cast("string"))).alias("haystack_session_ids"), F.transform("ss", lambda x: form(x["s"])).alias("haystack_dates"),
@@ -126,12 +126,12 @@ def haystack_scan(t: Tables) -> DataFrame:
 def persona_scan(t: Tables) -> DataFrame:
     said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     prefix = lambda m: F.when(m["role"] == "user", F.concat(F.lit(" User: "), m["text"])).otherwise(m["text"])
-    contexts = t.conversations.groupBy("conv_id", segment("turn")).agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), prefix(m).alias("content"))).alias("messages"))
-    shared = F.concat_ws("-", F.col("conv_id").cast("string"), F.nullif(F.col("segment"), F.lit(0)).cast("string")).alias("shared_context_id")
-    contexts = contexts.select(shared, "messages")
-    asked = t.conversations.select("conv_id", segment("turn")).distinct().select(
+    # the questions reach up to the third message, so no longer context is ever built
+    first = windows.top_rows(t.conversations, ["conv_id"], [F.col("turn")], 3, "n")
+    contexts = first.groupBy(F.col("conv_id").cast("string").alias("shared_context_id")).agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), prefix(m).alias("content"))).alias("messages"))
+    asked = t.conversations.select("conv_id").distinct().select(
         F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question_id"), F.lit("t").alias("question_type"), F.lit("why").alias("user_question_or_message"),
-        F.lit(" (B) ").alias("correct_answer"), F.lit("""['one', "it's b", 'c']""").alias("all_options"), shared, F.lit("3").alias("end_index_in_shared_context"),
+        F.lit(" (B) ").alias("correct_answer"), F.lit("""['one', "it's b", 'c']""").alias("all_options"), F.col("conv_id").cast("string").alias("shared_context_id"), F.lit("3").alias("end_index_in_shared_context"),
     )
     out = records.persona_cases(asked, contexts)
     return out.select("question_id", "gold_label", "gold_option", F.size("turns").cast("bigint").alias("n_turns"), F.md5("profile").alias("profile"))
@@ -263,12 +263,15 @@ def history_entries(t: Tables) -> DataFrame:
     text = F.when(F.col("role") == "system", "  ").otherwise(F.concat(F.lit(" "), "text"))
     twice = F.explode(F.sequence(F.lit(0), F.lit(1)))
     rows = t.conversations.select("conv_id", "turn", text.alias("summary"), (F.col("turn") * 2).cast("int").alias("emotional_weight"), twice.alias("again"))
-    packed = rows.groupBy("conv_id", segment("turn")).agg(F.array_sort(F.collect_list(F.struct("again", "turn", "summary", "emotional_weight"))).alias("e"))
-    slim = F.transform("e", lambda x: F.struct(x["summary"].alias("summary"), x["emotional_weight"].alias("emotional_weight")))
-    clean = packed.select("conv_id", classify.history_entries(slim).alias("h"))
-    return clean.select(
-        "conv_id", F.size("h").cast("bigint").alias("n"), F.aggregate("h", F.lit(0).cast("bigint"), lambda a, x: a + x["emotional_weight"]).alias("weight"),
-        F.md5(joined(F.transform("h", lambda x: x["summary"]))).alias("digest"),
+    kept = classify.history_rows(rows.withColumn("ord", F.struct("turn", "again")), ["conv_id"], "ord")
+    mine = kept.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("emotional_weight").alias("weight"), F.array_sort(F.collect_list(F.struct("ord", "summary"))).alias("h"),
+    )
+    every = t.conversations.select("conv_id").distinct().join(mine, "conv_id", "left")
+    none = F.array().cast("array<string>")
+    return every.select(
+        "conv_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("weight", F.lit(0)).cast("bigint").alias("weight"),
+        F.md5(joined(F.coalesce(F.transform("h", lambda x: x["summary"]), none))).alias("digest"),
     )
 
 

@@ -5,34 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import evals, runs
+from tidemark.operators import evals, prefs, runs, windows
 from tidemark.registry.core import Tables, query
 from tidemark.registry.curation_queries import ab_rows
-from tidemark.registry.memory_queries import big, segment
-from tidemark.operators import prefs
+from tidemark.registry.memory_queries import big
 from tidemark.sources import feeds, records
 from tidemark.streaming.jobs import scratch
 
 
-def recorded(t: Tables) -> DataFrame:
+def recorded(t: Tables) -> runs.RunRows:
     """One run per order, its steps from the line items; two orders share a scenario."""
+    run = [F.floor(F.col("o_orderkey") / 2).alias("scenario_id"), F.when(F.col("o_orderkey") % 2 == 0, "native").otherwise("graph").alias("backend")]
     name = F.when(F.col("l_returnflag") == "R", "shell").otherwise(F.concat(F.lit("tool"), (F.col("l_suppkey") % 3).cast("string")))
-    call = F.struct(
-        name.alias("name"), F.when(F.col("l_linestatus") == "O", "success").otherwise("error").alias("status"), (F.col("l_tax") > 0.05).alias("human_interrupted")
-    )
-    sizes = F.struct(
-        F.lit(7).alias("system_chars"), (F.col("l_quantity") * 10).cast("int").alias("messages_json_chars"), (F.col("l_partkey") % 100).cast("int").alias("tools_schema_json_chars"),
+    items = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    outcome = t.orders.join(items.select("o_orderkey").distinct(), "o_orderkey", "left_semi").select(*run, (F.col("o_orderstatus") != "F").alias("passed"), F.col("o_orderpriority").alias("final_answer"))
+    steps = windows.position(items, ["o_orderkey"], windows.seq_bucket("l_linenumber"), [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")], "pos")
+    stop = F.col("l_tax") > 0.05
+    calls = steps.select(*run, "pos", name.alias("name"), F.when(F.col("l_linestatus") == "O", "success").otherwise("error").alias("status"), stop.alias("human_interrupted"))
+    sizes = items.select(
+        *run, F.lit(7).alias("system_chars"), (F.col("l_quantity") * 10).cast("int").alias("messages_json_chars"), (F.col("l_partkey") % 100).cast("int").alias("tools_schema_json_chars"),
         F.col("l_linenumber").alias("tool_count"), F.col("l_quantity").cast("int").alias("estimated_input_tokens"),
     )
-    event = F.struct(F.when(F.col("l_tax") > 0.05, "interrupt.required").otherwise("step").alias("type"), name.alias("tool_name"))
-    at = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    steps = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey"), segment("l_linenumber")).agg(F.array_sort(F.collect_list(F.struct(*at, call.alias("call"), sizes.alias("sizes"), event.alias("event")))).alias("s"))
-    full = t.orders.join(steps, "o_orderkey")
-    return full.select(
-        F.floor(F.col("o_orderkey") / 2).alias("scenario_id"), F.when(F.col("o_orderkey") % 2 == 0, "native").otherwise("graph").alias("backend"), (F.col("o_orderstatus") != "F").alias("passed"),
-        F.col("o_orderpriority").alias("final_answer"), F.transform("s", lambda x: x["sizes"]).alias("llm_calls"),
-        F.array(F.struct(F.transform("s", lambda x: x["call"]).alias("calls"))).alias("tool_chain"), F.transform("s", lambda x: x["event"]).alias("trace_events"),
-    )
+    events = steps.select(*run, "pos", F.when(stop, "interrupt.required").otherwise("step").alias("type"), name.alias("tool_name"))
+    return runs.RunRows(outcome, calls, sizes, events)
 
 
 _STEPS = """st AS (SELECT o_orderkey, o_orderkey // 2 AS scenario_id, CASE WHEN o_orderkey % 2 = 0 THEN 'native' ELSE 'graph' END AS backend, o_orderstatus <> 'F' AS passed, o_orderpriority AS answer, l_linenumber AS n, l_partkey, l_suppkey, l_quantity,
@@ -87,10 +82,10 @@ def backend_compare(t: Tables) -> DataFrame:
     SELECT conv_id, round(CASE WHEN conv_id % 4 = 0 THEN 1.0 ELSE least(1.0::DOUBLE, (len(list_intersect(got, ['1', '5'])) + list_contains(docs, 'd2')::INT) / 3.0::DOUBLE) END, 6) AS recall_at_k, conv_id % 3 = 0 AS citation_hit FROM c""",
 )
 def rag_case_metrics(t: Tables) -> DataFrame:
-    pack = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", c.alias("v")))), lambda r: r["v"])
-    rows = t.conversations.groupBy("conv_id", segment("turn")).agg(
-        pack(F.col("turn").cast("string")).alias("chunk_ids"), pack(F.concat(F.lit("d"), (F.col("turn") % 3).cast("string"))).alias("document_ids")
-    )
+    # the metric looks at the first three ids, so no longer list is ever built
+    first = windows.top_rows(t.conversations.select("conv_id", "turn"), ["conv_id"], [F.col("turn")], 3, "n")
+    pack = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n", c.alias("v")))), lambda r: r["v"])
+    rows = first.groupBy("conv_id").agg(pack(F.col("turn").cast("string")).alias("chunk_ids"), pack(F.concat(F.lit("d"), (F.col("turn") % 3).cast("string"))).alias("document_ids"))
     gold = F.col("conv_id") % 4 != 0
     none = F.array().cast("array<string>")
     said = F.when(F.col("conv_id") % 3 == 0, "so [K1] and [K2]").when(F.col("conv_id") % 3 == 1, "so [K9]").otherwise("so")
@@ -104,7 +99,7 @@ def rag_case_metrics(t: Tables) -> DataFrame:
 @query("json_records_scan", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
 def json_records_scan(t: Tables) -> DataFrame:
     out = scratch(t.spark, "records")
-    held = t.conversations.groupBy("conv_id", segment("turn")).agg(F.collect_list(F.struct("conv_id", "turn", "role", "text")).alias("records"))
+    held = t.conversations.groupBy("conv_id", F.floor(F.col("turn") / 1000)).agg(F.collect_list(F.struct("conv_id", "turn", "role", "text")).alias("records"))
     held.select("records").write.option("maxRecordsPerFile", 1).json(out)
     rows = records.read_records(t.spark, out, "conv_id bigint, turn bigint, role string, text string")
     return rows.filter("conv_id IS NOT NULL").select("conv_id", "turn", "role", F.md5("text").alias("digest"))

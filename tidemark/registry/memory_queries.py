@@ -69,14 +69,6 @@ def typed_vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-SEGMENT = 1000
-
-
-def segment(order: str) -> Column:
-    """Cuts nested inputs made of a long conversation or order into arrays of bounded length."""
-    return F.floor(F.col(order) / SEGMENT).alias("segment")
-
-
 def big(*names: str) -> list[Column]:
     return [F.col(n).cast("bigint").alias(n) for n in names]
 

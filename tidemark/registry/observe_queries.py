@@ -10,7 +10,7 @@ from tidemark.operators import observe, policy, relations
 from tidemark.operators.windows import top_rows
 from tidemark.registry import sqltext as q
 from tidemark.registry.core import Tables, query
-from tidemark.registry.memory_queries import big, key, now, segment
+from tidemark.registry.memory_queries import big, key, now
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -254,16 +254,18 @@ def daily_digest(t: Tables) -> DataFrame:
       greatest(1, (length(mj) + length(tj)) // 3) AS estimated_input_tokens, CASE WHEN conv_id % 2 = 0 THEN 'shell' ELSE '' END AS largest FROM t""",
 )
 def prompt_cost(t: Tables) -> DataFrame:
-    calls = model_calls(t)
-    out = observe.prompt_cost(calls)
+    out = observe.prompt_cost(model_calls(t), call_messages(t), ["conv_id"])
     names = ["system_chars", "messages_chars", "messages_json_chars", "tools_schema_chars", "tool_count", "estimated_input_tokens"]
     return out.select("conv_id", *big(*names), F.coalesce(F.try_element_at("largest_schemas", F.lit(1))["name"], F.lit("")).alias("largest"))
 
 
+def call_messages(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", F.col("turn").alias("pos"), "role", F.col("text").alias("content"))
+
+
 def model_calls(t: Tables) -> DataFrame:
-    """One call per conversation, or per stretch of a very long one."""
-    said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    rows = t.conversations.groupBy("conv_id", segment("turn")).agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
+    """One call per conversation."""
+    rows = t.conversations.select("conv_id").distinct()
     tools = F.array(
         F.struct(F.lit("shell").alias("name"), F.lit("run a command").alias("schema")), F.struct(F.lit("read").alias("name"), F.lit("f").alias("schema"))
     )
@@ -277,9 +279,9 @@ def model_calls(t: Tables) -> DataFrame:
     FROM conversations GROUP BY conv_id""",
 )
 def cost_delta(t: Tables) -> DataFrame:
-    full = model_calls(t)
-    lean = full.withColumn("messages", F.filter("messages", lambda m: m["role"] != "system"))
-    delta = observe.cost_delta(observe.prompt_cost(full), observe.prompt_cost(lean), ["conv_id", "segment"])
+    calls, said = model_calls(t), call_messages(t)
+    lean = said.filter("role <> 'system'")
+    delta = observe.cost_delta(observe.prompt_cost(calls, said, ["conv_id"]), observe.prompt_cost(calls, lean, ["conv_id"]), ["conv_id"])
     return delta.select("conv_id", (F.col("messages_json_chars") < 0).cast("int").alias("had_system"), *big("tool_count", "system_chars"))
 
 

@@ -137,5 +137,5 @@ def daily_snapshot(t: Tables) -> DataFrame:
     steps = t.lineitem.select(
         F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("step_index"), F.when(F.col("l_returnflag") == "R", "error").otherwise("ok").alias("result_text")
     )
-    out = daily.daily_snapshot(runs, steps, t.lineitem.select(F.col("l_shipdate").alias("ts")), t.events.select("ts"), "1998-06-03", limit=200)
+    out = daily.daily_snapshot(runs, steps, t.lineitem.select(F.col("l_shipdate").alias("ts")), t.events.select("ts"), "1998-06-03")
     return out.select("section", "key", *big("value"))

@@ -66,8 +66,8 @@ def _decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(html.unescape, na_action="ignore")
 
 
-def html_text(col: Column, max_chars: int = 50_000) -> Column:
-    """Visible text of a page, on one line, at most `max_chars` characters.
+def html_text(col: Column, max_chars: int | None = None) -> Column:
+    """Visible text of a page, on one line, at most `max_chars` characters if given.
 
     A dropped element takes the text right behind it along, up to the next tag.
     """
@@ -76,4 +76,5 @@ def html_text(col: Column, max_chars: int = 50_000) -> Column:
         out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>[^<]*", "")
     out = F.regexp_replace(out, r"(?is)<embed\b[^>]*>[^<]*", "")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
-    return F.substring(tx.strip(tx.squash(_decoded(out))), 1, max_chars)
+    text = tx.strip(tx.squash(_decoded(out)))
+    return text if max_chars is None else F.substring(text, 1, max_chars)
