@@ -42,7 +42,7 @@ _PAYLOAD = f"""p AS (SELECT event_id AS n, user_id % 10 AS srv, event_type, '{{'
 @query(
     "feed_normalize",
     f"""WITH {_PAYLOAD}, r AS (SELECT n, CASE WHEN event_type IN ('error', 'signup') THEN 'alert' ELSE 'content' END AS kind, srv, event_type, k, 's' || srv AS source_name FROM p)
-    SELECT n, kind, CASE WHEN n % 3 = 0 THEN 'e' || n ELSE CASE kind WHEN 'alert' THEN 'gev_' ELSE 'gcv_' END || substr(sha1('{{"ack_server": "srv' || srv || '", "content": "' || event_type || '", "k": ' || k || ', "kind": "' || kind || '", "source_name": " s' || srv || ' "}}'), 1, 12) END AS event_id,
+    SELECT n, kind, CASE WHEN n % 3 = 0 THEN 'e' || n ELSE CASE kind WHEN 'alert' THEN 'gev_' ELSE 'gcv_' END || substr(sha1('{{"ack_server": "srv' || srv || '", "content": "' || event_type || '", "k": ' || k || ', "kind": "' || kind || '", "note": {{"a": [1], "b": "\\u00e9\\""}}, "source_name": " s' || srv || ' "}}'), 1, 12) END AS event_id,
       source_name, event_type AS content, 'srv' || srv AS ack_server, CASE WHEN kind = 'alert' AND n % 3 <> 0 THEN '' WHEN n % 3 = 0 THEN 'e' || n ELSE 'made' END AS ack FROM r""",
 )
 def feed_normalize(t: Tables) -> DataFrame:
@@ -50,7 +50,7 @@ def feed_normalize(t: Tables) -> DataFrame:
     given = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("e"), F.col("event_id").cast("string")))
     name = F.concat(F.lit(" s"), (F.col("user_id") % 10).cast("string"), F.lit(" "))
     payload = F.to_json(
-        F.struct(given.alias("event_id"), F.col("event_type").alias("content"), key().alias("k"), kind.alias("kind"), name.alias("source_name"))
+        F.struct(given.alias("event_id"), F.col("event_type").alias("content"), key().alias("k"), kind.alias("kind"), name.alias("source_name"), F.struct(F.lit('é"').alias("b"), F.array(F.lit(1)).alias("a")).alias("note"))
     )
     rows = t.events.select(F.col("event_id").alias("n"), payload.alias("payload"), F.concat(F.lit("srv"), (F.col("user_id") % 10).cast("string")).alias("server"))
     both = feeds.normalize_feed(rows, "alert").unionByName(feeds.normalize_feed(rows, "content"))

@@ -16,8 +16,21 @@ from tidemark.sources import versions
 from tidemark.streaming import jobs
 
 
-def stream(t: Tables, name: str) -> DataFrame:
-    return jobs.read_stream(t.spark, t.root, getattr(t, name).schema, glob=f"{name}.parquet")
+#: Files that a table is dealt into at least, and the rows of one file.
+LEAST_PARTS, PART_ROWS = 5, 200_000
+
+
+def stream(t: Tables, name: str, order: str = "ts") -> DataFrame:
+    """The table as files that follow `order`, written one after the other and read one per batch."""
+    rows, out = getattr(t, name), jobs.scratch(t.spark, name)
+    parts = max(LEAST_PARTS, -(-rows.count() // PART_ROWS))
+    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    at, edges = F.col(order), [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges[:-1], edges[1:]):
+        part = rows if low is None else rows.filter(at > F.lit(low))
+        part = part if high is None else part.filter(at <= F.lit(high))
+        part.coalesce(1).write.mode("append").parquet(out)
+    return jobs.read_stream(t.spark, out, rows.schema, files_per_trigger=1)
 
 
 def finish(t: Tables, rows: DataFrame, name: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -43,11 +56,17 @@ def stream_traces(t: Tables) -> DataFrame:
     return union.groupBy("kind", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), longest.alias("max_args"))
 
 
-@query("stream_seen_dedup", f"SELECT DISTINCT 'mcp:s' || (user_id % 10) AS source_key, {q.key_of()} AS item_id FROM events")
+@query(
+    "stream_seen_dedup",
+    f"""WITH RECURSIVE e AS (SELECT 'mcp:s' || (user_id % 10) AS s, {q.key_of()} AS d, event_id, ts, row_number() OVER (PARTITION BY user_id % 10, {q.key_of()} ORDER BY ts, event_id) AS n FROM events),
+    a AS (SELECT s, d, event_id, n, ts AS last, true AS allowed FROM e WHERE n = 1
+      UNION ALL SELECT e.s, e.d, e.event_id, e.n, CASE WHEN e.ts - a.last > INTERVAL 72 HOUR THEN e.ts ELSE a.last END, e.ts - a.last > INTERVAL 72 HOUR FROM a JOIN e ON e.s = a.s AND e.d = a.d AND e.n = a.n + 1)
+    SELECT s AS source_key, d AS item_id, event_id FROM a WHERE allowed""",
+)
 def stream_seen_dedup(t: Tables) -> DataFrame:
     source = F.concat(F.lit("mcp:s"), (F.col("user_id") % 10).cast("string"), F.lit(":"), F.col("event_type"))
-    rows = stream(t, "events").select(source.alias("source_key"), key().alias("item_id"), "ts")
-    return finish(t, jobs.stream_unseen(rows, "72 hours"), "seen").select("source_key", "item_id")
+    rows = stream(t, "events").select(source.alias("source_key"), key().alias("item_id"), F.col("event_id").alias("id"), "ts")
+    return finish(t, jobs.stream_unseen(rows, 72), "seen").select("source_key", "item_id", F.col("id").alias("event_id"))
 
 
 @query(
@@ -100,7 +119,7 @@ def stream_cursor_filter(t: Tables) -> DataFrame:
 def posts_stream(t: Tables) -> DataFrame:
     plain = F.concat(F.lit("岗位职责：\n"), "text")
     named = F.concat(F.lit("职位: #"), "source", F.lit("  "), "lang", F.lit("\n岗位要求: "), "text")
-    return stream(t, "documents").select("doc_id", F.when(F.col("n_chars") % 3 == 0, plain).otherwise(named).alias("text"))
+    return stream(t, "documents", "doc_id").select("doc_id", F.when(F.col("n_chars") % 3 == 0, plain).otherwise(named).alias("text"))
 
 
 @query(
@@ -133,7 +152,7 @@ def stream_feed_union(t: Tables) -> DataFrame:
 
 @query("stream_index", f"SELECT 'kdoc_' || substr(sha1(source || '/' || doc_id || '.md'), 1, 20) AS document_id, sha256(text) AS content_hash FROM documents")
 def stream_index(t: Tables) -> DataFrame:
-    files = stream(t, "documents").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("source_path"), F.col("text").alias("content"))
+    files = stream(t, "documents", "doc_id").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("source_path"), F.col("text").alias("content"), F.col("doc_id").alias("mtime"))
     out = jobs.scratch(t.spark, "index")
     jobs.start_index(files, out, lambda rows: chunking.chunk_markdown(rows)).awaitTermination()
     chunks = versions.read_current(t.spark, f"{out}/chunks").select("document_id").distinct()

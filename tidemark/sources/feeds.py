@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
 
@@ -14,14 +18,22 @@ PAYLOAD = (
 ID_PREFIX = {"alert": "gev_", "content": "gcv_"}
 
 
-def canonical_json(payload: Column) -> Column:
-    """The object with sorted keys and blanks behind separators, as text."""
+@F.pandas_udf(T.StringType())
+def canonical_json(payload: pd.Series, server: pd.Series) -> pd.Series:
+    """The object as sorted JSON (at every depth, ASCII, blanks behind separators), with the server as default for `ack_server`."""
 
-    def spelled(fields: Column) -> Column:
-        pair = lambda k: F.concat(F.lit('"'), k, F.lit('": '), F.to_json(fields[k]))
-        return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(fields)), pair), ", "), F.lit("}"))
+    def spelled(text: str | None, sender: str | None) -> str | None:
+        try:
+            found = json.loads(text) if text else None
+        except ValueError:
+            found = None
+        if not isinstance(found, dict):
+            return None
+        if found.get("ack_server") is None and sender is not None:
+            found["ack_server"] = sender
+        return json.dumps(found, sort_keys=True)
 
-    return tx.let(F.try_parse_json(payload).cast("map<string,variant>"), spelled)
+    return pd.Series([spelled(t, s) for t, s in zip(payload, server)], dtype=object)
 
 
 def normalize_feed(df: DataFrame, channel: str, payload: str = "payload", server: str = "server") -> DataFrame:
@@ -33,11 +45,8 @@ def normalize_feed(df: DataFrame, channel: str, payload: str = "payload", server
     rows = df.withColumn("p", F.from_json(payload, PAYLOAD)).filter(F.col("p.kind") == channel)
     text = lambda n: tx.strip(F.coalesce(F.col(f"p.{n}"), F.lit("")))
     given = tx.present(F.col("p.event_id"))
-    # the server default is part of the payload an id is made of
-    enriched = F.when(F.get_json_object(payload, "$.ack_server").isNotNull(), F.col(payload)).otherwise(
-        F.concat(F.regexp_replace(payload, r"\}\s*$", ""), F.lit(',"ack_server":"'), F.col(server), F.lit('"}'))
-    )
-    made = F.concat(F.lit(ID_PREFIX[channel]), F.substring(F.sha1(canonical_json(enriched)), 1, 12))
+    # only rows without an id reach Python
+    made = F.concat(F.lit(ID_PREFIX[channel]), F.substring(F.sha1(canonical_json(F.when(given.isNull(), F.col(payload)), F.col(server))), 1, 12))
     published = F.try_to_timestamp(F.col("p.published_at"))
     event_id = F.coalesce(given, made)
     return rows.select(
@@ -54,15 +63,14 @@ def normalize_feed(df: DataFrame, channel: str, payload: str = "payload", server
 
 
 TRACE_KINDS = ("turns", "rag_queries", "memory_writes", "trace_events")
-ARGS_CHARS, RESULT_CHARS = 300, 500
 
 
-def trim_calls(calls: Column) -> Column:
+def trim_calls(calls: Column, args_chars: int = 300, result_chars: int = 500) -> Column:
     """Tool calls (name, args, result) with arguments and results cut for the log."""
     return F.transform(
         calls,
         lambda c: F.struct(
-            c["name"].alias("name"), F.substring(c["args"], 1, ARGS_CHARS).alias("args"), F.substring(c["result"], 1, RESULT_CHARS).alias("result")
+            c["name"].alias("name"), F.substring(c["args"], 1, args_chars).alias("args"), F.substring(c["result"], 1, result_chars).alias("result")
         ),
     )
 

@@ -48,8 +48,10 @@ def publish(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> str:
     stream = fs.create(fresh, True)
     stream.write(bytearray(path.encode()))
     stream.close()
-    pointer = Path(f"{table}/{POINTER}")
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(fresh, pointer)
+    # one step: a reader finds the old pointer or the new one, never none
+    kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fresh, Path(f"{table}/{POINTER}"), how)
     return path

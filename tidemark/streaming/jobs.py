@@ -78,17 +78,19 @@ def start_traces(df: DataFrame, out: str, available_now: bool = True):
 
 
 def start_index(files: DataFrame, out: str, cut, available_now: bool = True):
-    """Keep `docs` and `chunks` tables below `out` up to date with (source_path, content) rows.
+    """Keep `docs` and `chunks` tables below `out` up to date with (source_path, content, mtime) rows.
 
-    Unchanged documents are skipped, changed ones replace their chunks. Both tables are published
+    In a batch the row with the largest mtime counts. Unchanged documents are skipped, changed ones replace their chunks. Both tables are published
     as new versions.
     """
     from tidemark.operators import maintain
 
+    if "mtime" not in files.columns:
+        raise ValueError("an index needs the version (mtime) of every row")
+
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        order = F.col("mtime") if "mtime" in batch.columns else F.length("content")
-        newest = batch.groupBy("source_path").agg(F.max_by("content", order).alias("content"))
+        newest = batch.groupBy("source_path").agg(F.max_by("content", "mtime").alias("content"))
         found = documents.document_rows(newest)
         known = versions.current_path(spark, f"{out}/docs")
         docs = versions.read_current(spark, f"{out}/docs") if known else None
@@ -111,12 +113,6 @@ def start_index(files: DataFrame, out: str, cut, available_now: bool = True):
 # -- built-in state ---------------------------------------------------------------------------
 
 
-def stream_unseen(df: DataFrame, ttl: str, ts: str = "ts") -> DataFrame:
-    """First sight of every (source, item) within the time to live."""
-    keyed = timed(df, ts, ttl).withColumn("source_key", relations.source_key(F.col("source_key")))
-    return keyed.dropDuplicatesWithinWatermark(["source_key", "item_id"])
-
-
 def stream_window_counts(df: DataFrame, hours: int, slide: str = "1 hour", key: str = "session_key", ts: str = "ts") -> DataFrame:
     """Sends per key in trailing windows, and whether the cooldown blocks the next one."""
     counted = timed(df, ts).groupBy(F.window(ts, f"{hours} hours", slide), key).agg(F.count(F.lit(1)).alias("n"))
@@ -188,13 +184,10 @@ def _ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable")
 
 
-def stream_deliver_once(df: DataFrame, hours: int, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
-    """Mark each delivery allowed or not: a key is silent for `hours` after its last allowed send.
-
-    A suppressed repeat does not extend the silence. `df`: session_key (string), delivery_key, id
-    (bigint), ts. A state is dropped once the watermark has passed the end of its silence.
-    """
+def _silent(df: DataFrame, keys: tuple[str, str], hours: int, ts: str, delay: str) -> DataFrame:
+    """Rows with `allowed`: false within `hours` of the last allowed row of their key; refused rows do not extend that."""
     span = pd.Timedelta(hours=max(hours, 1))
+    a, b = keys
 
     def decide(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -211,26 +204,41 @@ def stream_deliver_once(df: DataFrame, hours: int, ts: str = "ts", delay: str =
         end = int((last + span).value // 1_000_000) + 1
         if end > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(end)
-        yield pd.DataFrame({"session_key": key[0], "delivery_key": key[1], "id": rows["id"], "ts": rows["ts"], "allowed": allowed})
+        yield pd.DataFrame({a: key[0], b: key[1], "id": rows["id"], "ts": rows["ts"], "allowed": allowed})
 
-    rows = timed(df.select("session_key", "delivery_key", "id", F.col(ts).alias("ts")), "ts", delay)
-    return rows.groupBy("session_key", "delivery_key").applyInPandasWithState(
-        decide, "session_key string, delivery_key string, id bigint, ts timestamp, allowed boolean", "last_us bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = timed(df.select(*keys, "id", F.col(ts).alias("ts")), "ts", delay)
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).applyInPandasWithState(decide, f"{kinds}, id bigint, ts timestamp, allowed boolean", "last_us bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_deliver_once(df: DataFrame, hours: int, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
+    """Mark each delivery allowed or not: a key is silent for `hours` after its last allowed send.
+
+    A suppressed repeat does not extend the silence. `df`: session_key, delivery_key, id (bigint), ts.
+    A state is dropped once the watermark has passed the end of its silence.
+    """
+    return _silent(df, ("session_key", "delivery_key"), hours, ts, delay)
 
 
-def stream_repeat_guard(calls: DataFrame, limit: int = 3, idle_hours: int = 24) -> DataFrame:
+def stream_unseen(df: DataFrame, ttl_hours: int, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
+    """Items whose (source, item) was not passed on within the time to live: source_key, item_id, id, ts.
+
+    The answer follows event times alone, however the input is cut into batches. `df`: source_key,
+    item_id, id (bigint), ts.
+    """
+    keyed = df.withColumn("source_key", relations.source_key(F.col("source_key")))
+    return _silent(keyed, ("source_key", "item_id"), ttl_hours, ts, delay).filter("allowed").drop("allowed")
+
+
+def stream_repeat_guard(calls: DataFrame, limit: int = 3) -> DataFrame:
     """Length of the run of identical calls per session, and whether the guard stops the call.
 
-    `calls`: session_key (string), id (bigint), ts, tool, args. A session idle for `idle_hours`
-    of event time loses its state.
+    `calls`: session_key (string), id (bigint), ts, tool, args. A session keeps one signature and one
+    number for good, as its batch twin does.
     """
     stop = max(2, limit)
 
     def guard(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last, length = state.get if state.exists else ("", 0)
         rows = _ordered(frames, ["ts", "id"])
         counts = []
@@ -239,14 +247,11 @@ def stream_repeat_guard(calls: DataFrame, limit: int = 3, idle_hours: int = 24)
             last = signature
             counts.append(length)
         state.update((last, length))
-        end = int(rows["ts"].iloc[-1].value // 1_000_000) + idle_hours * 3_600_000
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
         yield pd.DataFrame({"session_key": key[0], "id": rows["id"], "repeat_count": counts, "denied": np.asarray(counts) >= stop})
 
     signed = calls.filter(~F.col("tool").isin(*REPEATABLE_TOOLS)).select("session_key", "id", "ts", F.concat_ws(":", "tool", "args").alias("signature"))
     return timed(signed).groupBy("session_key").applyInPandasWithState(
-        guard, "session_key string, id bigint, repeat_count bigint, denied boolean", "signature string, n bigint", "append", GroupStateTimeout.EventTimeTimeout
+        guard, "session_key string, id bigint, repeat_count bigint, denied boolean", "signature string, n bigint", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -258,16 +263,13 @@ def _p90(samples: np.ndarray) -> float:
     return float((ordered[j - 1] * (10 - delta) + ordered[j] * delta) / 10.0)
 
 
-def stream_latency(df: DataFrame, window: int = 20, default: float = 25.0, idle_hours: int = 24) -> DataFrame:
+def stream_latency(df: DataFrame, window: int = 20, default: float = 25.0) -> DataFrame:
     """P90 of the last `window` samples per key after each sample; `default` below three samples.
 
     `df`: key (string), id (bigint), ts, seconds.
     """
 
     def track(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         kept = list(state.get[0]) if state.exists else []
         rows = _ordered(frames, ["ts", "id"])
         leads = []
@@ -275,12 +277,9 @@ def stream_latency(df: DataFrame, window: int = 20, default: float = 25.0, idle_
             kept = [*kept[-(window - 1) :], float(seconds)]
             leads.append(default if len(kept) < 3 else _p90(np.asarray(kept)))
         state.update((kept,))
-        end = int(rows["ts"].iloc[-1].value // 1_000_000) + idle_hours * 3_600_000
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
         yield pd.DataFrame({"key": key[0], "id": rows["id"], "p90": leads})
 
     rows = timed(df.select("key", "id", "ts", "seconds"))
     return rows.groupBy("key").applyInPandasWithState(
-        track, "key string, id bigint, p90 double", "samples array<double>", "append", GroupStateTimeout.EventTimeTimeout
+        track, "key string, id bigint, p90 double", "samples array<double>", "append", GroupStateTimeout.NoTimeout
     )
