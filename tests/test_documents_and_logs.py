@@ -169,3 +169,29 @@ def test_run_checks(spark):
     assert [got[("a", k)] for k, _ in kinds] == [True, False, False, True, True, False]
     assert [got[("b", k)] for k, _ in kinds] == [False, True, True, False, False, False]
     assert runs.compare_backends(df, "a", "b").first().tool_call_delta == 1
+
+
+def test_haystack_files(spark, tmp_path):
+    case = {
+        "question_id": "q", "question_type": "t", "question": "?", "answer": "!", "haystack_session_ids": ["a", "b"], "haystack_dates": ["2024-01-01", "2024/01/02"], "answer_session_ids": ["b"],
+        "haystack_sessions": [[{"role": "user", "content": "hi"}], [{"role": "user", "content": "x", "has_answer": True}, {"role": "assistant", "content": "y"}]],
+    }
+    (tmp_path / "h.json").write_text(json.dumps([case]), encoding="utf-8")
+    got = [(r.session_id, r.turn_no, r.content, r.is_answer_session, r.has_answer) for r in records.read_haystack(spark, str(tmp_path)).orderBy("session_no", "turn_no").collect()]
+    assert got == [("a", 0, "hi", False, False), ("b", 0, "x", True, True), ("b", 1, "y", True, False)]
+
+
+def test_journal_files(spark, tmp_path):
+    rows = [("[2024-01-01 10:00] a",), ("[2024-01-01 11:00] b",), ("[2024-01-02] c",), ("no day",)]
+    records.write_journal(spark.createDataFrame(rows, "entry string"), f"{tmp_path}/j", files_per_day=2)
+    got = {(str(r.day), r.value) for r in spark.read.option("basePath", f"{tmp_path}/j").text(f"{tmp_path}/j").collect() if r.value}
+    assert got == {("2024-01-01", "[2024-01-01 10:00] a"), ("2024-01-01", "[2024-01-01 11:00] b"), ("2024-01-02", "[2024-01-02] c")}
+
+
+def test_feed_ids_of_nested_and_foreign_text(spark):
+    import hashlib
+
+    payload = {"kind": "alert", "content": 'é "x"', "z": {"b": [1, {"d": None, "c": 1.5}], "a": True}}
+    rows = spark.createDataFrame([(json.dumps(payload, ensure_ascii=False), 'srv"1')], "payload string, server string")
+    want = hashlib.sha1(json.dumps(payload | {"ack_server": 'srv"1'}, sort_keys=True).encode()).hexdigest()[:12]
+    assert feeds.normalize_feed(rows, "alert").first().event_id == f"gev_{want}"

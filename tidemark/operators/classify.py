@@ -192,6 +192,7 @@ def filter_attachments(
     return out.filter((F.size("matched_keywords") > 0) & (F.size(hits(exclude)) == 0))
 
 
+# How a mention is written.
 MENTION = r"\[CQ:at,qq=(\d+)[^\]]*\]"
 
 

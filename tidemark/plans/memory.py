@@ -109,10 +109,3 @@ def inject(hits: DataFrame, items: DataFrame, now: Column, cfg: MemoryConfig = M
     """The injected memory block per question, with the ids it holds."""
     full = hits.select("query_id", "id", "score").join(items.select("id", "memory_type", "summary", "happened_at", "source_ref", "extra_json"), "id")
     return context.inject_block(context.select_injection(full, now, cfg.injection), cfg.injection)
-
-
-def policy_log(hits: DataFrame, blocks: DataFrame, at: Column) -> DataFrame:
-    """Feedback events of a retrieval: every hit is `retrieved`, every injected id `injected`."""
-    seen = hits.select(F.col("id").alias("item_id"), F.lit("retrieved").alias("event_type"), at.alias("ts"))
-    used = blocks.select(F.explode("injected_ids").alias("item_id"), F.lit("injected").alias("event_type"), at.alias("ts"))
-    return seen.unionByName(used)

@@ -46,14 +46,6 @@ def checkpoint_root(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint, which survives a lost executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use every core for heavy per-row work on a table that arrives in few splits.
 

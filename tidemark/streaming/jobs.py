@@ -124,10 +124,6 @@ def stream_policy(events: DataFrame) -> DataFrame:
     return policy.memory_policy(events)
 
 
-def stream_tool_policy(events: DataFrame) -> DataFrame:
-    return policy.tool_policy(events)
-
-
 def stream_matches(messages: DataFrame, rules: classify.PostRules) -> DataFrame:
     """Matched posts. The checkpoint remembers which messages were read."""
     return classify.classify_messages(messages, rules).filter(F.col("decision") == "matched")
