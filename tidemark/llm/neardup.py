@@ -5,9 +5,11 @@ A table key joins one tuple of A with one of B, so a * b tables need only (a + b
 values. Documents that share a key are candidates. At similarity 0.8 with the defaults a pair is
 missed with a probability below 0.0004.
 
-Exact copies (equal sets) are merged before anything is compared. In every bucket members meet the
-smallest one first (a star, never all pairs); confirmed links give components. Where one bucket still
-holds several components, these are compared block by block, exactly, until none is left uncompared.
+Exact copies (equal sets) are merged before anything is compared. In every bucket members meet its
+centre first (a star, never all pairs); confirmed links give components. Buckets that still hold
+several components get linear passes in which each member meets the next one in a shuffled order.
+What is open then, and what the triangle inequality does not keep apart, is compared in full, block
+by block, so no link between documents of one bucket is lost.
 
 Texts without words have no set: they are linked with nothing and stay. One word (or fewer words than
 a shingle) is one shingle. Repeated ids are not told apart.
@@ -20,9 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidemark.llm import bloom
 from tidemark.llm.batches import Words, mix, pieces, shingles, signed
 from tidemark.llm.graph import components
 from tidemark.llm.store import keep
@@ -30,8 +34,8 @@ from tidemark.llm.store import keep
 #: Tuples in either collection, and MinHash values in a tuple.
 A_TUPLES, B_TUPLES, ROWS = 12, 12, 3
 PERCENT = 80
-#: Documents of one component that one task compares with those of another.
-BLOCK = 128
+#: Documents of one component that one task compares with those of others, and linear passes before that.
+BLOCK, PASSES = 128, 1
 
 
 def _distinct(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +99,8 @@ def linked(x: set, y: set, percent: int) -> bool:
     return bool(common) and 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b) with the sizes of their full sets and of what they share: na, nb, common."""
     kind = pairs.schema["a"].dataType.simpleString()
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     whole = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -104,82 +108,140 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, second = None, set()
         for batch in batches:
-            hit = []
-            for i, (b, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("b", "ta", "tb")))):
+            rows = []
+            for b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("b", "ta", "tb"))):
                 if b != last:
                     last, second = b, word_set(tb, size)
-                hit.append(linked(word_set(ta, size), second, percent))
-            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+                first = word_set(ta, size)
+                rows.append((len(first), len(second), len(first & second)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(c, pa.int64()) for c in columns]], names=["a", "b", "na", "nb", "common"])
 
-    return whole.mapInArrow(run, f"a {kind}, b {kind}")
+    return whole.mapInArrow(run, f"a {kind}, b {kind}, na bigint, nb bigint, common bigint")
 
 
-def _between(pairs: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between the members of two components, block by block; pairs: c, d; members: id, component, blocks, block."""
+def _similar(percent: int) -> Column:
+    """The condition on full sets, in whole numbers."""
+    return (F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
+
+
+def _against(pairs: DataFrame, members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components (c, d), c having the more members; members: id, component, count.
+
+    All opponents of a large component meet it together, in blocks on both sides, so its texts are
+    read once per block of opponents and not once per opponent. One link per document and block is
+    enough to join two components.
+    """
     kind = members.schema["id"].dataType.simpleString()
-    sized = members.select("component", "blocks").distinct()
-    grid = pairs.join(sized.toDF("c", "nc"), "c").join(sized.toDF("d", "nd"), "d")
-    body = members.join(texts, "id")
-    left = grid.withColumn("bd", F.explode(F.sequence(F.lit(0), F.col("nd") - 1))).join(body.select(F.col("component").alias("c"), F.col("block").alias("bc"), "id", "text"), "c").select("c", "d", "bc", "bd", "id", "text")
-    right = grid.withColumn("bc", F.explode(F.sequence(F.lit(0), F.col("nc") - 1))).join(body.select(F.col("component").alias("d"), F.col("block").alias("bd"), "id", "text"), "d").select("c", "d", "bc", "bd", "id", "text")
+    rivals = pairs.join(members.select(F.col("component").alias("d"), "id"), "d").select("c", "id").distinct()
+    blocks = rivals.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nd"))
+    hosts = members.select(F.col("component").alias("c"), "id", F.ceil(F.col("count") / BLOCK).cast("int").alias("nc")).join(blocks, "c")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    keys = ["c", "bc", "bd"]
+    left = hosts.select("c", own("nc").alias("bc"), spread("nd").alias("bd"), "id").join(texts, "id").select(*keys, "id", "text")
+    sizes = hosts.groupBy("c").agg(F.first("nc").alias("nc"), F.first("nd").alias("nd"))
+    right = rivals.join(sizes, "c").select("c", spread("nc").alias("bc"), own("nd").alias("bd"), "id").join(texts, "id").select(*keys, "id", "text")
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        sets = [word_set(t, size) for t in y["text"]]
+        sets = [word_set(t, size) for t in x["text"]]
         found = []
-        for a, text in zip(x["id"], x["text"]):
-            own = word_set(text, size)
-            hit = next((b for b, other in zip(y["id"], sets) if linked(own, other, percent)), None)
-            if hit is not None:  # one link joins the components; more say nothing new
-                found.append((a, hit))
-                break
+        for b, text in zip(y["id"], y["text"]):
+            rival = word_set(text, size)
+            hit = next((a for a, one in zip(x["id"], sets) if percent * len(one) <= 100 * len(rival) and percent * len(rival) <= 100 * len(one) and linked(one, rival, percent)), None)
+            if hit is not None:
+                found.append((hit, b))
         return pd.DataFrame(found, columns=["a", "b"]).astype({"a": x["id"].dtype, "b": y["id"].dtype})
 
-    keys = ["c", "d", "bc", "bd"]
+    left, right = (side.toDF(*keys, "id", "text") for side in (left, right))  # names of their own: both come from the same tables
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, f"a {kind}, b {kind}")
 
 
+def _buckets(classes: DataFrame) -> DataFrame:
+    """bucket, id, n_shingles, n (members) of all table keys that several documents have.
+
+    Rows are dealt by the tuple of collection A alone; the tuples of B are spread out only within it.
+    """
+    rows = classes.select("id", "n_shingles", F.explode("ka").alias("x"), "kb").repartition("x").select("id", "n_shingles", "x", F.explode("kb").alias("y"))
+    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("x", "y"))).filter("n > 1").select(F.xxhash64("x", "y").alias("bucket"), "id", "n_shingles", "n")
+
+
+def _named(placed: DataFrame, label: DataFrame) -> DataFrame:
+    return placed.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Per bucket and component the range of set sizes and of distances from the centre."""
+    return rows.groupBy("bucket", "component").agg(F.min("n_shingles").alias("small"), F.max("n_shingles").alias("big"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _open_pairs(rows: DataFrame, gap: float, percent: int, columns: tuple[str, ...] = ("c", "d")) -> DataFrame:
+    """Components (c < d) that share a bucket and that sizes and distances do not keep apart."""
+    mine = _by_bucket(rows)
+    several = mine.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
+    mine = mine.join(several, "bucket", "left_semi").withColumnRenamed("component", "c")
+    other = mine.toDF("bucket", "d", "small2", "big2", "lo2", "hi2")
+    sizes = (F.col("big") * 100 >= F.col("small2") * percent) & (F.col("big2") * 100 >= F.col("small") * percent)
+    rings = (F.col("lo") <= F.col("hi2") + gap + 1e-9) & (F.col("lo2") <= F.col("hi") + gap + 1e-9)
+    return mine.join(other, "bucket").filter((F.col("c") < F.col("d")) & sizes & rings).select(*columns).distinct()
+
+
+def _open_buckets(rows: DataFrame, gap: float, percent: int) -> DataFrame:
+    return _open_pairs(rows, gap, percent, ("bucket",))
+
+
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", a: int = A_TUPLES, b: int = B_TUPLES, rows: int = ROWS) -> DataFrame:
     """Component of every document: the id, n_shingles, component_id (smallest id reachable) and kept."""
     sigs = keep(signatures(df, id_col, text_col, size, a, b, rows), "signatures")
     classes = sigs.filter("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("ka").alias("ka"), F.first("kb").alias("kb"))
     classes = keep(classes, "classes")
-    rows_a = classes.select("id", "n_shingles", F.explode("ka").alias("x"), "kb").repartition("x")
-    rows_ab = rows_a.select("id", "n_shingles", "x", F.explode("kb").alias("y"))
-    spec = "(PARTITION BY x, y)"
-    shared = rows_ab.selectExpr("id", "n_shingles", "x", "y", f"min(struct(id, n_shingles)) OVER {spec} AS first", f"count(1) OVER {spec} AS n").filter("n > 1")
-    shared = shared.select("id", "n_shingles", F.xxhash64("x", "y").alias("bucket"), F.col("first.id").alias("first"), F.col("first.n_shingles").alias("m"), "n")
-    shared = keep(shared, "buckets")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shared = keep(_buckets(classes), "buckets")
+    # the centre of a bucket is the document that shares most with others
+    degree = keep(shared.groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
+    # texts are only needed of documents that share a bucket: those the filter cannot rule out are stored once
+    texts = keep(bloom.ask(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", degree, "id").filter("maybe").select("id", "text"), "texts")
+    centred = shared.join(degree, "id").withColumn("top", F.max(F.struct("degree", "id", "n_shingles")).over(Window.partitionBy("bucket")))
+    shared = keep(centred.select("bucket", "id", "n_shingles", "n", F.col("top.id").alias("centre"), F.col("top.n_shingles").alias("m")), "centred")
     near = F.least("n_shingles", "m") * 100 >= F.greatest("n_shingles", "m") * percent  # sets that differ more in size cannot be similar
-    star = keep(shared.filter((F.col("id") != F.col("first")) & near).select(F.col("first").alias("b"), F.col("id").alias("a")).distinct(), "star")
-    links = keep(_confirm(star, texts, size, percent), "confirmed")
+    star = shared.filter((F.col("id") != F.col("centre")) & near).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    star = keep(_compared(star, texts, size), "star")
+    links = star.filter(_similar(percent)).select("a", "b")
     label = components(links)
-    done = None
-    while True:
-        crowd = shared.filter("n > 2").select("bucket", "id", "n_shingles").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        by_bucket = crowd.groupBy("bucket", "component").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-        # a bucket of one component is settled; elsewhere its components (not its documents) meet
-        mixed = by_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
-        some = by_bucket.join(mixed, "bucket")
-        other = some.select("bucket", F.col("component").alias("d"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-        pairs = some.withColumnRenamed("component", "c").join(other, "bucket").filter((F.col("c") < F.col("d")) & (F.col("hi") * 100 >= F.col("lo2") * percent) & (F.col("hi2") * 100 >= F.col("lo") * percent)).select("c", "d").distinct()
-        if done is None:  # two single documents that met as a star are settled
-            grown = label.select("id")
-            done = star.select(F.col("b").alias("c"), F.col("a").alias("d")).join(grown.toDF("c"), "c", "left_anti").join(grown.toDF("d"), "d", "left_anti")
-        pairs = keep(pairs.join(done, ["c", "d"], "left_anti"), "open")
-        if pairs.isEmpty():
-            break
-        wanted = pairs.select("c").unionByName(pairs.select(F.col("d").alias("c"))).distinct()
-        alone = wanted.join(label.select(F.col("component").alias("c")).distinct(), "c", "left_anti").select(F.col("c").alias("id"), F.col("c").alias("component"))
-        members = label.join(wanted.withColumnRenamed("c", "component"), "component").select("id", "component").unionByName(alone)
-        counted = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        placed = members.join(counted, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        new = keep(_between(pairs, placed, texts, size, percent), "between")
-        if new.isEmpty():
-            break
-        done = done.unionByName(pairs)
+
+    # Jaccard distance obeys the triangle inequality: members of one bucket whose distances from its centre
+    # differ by more than the largest distance of a link cannot be linked
+    gap = (100 - percent) / 100
+    exact = star.select(F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
+    least = 1 - F.least("n_shingles", "m") / F.greatest("n_shingles", "m")
+    placed = shared.filter("n > 2").join(exact, ["id", "centre"], "left")
+    centre = F.col("id") == F.col("centre")
+    placed = keep(placed.select("bucket", "id", "n_shingles", F.when(centre, 0.0).otherwise(F.coalesce("far", least)).alias("lo"), F.when(centre, 0.0).otherwise(F.coalesce("far", F.lit(1.0))).alias("hi")), "placed")
+    for turn in range(PASSES):
+        # linear passes: in buckets that hold several components, each document meets the next one in a new order
+        rows = _named(placed, label)
+        rows = rows.join(_open_buckets(rows, gap, percent), "bucket", "left_semi")
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+        met = rows.withColumn("other", F.lead(F.struct("id", "component", "n_shingles")).over(order)).filter(F.col("other.component") != F.col("component"))
+        fits = F.least("n_shingles", "other.n_shingles") * 100 >= F.greatest("n_shingles", "other.n_shingles") * percent
+        met = met.filter(fits).select(F.greatest("id", "other.id").alias("a"), F.least("id", "other.id").alias("b")).distinct()
+        new = keep(_compared(met.join(star.select("a", "b"), ["a", "b"], "left_anti"), texts, size).filter(_similar(percent)).select("a", "b"), "passes")
         links = links.unionByName(new)
         label = components(links)
+    # whatever components still share a bucket are compared in full, once
+    rows = _named(placed, label)
+    pairs = keep(_open_pairs(rows, gap, percent), "open")
+    counts = label.groupBy("component").agg(F.count(F.lit(1)).alias("count"))
+    named = pairs.join(counts.toDF("c", "nc"), "c", "left").join(counts.toDF("d", "nd"), "d", "left").fillna(1, ["nc", "nd"])
+    swap = F.col("nd") > F.col("nc")
+    pairs = named.select(F.when(swap, F.col("d")).otherwise(F.col("c")).alias("c"), F.when(swap, F.col("c")).otherwise(F.col("d")).alias("d"), F.greatest("nc", "nd").alias("nc"))
+    single = pairs.filter("nc = 1").select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    new = _compared(single, texts, size).filter(_similar(percent)).select("a", "b")
+    large = keep(pairs.filter("nc > 1").select("c", "d"), "large")
+    wanted = large.select("c").unionByName(large.select(F.col("d").alias("c"))).distinct().withColumnRenamed("c", "component")
+    members = wanted.join(label, "component", "left").select(F.coalesce("id", "component").alias("id"), "component").join(counts, "component", "left").fillna(1, ["count"])
+    new = keep(new.unionByName(_against(large, members, texts, size, percent)), "rest")
+    if not new.isEmpty():
+        label = components(links.unionByName(new))
     changed = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")).filter("copies > 1 OR component <> id").select("n_shingles", "s1", "s2", "component")
     out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(changed, ["n_shingles", "s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
