@@ -4,10 +4,10 @@ Every 200-byte window is filed under the smallest hash of the 64-byte grams in i
 its bytes alone: equal windows are filed alike, and neighbouring windows mostly share a file, so runs
 of windows ("segments") are what moves. Segments that occur twice are repeated whole. Where a file
 has several different segments, their texts are compared: shards of segments have their suffixes
-sorted and are merged pair by pair. A merge never sorts suffixes again: it starts with one block of
-all suffixes and refines the interleaving of the two sorted lists, each round by the block of the
-suffix further on, until suffixes in one block share 200 bytes. The round that cut two neighbours
-apart bounds their common prefix; blocks with two suffixes or more are the repeated intervals.
+sorted and are merged pair by pair. A merge never sorts the suffixes of a shard again: it starts with
+the interleaving by eight bytes and refines it, each round by the block of the suffix further on,
+where a block has suffixes of both shards, until those in one block share 200 bytes. The round that
+cut two neighbours apart bounds their common prefix; such blocks are the repeated intervals.
 
 Files with very many different segments (edges of a passage in countless documents) are counted by
 the hash of each window instead, which any number of tasks can share.
@@ -37,7 +37,7 @@ LENGTH, GRAM = 200, 64
 #: Windows in one segment at most; segments of a file beyond which windows are counted by hash.
 MOST_WINDOWS, MOST_SEGMENTS = 4096, 512
 #: Bytes of segments that one task merges, and in one shard.
-BIN_BYTES, SHARD_BYTES = 1_000_000, 260_000
+BIN_BYTES, SHARD_BYTES = 1_000_000, 520_000
 STEP = 8
 
 
@@ -97,22 +97,23 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
 
 
 class Shard:
-    """Sorted suffixes of some segments and their Burrows-Wheeler transform."""
+    """Sorted suffixes of some segments, and which windows occur twice among them."""
 
-    def __init__(self, text: np.ndarray, ends: np.ndarray, order: np.ndarray | None = None) -> None:
+    def __init__(self, text: np.ndarray, ends: np.ndarray, order: np.ndarray | None = None, hit: np.ndarray | None = None) -> None:
         """text: segments in a row; ends: the end of its segment for every position."""
-        self.text, self.ends = text, ends
-        padded = np.concatenate([text, np.zeros(STEP, np.uint8)])
-        gram = np.zeros(len(text), np.uint64)
+        self.text, self.ends, self.order, self.hit = text, ends, order, hit
+
+    def grams(self) -> np.ndarray:
+        """The next STEP bytes at every position as a number; 0 where the segment ends before."""
+        padded = np.concatenate([self.text, np.zeros(STEP, np.uint8)])
+        gram = np.zeros(len(self.text), np.uint64)
         for k in range(STEP):
-            gram = gram << np.uint64(8) | padded[k : k + len(text)].astype(np.uint64)
-        self.whole = np.arange(len(text)) + STEP <= ends
-        self.gram = np.where(self.whole, gram, np.uint64(0))
-        self.order = order
+            gram = gram << np.uint64(8) | padded[k : k + len(self.text)].astype(np.uint64)
+        return np.where(np.arange(len(self.text)) + STEP <= self.ends, gram, np.uint64(0))
 
     @property
     def transform(self) -> np.ndarray:
-        """The byte before every suffix, in sorted order (0 before the first)."""
+        """The Burrows-Wheeler transform: the byte before every suffix, in sorted order (0 before the first)."""
         return np.where(self.order > 0, self.text[self.order - 1], 0)
 
 
@@ -125,59 +126,105 @@ def _hops(length: int) -> list[int]:
     return out
 
 
-def _ahead(block: np.ndarray, hop: int, ends: np.ndarray) -> np.ndarray:
-    """One more than the block `hop` bytes on; 0 beyond the end of the segment."""
-    out = np.zeros(len(block), np.int64)
-    out[: max(0, len(block) - hop)] = block[hop:] + 1
-    out[np.arange(len(block)) + hop >= ends] = 0
-    return out
+def _starts(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of every run of equal values, place of its first for every value); `places` are their places in the order."""
+    head = np.ones(len(values), bool)
+    head[1:] = values[1:] != values[:-1]
+    first = np.flatnonzero(head)
+    return first, np.repeat(places[first], np.diff(np.append(first, len(values))))
+
+
+def _refine(order: np.ndarray, block: np.ndarray, active: np.ndarray, ends: np.ndarray, hop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort `active` places of `order` inside their blocks by the block `hop` bytes on: (firsts of the new blocks, old blocks).
+
+    A block is known by the place of its first suffix; a suffix beyond the end of its segment comes first.
+    """
+    at = order[active]
+    further = at + hop
+    inside = further < ends[at]
+    ahead = np.zeros(len(at), np.int64)
+    ahead[inside] = block[further[inside]] + 1
+    old = block[at]
+    key = old * (len(block) + 2) + ahead
+    sort = np.argsort(key, kind="stable")
+    order[active] = at[sort]
+    first, place = _starts(key[sort], active)
+    block[order[active]] = place
+    return first, old
 
 
 def sort_shard(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> Shard:
+    """Sort all suffixes of a shard by `length` bytes; blocks of one suffix are settled and left alone."""
     shard = Shard(text, ends)
-    block = np.unique(shard.gram, return_inverse=True)[1].astype(np.int64)
+    gram = shard.grams()
+    order = np.argsort(gram, kind="stable")
+    block = np.empty(len(text), np.int64)
+    first, place = _starts(gram[order], np.arange(len(text)))
+    block[order] = place
+    active = np.arange(len(text))
     for hop in _hops(length):
-        block = np.unique(block * (len(block) + 2) + _ahead(block, hop, ends), return_inverse=True)[1].astype(np.int64)
-    shard.order = np.argsort(block, kind="stable")
+        active = active[np.repeat(np.diff(np.append(first, len(active))) > 1, np.diff(np.append(first, len(active))))]
+        if not len(active):
+            first = active
+            break
+        first, _ = _refine(order, block, active, ends, hop)
+    shard.order = order
+    shard.hit = np.zeros(len(text), bool)
+    _mark(shard.hit, order[active], first, ends, length)
     return shard
 
 
-def _ids(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Common numbers, in order, of the values of two sorted lists."""
-    heads = [x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x for x in (a, b)]
-    known = np.union1d(*heads)
-    return tuple(np.repeat(np.searchsorted(known, head), np.diff(np.append(np.searchsorted(x, head), len(x)))) for x, head in ((a, heads[0]), (b, heads[1])))
+def _mark(hit: np.ndarray, at: np.ndarray, first: np.ndarray, ends: np.ndarray, length: int) -> None:
+    """Mark the whole windows among `at` whose block (from each of `first` on) has two of them."""
+    if not len(at):
+        return
+    whole = at + length <= ends[at]
+    many = np.repeat(np.add.reduceat(whole.astype(np.int64), first) > 1, np.diff(np.append(first, len(at))))
+    hit[at[whole & many]] = True
 
 
-def merge(a: Shard, b: Shard, length: int = LENGTH) -> tuple[Shard, np.ndarray, np.ndarray]:
-    """(merged shard, block of every suffix in its order, common prefix with the suffix before).
+def merge(a: Shard, b: Shard, length: int = LENGTH) -> tuple[Shard, np.ndarray]:
+    """(merged shard, common prefix of each suffix with the one before where the merge told them apart, else -1).
 
-    Common prefixes are known up to `length` and rounded down to the depth of a round.
+    Only blocks with suffixes of both shards are refined: inside one shard the order and the repeated
+    windows are known. Common prefixes are rounded down to the depth of a round; `length` means equal.
     """
-    sides = (a, b)
-    placed = [np.zeros(len(s.text), np.int64) for s in sides]  # block by position
-    sorted_ = _ids(a.gram[a.order], b.gram[b.order])
-    cuts = None
-    depth = 0
-    order = np.zeros(0, np.int64)
-    for hop in [0, *_hops(length)]:
+    cut, n = len(a.text), len(a.text) + len(b.text)
+    ends = np.concatenate([a.ends, b.ends + cut])
+    gram = np.concatenate([a.grams(), b.grams()])
+    left, right = a.order, b.order + cut
+    spot = np.empty(n, np.int64)  # first interleaving, by STEP bytes
+    spot[: len(left)] = np.arange(len(left)) + np.searchsorted(gram[right], gram[left], side="left")
+    spot[len(left) :] = np.arange(len(right)) + np.searchsorted(gram[left], gram[right], side="right")
+    order = np.empty(n, np.int64)
+    order[spot] = np.concatenate([left, right])
+    block = np.empty(n, np.int64)
+    first, place = _starts(gram[order], np.arange(n))
+    block[order] = place
+    common = np.full(n, -1)
+    common[first] = 0
+    active, depth = np.arange(n), STEP
+    for hop in [*_hops(length), 0]:
+        size = np.diff(np.append(first, len(active)))
+        of_b = np.add.reduceat((order[active] >= cut).astype(np.int64), first) if len(active) else size
+        mixed = np.repeat((of_b > 0) & (of_b < size), size)
+        active = active[mixed]
+        if not len(active):
+            first = active
+            break
         if hop:
-            wide = max((int(p.max()) for p in placed if len(p)), default=0) + 3
-            keys = []
-            for s, block in zip(sides, placed, strict=True):
-                keys.append((block * wide + _ahead(block, hop, s.ends))[s.order])
-            sorted_ = _ids(*keys)
-        for s, block, found in zip(sides, placed, sorted_, strict=True):
-            block[s.order] = found
-        both = np.concatenate(sorted_)
-        order = np.argsort(both, kind="stable")  # two sorted runs: a merge, not a sort
-        line = both[order]
-        cut = np.concatenate([[True], line[1:] != line[:-1]]) if len(line) else np.zeros(0, bool)
-        cuts = np.where(cut, depth, -1) if cuts is None else np.where((cuts < 0) & cut, depth, cuts)
-        depth = depth + hop if hop else STEP
-    merged = Shard(np.concatenate([a.text, b.text]), np.concatenate([a.ends, b.ends + len(a.text)]))
-    merged.order = np.concatenate([a.order, b.order + len(a.text)])[order]
-    return merged, line, np.where(cuts < 0, length, cuts)
+            first, old = _refine(order, block, active, ends, hop)
+            fresh = np.setdiff1d(first, _starts(old, active)[0], assume_unique=True)
+            common[active[fresh]] = depth
+            depth += hop
+        else:
+            first = _starts(block[order[active]], active)[0]
+    hit = np.concatenate([a.hit, b.hit])
+    _mark(hit, order[active], first, ends, length)
+    inner = np.ones(len(active), bool)
+    inner[first] = False
+    common[active[inner]] = length
+    return Shard(np.concatenate([a.text, b.text]), ends, order, hit), common
 
 
 def repeated_windows(texts: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
@@ -191,16 +238,9 @@ def repeated_windows(texts: list[bytes], length: int = LENGTH, shard_bytes: int
         reach = int(np.searchsorted(bounds, bounds[edges[-1]] + shard_bytes, side="right")) - 1
         edges.append(min(len(texts), max(edges[-1] + 1, reach)))
     shards = [sort_shard(data[bounds[i] : bounds[j]], ends[bounds[i] : bounds[j]] - bounds[i], length) for i, j in zip(edges[:-1], edges[1:])]
-    if len(shards) == 1:  # a merge with nothing still tells the blocks
-        shards.append(sort_shard(data[:0], ends[:0], length))
-    while len(shards) > 2:
+    while len(shards) > 1:
         shards = [merge(*shards[i : i + 2], length)[0] if i + 1 < len(shards) else shards[i] for i in range(0, len(shards), 2)]
-    merged, block, _ = merge(*shards, length)
-    valid = merged.order + length <= merged.ends[merged.order]  # starts of whole windows
-    count = np.bincount(block[valid], minlength=int(block.max()) + 1 if len(block) else 1)
-    hit = np.zeros(len(data), bool)
-    hit[merged.order[valid & (count[block] > 1)]] = True
-    return [hit[bounds[i] : bounds[i + 1] - length + 1] for i in range(len(texts))]
+    return [shards[0].hit[bounds[i] : max(bounds[i], bounds[i + 1] - length + 1)] for i in range(len(texts))]
 
 
 # ---------------------------------------------------------------- jobs
@@ -234,13 +274,14 @@ def _merge_bins(cut: DataFrame, kind: str) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
+        group = group.sort_values("key", kind="stable")  # segments of one file stand in few shards
         for doc, start, hit in zip(group["doc_id"], group["start"], repeated_windows(group["body"].tolist())):
             rows += [(doc, start + a, n) for a, n in zip(*(x.tolist() for x in _runs(hit)))]
         return pd.DataFrame(rows, columns=["doc_id", "start", "windows"]).astype({"start": "int64", "windows": "int32"})
 
     size = cut.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     bins = max(1, -(-size // BIN_BYTES))
-    return cut.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).select("bin", "doc_id", "start", "body").groupBy("bin").applyInPandas(run, f"doc_id {kind}, start bigint, windows int")
+    return cut.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).select("bin", "key", "doc_id", "start", "body").groupBy("bin").applyInPandas(run, f"doc_id {kind}, start bigint, windows int")
 
 
 def repeated_intervals(docs: DataFrame, kind: str) -> DataFrame:
