@@ -26,3 +26,12 @@ def components(links: DataFrame) -> DataFrame:
         label = moved.select("id", "component")
         if moved.filter("was <> component").isEmpty():
             return label
+
+
+def extend(label: DataFrame, links: DataFrame) -> DataFrame:
+    """`label` (id, component) after more links: only the components they join are looked at again."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    every = keep(label.unionByName(ends.join(label, "id", "left_anti").select("id", F.col("id").alias("component"))), "named")
+    named = links.join(every.toDF("a", "ca"), "a").join(every.toDF("b", "cb"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = components(named).toDF("component", "root")
+    return keep(every.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")

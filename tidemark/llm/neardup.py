@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm import bloom
 from tidemark.llm.batches import Words, mix, pieces, shingles, signed
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, extend
 from tidemark.llm.store import keep
 
 #: Tuples in either collection, and MinHash values in a tuple.
@@ -225,8 +225,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col
         fits = F.least("n_shingles", "other.n_shingles") * 100 >= F.greatest("n_shingles", "other.n_shingles") * percent
         met = met.filter(fits).select(F.greatest("id", "other.id").alias("a"), F.least("id", "other.id").alias("b")).distinct()
         new = keep(_compared(met.join(star.select("a", "b"), ["a", "b"], "left_anti"), texts, size).filter(_similar(percent)).select("a", "b"), "passes")
-        links = links.unionByName(new)
-        label = components(links)
+        label = extend(label, new)
     # whatever components still share a bucket are compared in full, once
     rows = _named(placed, label)
     pairs = keep(_open_pairs(rows, gap, percent), "open")
@@ -241,7 +240,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col
     members = wanted.join(label, "component", "left").select(F.coalesce("id", "component").alias("id"), "component").join(counts, "component", "left").fillna(1, ["count"])
     new = keep(new.unionByName(_against(large, members, texts, size, percent)), "rest")
     if not new.isEmpty():
-        label = components(links.unionByName(new))
+        label = extend(label, new)
     changed = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")).filter("copies > 1 OR component <> id").select("n_shingles", "s1", "s2", "component")
     out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(changed, ["n_shingles", "s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
