@@ -98,26 +98,23 @@ def peel(cells: Column, level: Column) -> Column:
 
 
 def difference(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """struct(only_a, only_b, level): digests that only one side has, from sketches; larger ones on failure."""
-    zero = F.lit(0)
-    with_level = lambda r, level: F.struct(r["ok"].alias("ok"), r["only_a"].alias("only_a"), r["only_b"].alias("only_b"), level.alias("level"))
+    """struct(ok, only_a, only_b, level): digests that only one side has, from sketches; larger ones on failure."""
+    none = F.expr("cast(array() as array<bigint>)")
+    result = lambda ok, x, y, level: F.struct(ok.alias("ok"), x.alias("only_a"), y.alias("only_b"), level.alias("level"))
+    gathered = lambda r, side: F.flatten(F.transform(r, lambda x: x[side]))
 
     def attempt(level: Column) -> Column:
-        def groups(pair: Column) -> Column:
-            mine = lambda side, g: F.filter(pair[side], lambda e: e["g"] == g)
-            one = lambda g: bind(F.struct(mine("a", g).alias("a"), mine("b", g).alias("b")), lambda own: peel(subtract(sketch(own["a"]), sketch(own["b"])), level))
-            last = F.call_function("shiftleft", F.lit(1), level) - 1
-            return F.transform(F.sequence(zero, last), one)
-
-        joined = lambda r: F.struct(F.forall(r, lambda x: x["ok"]).alias("ok"), F.flatten(F.transform(r, lambda x: x["only_a"])).alias("only_a"), F.flatten(F.transform(r, lambda x: x["only_b"])).alias("only_b"))
-        return bind(bind(F.struct(_entries(a, level).alias("a"), _entries(b, level).alias("b")), groups), lambda r: with_level(joined(r), level))
-
-    first = bind(peel(subtract(sketch_a, sketch_b), zero), lambda r: with_level(r, zero))
+        last = F.call_function("shiftleft", F.lit(1), level) - 1
+        mine = lambda side, g: sketch(F.filter(side, lambda e: e["g"] == g))
+        grouped = lambda pair: F.transform(F.sequence(F.lit(0), last), lambda g: subtract(mine(pair["a"], g), mine(pair["b"], g)))
+        larger = bind(F.struct(_entries(a, level).alias("a"), _entries(b, level).alias("b")), grouped)
+        cells = F.when(level == 0, F.array(subtract(sketch_a, sketch_b))).otherwise(larger)
+        return bind(F.transform(cells, lambda c: peel(c, level)), lambda r: result(F.forall(r, lambda x: x["ok"]), gathered(r, "only_a"), gathered(r, "only_b"), level))
+
+    # how far levels may go follows from the sizes of both sets, which their sketches tell
     top = F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size(a) + F.size(b)) / PER_GROUP))).cast("int") + LEVELS
-    # the level after a failure follows from what the sketches say: the sizes of both sets
-    retry = lambda f: F.aggregate(F.sequence(F.lit(1), top), f, lambda acc, level: F.when(acc["ok"], acc).otherwise(attempt(level)))
-    found = bind(first, lambda f: F.when(f["ok"], f).otherwise(retry(f)))
-    direct = F.struct(F.lit(True).alias("ok"), F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"), F.lit(-1).alias("level"))
+    found = F.aggregate(F.sequence(F.lit(0), top), result(F.lit(False), none, none, F.lit(-1)), lambda acc, level: F.when(acc["ok"], acc).otherwise(attempt(level)))
+    direct = result(F.lit(True), F.array_except(a, b), F.array_except(b, a), F.lit(-1))
     return bind(found, lambda f: F.when(f["ok"], f).otherwise(direct))
 
 
@@ -142,7 +139,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     range needs more than its own rows. Bounds come from quantiles of the ids alone.
     """
     spark = df.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = df.select(F.col(id_col).alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -153,8 +150,8 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if cuts:
         below = lambda array: F.size(F.filter(array, lambda c: c <= F.col("id")))
         array = lambda values: F.array(*[F.lit(v).cast(kind) for v in values])
-        at = below(array(coarse))
-        bucket = F.when(at == 0, 0).otherwise((at - 1) * step + below(F.element_at(F.array(*[array(f) for f in fine]), F.greatest(at, F.lit(1))))).cast("int")
+        inside = lambda at: (at - 1) * step + below(F.element_at(F.array(*[array(f) for f in fine]), at))
+        bucket = bind(below(array(coarse)), lambda at: F.when(at == 0, 0).otherwise(inside(at)).cast("int"))
     else:
         bucket = F.lit(0)
     heads = {r.bucket: r.head for r in ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("head")).collect()}
@@ -182,7 +179,10 @@ def compare_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next.text"), F.lit(1), half))
     rows = rows.withColumn("edited", edited).withColumn("edited_keys", digests(F.col("edited"))).withColumn("edited_cells", base_sketch(F.col("edited_keys")))
     keys, cells, other, other_cells = F.col("keys"), F.col("cells"), F.col("edited_keys"), F.col("edited_cells")
-    rows = rows.withColumn("to_edited", difference(keys, other, cells, other_cells)).withColumn("to_next", difference(keys, F.col("next.keys"), cells, F.col("next.cells")))
+    # both comparisons are one expression over two partners: half the expression for each task to load
+    partners = F.array(F.struct(other.alias("keys"), other_cells.alias("cells")), F.struct(F.col("next.keys").alias("keys"), F.col("next.cells").alias("cells")))
+    rows = rows.withColumn("found", F.transform(partners, lambda p: difference(keys, p["keys"], cells, p["cells"])))
+    rows = rows.withColumn("to_edited", F.element_at("found", 1)).withColumn("to_next", F.element_at("found", 2))
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
