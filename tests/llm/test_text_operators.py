@@ -1,11 +1,13 @@
 """Personal data, tokens, languages, fingerprints and language-model scores against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -160,6 +162,21 @@ def test_viterbi_equals_a_plain_one(model):
         assert not mine or math.isclose(path, max(best), abs_tol=1e-6)
 
 
+def test_two_halves_with_a_third_language_between_them(model, monkeypatch):
+    runs = langid.letter_runs(pa.array(["one two three four", "five six"]))
+    a, b, c = [-2.9] * 4, [0.0, 0.0, -6.0, -6.0], [-6.0, -6.0, 0.0, 0.0]
+    scores = np.array([*zip(a, b, c), (0.0, -1.0, -1.0), (0.0, -1.0, -1.0)])
+    monkeypatch.setattr(model, "word_scores", lambda runs: scores)
+    assert model.label(runs, 2).tolist() == [1, 1, 2, 2, 0, 0]  # one switch costs 9, language 0 alone 11.6
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        scores = -rng.choice([0.0, 1.5, 2.9, 6.0], (6, 3))
+        label = model.label(runs, 2)
+        for at in (range(4), range(4, 6)):
+            worth = lambda path, at=at: sum(scores[k][j] for k, j in zip(at, path)) - langid.SWITCH * sum(x != y for x, y in zip(path, path[1:]))
+            assert math.isclose(worth(label[list(at)].tolist()), max(map(worth, itertools.product(range(3), repeat=len(at)))), abs_tol=1e-6)
+
+
 def test_no_training_rows(spark, table):
     empty = langid.train(spark.createDataFrame([], "text string, lang string"))
     assert {r.lang_pred for r in langid.identify(table(odd_rows()), empty).collect()} == {"und"}

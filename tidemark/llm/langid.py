@@ -113,16 +113,24 @@ class Model:
         best = total.argmax(1)
         counts = np.diff(bounds)[full]
         out[:] = np.repeat(best, counts)
-        # One language is best for the whole text if no other one gains more than a switch in any stretch.
+        # One language is best for the whole text if no other one gains more than a switch in any stretch, and the
+        # best start and the best end in other languages together gain no more than a switch. Paths that use the
+        # language have as many switches as stretches in others; those that never do have one fewer, so their first
+        # and last stretch share one (a path of a single other language has no better total).
         number = np.repeat(np.arange(len(full)), counts)
         own = score[np.arange(len(score)), out]
         mixed = np.zeros(len(full), bool)
+        head, tail = np.zeros(len(full)), np.zeros(len(full))
         for k in range(len(self.languages)):
             gain = score[:, k] - own
             run = np.cumsum(gain)
             drop = number * (4 * WORD_LIMIT * (counts.max() + 1))  # texts never see each other's minimum
             low = np.minimum.accumulate(run - gain - drop) if len(run) else run
             mixed |= np.maximum.reduceat(run - drop - low, bounds[full]) > switch
+            before = run - gain
+            head = np.maximum(head, np.maximum.reduceat(run, bounds[full]) - before[bounds[full]])
+            tail = np.maximum(tail, run[bounds[full] + counts - 1] - np.minimum.reduceat(before, bounds[full]))
+        mixed |= head + tail > switch
         hard = np.flatnonzero(mixed)
         if len(hard):
             self._viterbi(score, out, bounds[full[hard]], counts[hard], switch)
