@@ -10,8 +10,6 @@ from tidemark.llm.queries import vocabulary
 from tidemark.llm.store import keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Share of its letters that a text's language must hold.
-LEAST_SHARE = 0.5
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -22,10 +20,12 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters, or of which no language holds LEAST_SHARE, go; the others get the language found."""
+    """Texts without letters go; the others get their main language, or null if no row of the input has one to learn from."""
     model = langid.train(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.lit(None).cast("string")).select(*COLUMNS)
     found = langid.identify(docs, model, carry=("text", "source", "n_chars"))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
+    return found.filter(F.col("lang_pred") != "und").withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,6 +283,19 @@ def test_pipeline(spark, table, tmp_path):
     assert set(left["bpe"]) == set(left["pii"]) == {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
 
+def test_pipeline_keeps_texts_of_many_languages_and_unlabelled_ones(spark):
+    import corpus_pipeline
+
+    words = {"aa": "thing other thesh andon ", "bb": "schle unger keitz derch ", "ru": "привет слово мир "}
+    rows = [(n, text * 10, lang, None, 1) for n, (lang, text) in enumerate(words.items())]
+    rows += [(10, "".join(text * 10 for text in words.values()), None, None, 1), (11, "12 % — …", None, None, 1), (12, None, None, None, 1), (13, "", None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = {r.doc_id: r for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert set(found) == {0, 1, 2, 10} and found[10].lang in words and found[10].text == rows[3][1]
+    left = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert left.columns == list(corpus_pipeline.COLUMNS) and {(r.doc_id, r.lang) for r in left.collect()} == {(i, None) for i in (0, 1, 2, 10)}
+
+
 def test_queries_on_the_small_table(spark):
     import verify_sql
     from tidemark.llm import queries
