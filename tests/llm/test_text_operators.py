@@ -228,6 +228,20 @@ def test_unigram_score_and_model(table):
     assert all(math.isclose(again[i], r.score, rel_tol=1e-9) for i, r in got.items())  # a second run draws the same
 
 
+def test_order_of_words_counts(table):
+    rng = random.Random(10)
+    pairs = [(f"first{k}", f"second{k}") for k in range(40)]
+    rows = [(2 * i, " ".join(w for pair in rng.sample(pairs, 15) for w in pair)) for i in range(60)]
+    tested = [" ".join(w for pair in rng.sample(pairs, 15) for w in pair) for _ in range(5)]
+    rows += [(1001 + 4 * i, text) for i, text in enumerate(tested)]
+    rows += [(1003 + 4 * i, " ".join(rng.sample(text.split(), 30))) for i, text in enumerate(tested)]
+    got = {r.doc_id: r for r in lm.score_texts(table(rows), F.col("doc_id") % 2 == 0).collect()}
+    for i in range(len(tested)):
+        kept, shuffled = got[1001 + 4 * i], got[1003 + 4 * i]
+        assert kept.held_out and math.isclose(kept.base_score, shuffled.base_score, rel_tol=1e-9)
+        assert kept.perplexity < 0.6 * shuffled.perplexity
+
+
 def test_spelling_is_a_distribution():
     rng = random.Random(9)
     words = pa.array(["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(300)])
