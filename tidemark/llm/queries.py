@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, fingerprint, langid, lm, neardup, pii, repeats, urls
+from tidemark.llm import bpe, bytebpe, chat, decontaminate, fingerprint, langid, lm, neardup, pii, repeats, urls
 from tidemark.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -119,3 +119,15 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_repeats")
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def byte_ranks() -> tuple[str, str]:
+    """The rank file (TOKENIZER_RANKS names another one) and the pattern that splits texts for it."""
+    import public_tokenizers
+
+    return os.environ.get("TOKENIZER_RANKS") or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode_texts(table(spark, sf_dir, "documents"), *byte_ranks(), with_ids=False)
