@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, bytebpe, chat, decontaminate, fingerprint, langid, lm, neardup, pii, repeats, urls
+from tidemark.llm import bpe, bytebpe, chat, decontaminate, fingerprint, fptree, langid, lm, neardup, pii, repeats, urls
 from tidemark.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -131,3 +131,30 @@ def byte_ranks() -> tuple[str, str]:
 @query("op12_byte_bpe")
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_texts(table(spark, sf_dir, "documents"), *byte_ranks(), with_ids=False)
+
+
+_RANK_SQL = r"""
+WITH words AS (
+  SELECT doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term
+  FROM documents),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM benchmark)
+  GROUP BY item_id, term),
+sizes AS (SELECT id, count(*) AS n FROM words GROUP BY id),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS len FROM sizes),
+tfs AS (SELECT id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY id, term),
+dfs AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tfs GROUP BY term), whole),
+scored AS (
+  SELECT item_id, id AS doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // len)))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (term) JOIN dfs USING (term) JOIN sizes USING (id), whole GROUP BY item_id, id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query("op13_ranked_search", _RANK_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
