@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, bytebpe, chat, decontaminate, fingerprint, fptree, langid, lm, neardup, pii, repeats, urls
+from tidemark.llm import bpe, bytebpe, chat, decontaminate, fingerprint, fptree, langid, lm, neardup, phrases, pii, repeats, urls
 from tidemark.llm.registry import QUERIES, SQL, query, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -158,3 +158,36 @@ WHERE rank <= 10
 @query("op13_ranked_search", _RANK_SQL)
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fptree.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece
+  FROM documents),
+spoken AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+sized AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS size FROM spoken),
+starts AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sized),
+grams AS (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS a FROM starts GROUP BY ALL),
+cand AS (SELECT * FROM grams WHERE size >= 2 AND a >= 30),
+cuts AS (
+  SELECT lang, phrase, size, a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS part, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)),
+scored AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.k, p.a AS l, q.a AS r, CAST(2000000::HUGEINT * c.a // (p.a + q.a) AS BIGINT) AS score
+  FROM cuts c JOIN grams p ON p.lang = c.lang AND p.phrase = c.part JOIN grams q ON q.lang = c.lang AND q.phrase = c.rest),
+weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM scored) WHERE pick = 1),
+alone AS (
+  SELECT * FROM weakest c WHERE NOT EXISTS (
+    SELECT 1 FROM cand q WHERE q.lang = c.lang AND q.size > c.size AND 100::HUGEINT * q.a >= 80::HUGEINT * c.a AND contains(' ' || q.phrase || ' ', ' ' || c.phrase || ' '))),
+totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone) JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
+
+
+@query("op11_phrases", _PHRASE_SQL)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
