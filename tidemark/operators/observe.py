@@ -262,7 +262,7 @@ def repeat_runs(calls: DataFrame, limit: int = 3, bucket_seconds: int = TIME_BUC
 
     `calls`: session_key, ts, id, tool, args. Calls of repeatable tools are skipped.
     """
-    keep = calls.filter(~F.col("tool").isin(*REPEATABLE_TOOLS))
+    keep = calls.filter(~F.coalesce(F.col("tool").isin(*REPEATABLE_TOOLS), F.lit(False)))
     signed = keep.withColumn("signature", F.concat_ws(":", "tool", "args"))
     order = [F.col("ts"), F.col("id")]
     bucket = time_bucket("ts", bucket_seconds)

@@ -23,7 +23,7 @@ def memory_policy(events: DataFrame, keys: tuple[str, ...] = ("item_id",)) -> Da
     counts["negative"] = F.count_if((F.col("reward") < 0) & kind.isin("user_negative", "corrected"))
     stats = events.groupBy(*keys).agg(
         *[c.alias(f"{n}_count") for n, c in counts.items()],
-        F.sum("reward").alias("total_reward"),
+        (F.sum(F.round(F.col("reward") * 1e9).cast("bigint")) / 1e9).alias("total_reward"),  # whole billionths: no order of adding changes the sum
         F.max("ts").alias("last_event_at"),
     )
     return policy_scores(stats)

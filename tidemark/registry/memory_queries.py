@@ -362,7 +362,7 @@ def mark_processed(t: Tables) -> DataFrame:
 POLICY = """
   pe AS (SELECT user_id AS item_id, event_type, CASE event_type WHEN 'click' THEN 0.05::DOUBLE WHEN 'view' THEN 0.10::DOUBLE WHEN 'purchase' THEN 0.50::DOUBLE WHEN 'signup' THEN -0.75::DOUBLE ELSE -1.0::DOUBLE END AS r FROM events),
   pc AS (SELECT item_id, count(*) FILTER (event_type = 'click') AS c1, count(*) FILTER (event_type = 'view') AS c2, count(*) FILTER (event_type = 'purchase') AS c3,
-      count(*) FILTER (event_type = 'error') AS c4, count(*) FILTER (event_type = 'signup') AS c5, sum(r) AS tr FROM pe GROUP BY 1),
+      count(*) FILTER (event_type = 'error') AS c4, count(*) FILTER (event_type = 'signup') AS c5, sum(CAST(round(r * 1e9) AS BIGINT))::DOUBLE / 1e9 AS tr FROM pe GROUP BY 1),
   ps AS (SELECT *, tr / greatest(c1 + c2 + 2 * c3 + 2 * c4 + c5, 1) AS ar,
       0.5::DOUBLE + 0.015 * least(c1, 20) + 0.035 * least(c2, 20) + 0.09 * least(2 * c3, 10) - 0.18 * least(c4, 10) - 0.14 * least(c5, 10) - 0.12 * least(c4, 10) AS rel,
       (0.5::DOUBLE * c2 + 1.5 * c3 + 2.0 * c3) / (greatest(c1 + c2, 1) + 2 * c3 + c4 + c5) AS use FROM pc),

@@ -16,20 +16,21 @@ from tidemark.sources import versions
 from tidemark.streaming import jobs
 
 
-#: Files that a table is dealt into at least, and the rows of one file.
+#: Files that a table is dealt into at least, and the most rows of one file.
 LEAST_PARTS, PART_ROWS = 5, 200_000
 
 
-def stream(t: Tables, name: str, order: str = "ts") -> DataFrame:
-    """The table as files that follow `order`, written one after the other and read one per batch."""
+def stream(t: Tables, name: str, order: str = "ts", by: str | None = None) -> DataFrame:
+    """The table as files that follow (`order`, `by`), rows without `order` first, read one file per batch.
+
+    One sort deals all rows; equal values of `order` are parted by `by`, so no value makes a file of its own
+    size. Modification times, which a file stream goes by, follow the order of the files.
+    """
     rows, out = getattr(t, name), jobs.scratch(t.spark, name)
+    keys = [F.asc_nulls_first(order), F.asc_nulls_first(by or rows.columns[0])]
     parts = max(LEAST_PARTS, -(-rows.count() // PART_ROWS))
-    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    at, edges = F.col(order), [None, *sorted(set(cuts)), None]
-    for low, high in zip(edges[:-1], edges[1:]):
-        part = rows if low is None else rows.filter(at > F.lit(low))
-        part = part if high is None else part.filter(at <= F.lit(high))
-        part.coalesce(1).write.mode("append").parquet(out)
+    rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", PART_ROWS).parquet(out)
+    jobs.set_arrival(t.spark, out)
     return jobs.read_stream(t.spark, out, rows.schema, files_per_trigger=1)
 
 
@@ -94,6 +95,15 @@ def stream_window_counts(t: Tables) -> DataFrame:
     return out.select("session_key", stamp("start"), "n")
 
 
+@query(
+    "stream_trailing_counts",
+    """SELECT a.event_id, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts - INTERVAL 24 HOUR AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id <= a.event_id)) GROUP BY a.event_id""",
+)
+def stream_trailing_counts(t: Tables) -> DataFrame:
+    rows = stream(t, "events").select(F.col("user_id").cast("string").alias("session_key"), F.col("event_id").alias("id"), "ts")
+    return finish(t, jobs.stream_trailing_counts(rows, 24), "trailing").select(F.col("id").alias("event_id"), "n")
+
+
 @query("stream_policy_stats", f"WITH {POLICY} SELECT item_id, c3 AS used_count, round(ar, 5) AS avg_reward, round(boost, 5) AS retrieval_boost FROM pb")
 def stream_policy_stats(t: Tables) -> DataFrame:
     names = F.create_map(*[F.lit(x) for x in ("click", "retrieved", "view", "injected", "purchase", "used", "signup", "superseded", "error", "corrected")])

@@ -6,19 +6,17 @@ never holds an unbounded group; nothing is dropped when input is fast, it waits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from uuid import uuid4
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import classify, policy, relations
 from tidemark.operators.observe import REPEATABLE_TOOLS
 from tidemark.session import checkpoint_root
 from tidemark.sources import documents, feeds, versions
+from tidemark.streaming import stateful
 
 WATERMARK = "1 hour"
 FILES_PER_TRIGGER = 64
@@ -30,6 +28,16 @@ def read_stream(spark: SparkSession, root: str, schema, glob: str = "*.parquet",
     return reader.parquet(root)
 
 
+def set_arrival(spark: SparkSession, root: str) -> None:
+    """Give the files below `root` modification times that follow their names: a stream reads them in that order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted(((f.getPath().getName(), f) for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda x: x[0])
+    newest = max((f.getModificationTime() for _, f in files), default=0)
+    for n, (_, file) in enumerate(files):
+        fs.setTimes(file.getPath(), newest - 1000 * (len(files) - n), -1)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid4().hex}"
@@ -175,36 +183,11 @@ def stream_quota(actions: DataFrame, reset_hour: int, zone_offset_hours: int, da
 # -- custom state -----------------------------------------------------------------------------
 
 
-def _ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """The rows of one key in this batch in event order."""
-    return pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable")
-
-
 def _silent(df: DataFrame, keys: tuple[str, str], hours: int, ts: str, delay: str) -> DataFrame:
     """Rows with `allowed`: false within `hours` of the last allowed row of their key; refused rows do not extend that."""
-    span = pd.Timedelta(hours=max(hours, 1))
-    a, b = keys
-
-    def decide(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        rows = _ordered(frames, ["ts", "id"])
-        allowed = []
-        for at in rows["ts"]:
-            ok = last is None or at - last > span
-            last = at if ok else last
-            allowed.append(ok)
-        state.update((int(last.value // 1000),))
-        end = int((last + span).value // 1_000_000) + 1
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-        yield pd.DataFrame({a: key[0], b: key[1], "id": rows["id"], "ts": rows["ts"], "allowed": allowed})
-
     rows = timed(df.select(*keys, "id", F.col(ts).alias("ts")), "ts", delay)
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.groupBy(*keys).applyInPandasWithState(decide, f"{kinds}, id bigint, ts timestamp, allowed boolean", "last_us bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return stateful.run_processor(rows, keys, stateful.Silence(keys, hours), f"{kinds}, id bigint, ts timestamp, allowed boolean")
 
 
 def stream_deliver_once(df: DataFrame, hours: int, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
@@ -232,31 +215,9 @@ def stream_repeat_guard(calls: DataFrame, limit: int = 3) -> DataFrame:
     `calls`: session_key (string), id (bigint), ts, tool, args. A session keeps one signature and one
     number for good, as its batch twin does.
     """
-    stop = max(2, limit)
-
-    def guard(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, length = state.get if state.exists else ("", 0)
-        rows = _ordered(frames, ["ts", "id"])
-        counts = []
-        for signature in rows["signature"]:
-            length = length + 1 if signature == last else 1
-            last = signature
-            counts.append(length)
-        state.update((last, length))
-        yield pd.DataFrame({"session_key": key[0], "id": rows["id"], "repeat_count": counts, "denied": np.asarray(counts) >= stop})
-
-    signed = calls.filter(~F.col("tool").isin(*REPEATABLE_TOOLS)).select("session_key", "id", "ts", F.concat_ws(":", "tool", "args").alias("signature"))
-    return timed(signed).groupBy("session_key").applyInPandasWithState(
-        guard, "session_key string, id bigint, repeat_count bigint, denied boolean", "signature string, n bigint", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def _p90(samples: np.ndarray) -> float:
-    n = len(samples)
-    ordered = np.sort(samples)
-    j = min(max(9 * (n + 1) // 10, 1), n - 1)
-    delta = 9 * (n + 1) - j * 10
-    return float((ordered[j - 1] * (10 - delta) + ordered[j] * delta) / 10.0)
+    repeatable = F.coalesce(F.col("tool").isin(*REPEATABLE_TOOLS), F.lit(False))
+    signed = calls.filter(~repeatable).select("session_key", "id", "ts", F.concat_ws(":", "tool", "args").alias("signature"))
+    return stateful.run_processor(timed(signed), ("session_key",), stateful.Repeats(max(2, limit)), "session_key string, id bigint, repeat_count bigint, denied boolean")
 
 
 def stream_latency(df: DataFrame, window: int = 20, default: float = 25.0) -> DataFrame:
@@ -264,18 +225,14 @@ def stream_latency(df: DataFrame, window: int = 20, default: float = 25.0) -> Da
 
     `df`: key (string), id (bigint), ts, seconds.
     """
+    rows = timed(df.select("key", "id", "ts", "seconds"))
+    return stateful.run_processor(rows, ("key",), stateful.Latency(window, default), "key string, id bigint, p90 double")
 
-    def track(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        rows = _ordered(frames, ["ts", "id"])
-        leads = []
-        for seconds in rows["seconds"]:
-            kept = [*kept[-(window - 1) :], float(seconds)]
-            leads.append(default if len(kept) < 3 else _p90(np.asarray(kept)))
-        state.update((kept,))
-        yield pd.DataFrame({"key": key[0], "id": rows["id"], "p90": leads})
 
-    rows = timed(df.select("key", "id", "ts", "seconds"))
-    return rows.groupBy("key").applyInPandasWithState(
-        track, "key string, id bigint, p90 double", "samples array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+def stream_trailing_counts(df: DataFrame, hours: int, key: str = "session_key", ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
+    """Exact number of rows of the key in the `hours` up to each row: session_key, id, n; see `stream_window_counts` for fixed steps.
+
+    `df`: the key (string), id (bigint), ts. Of rows of one time the later id counts the earlier one.
+    """
+    rows = timed(df.select(F.col(key).alias("session_key"), "id", F.col(ts).alias("ts")), "ts", delay)
+    return stateful.run_processor(rows, ("session_key",), stateful.Trailing(hours), "session_key string, id bigint, n bigint")
