@@ -35,7 +35,7 @@ BLANKS, SIGNS = byte_set(0x20, 0x09), byte_set(*b".,;:!?", *range(0x0A, 0x0E))
 _SIGN = re.compile("[.,;:!?\n-\r]")
 LONGEST = 4
 #: Bytes of text counted at once; most bits of a filter and bits for each phrase in it; rows of an output batch.
-PIECE, FILTER_BITS, BITS_PER_PHRASE, ROWS = 8_000_000, 1 << 27, 16, 100_000
+PIECE, FILTER_BITS, BITS_PER_PHRASE, ROWS = 5_000_000, 1 << 27, 16, 50_000
 
 
 def long_texts_cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
