@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import context, evals, fusion, lexical, policy, vector
+from tidemark.operators import context, evals, fusion, inverted, lexical, policy, postings, vector
 from tidemark.operators.windows import top_rows
 from tidemark.registry import sqltext as q
 from tidemark.registry.core import Tables, query
+from tidemark.streaming import jobs
 
 DIM = 64
 TOP = 5
@@ -97,6 +98,14 @@ def bm25(t: Tables) -> DataFrame:
     return keyword_hits(t).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("bm25_indexed", f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM kw WHERE rank <= 5")
+def bm25_indexed(t: Tables) -> DataFrame:
+    """The same answers from stored postings, leaving out ranges that cannot hold one."""
+    index = postings.build_index(t.documents, jobs.scratch(t.spark, "postings"), "doc_id")
+    hits = postings.search_index(index, questions(t), TOP)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query(
     "term_join",
     f"""WITH {BM25} SELECT query_id, doc_id AS id, count(*) AS n_terms, sum(tf)::BIGINT AS sum_tf
@@ -207,6 +216,31 @@ def similar_items(t: Tables) -> DataFrame:
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+_SIMILAR_SQL = f"""WITH {COSINE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cs WHERE la = lb AND query_id <> id)
+    SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 3"""
+
+
+@query("similar_items_lists", _SIMILAR_SQL)
+def similar_items_lists(t: Tables) -> DataFrame:
+    """The same neighbours by an inverted file, exact mode."""
+    x = items(t)
+    lists = inverted.build_lists(x, jobs.scratch(t.spark, "lists"), same="label")
+    hits = inverted.search_lists(lists, x.withColumnRenamed("id", "query_id"), k=3, same="label", skip_same_id=True)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    "near_pairs_lists",
+    f"WITH {COSINE} SELECT query_id, id, round(score, 6) AS score FROM cs WHERE score >= 0.40 AND query_id < id",
+)
+def near_pairs_lists(t: Tables) -> DataFrame:
+    """All pairs above a threshold: lists and rows beyond its angle are not probed."""
+    x = items(t)
+    lists = inverted.build_lists(x, jobs.scratch(t.spark, "lists"))
+    hits = inverted.search_lists(lists, x.withColumnRenamed("id", "query_id"), threshold=0.40, skip_same_id=True)
+    return hits.filter("query_id < id").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query(
     "embed",
     f"""WITH {_embedding("de", "doc_id", "documents")}
