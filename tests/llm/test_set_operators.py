@@ -78,6 +78,24 @@ def test_links_between_rings_are_found(table):
     assert set(got.values()) == {0}
 
 
+def test_rows_without_or_with_the_same_id(table):
+    """Every row is linked and kept or not for itself; of a group the row with the smallest id stays."""
+    base = [f"w{i}" for i in range(40)]
+    near, other, alone = " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(30)), "nothing like it at all here"
+    rows = [(7, near), (1, " ".join(base)), (None, near), (5, other), (5, alone), (None, other), (None, "q " * 9), (None, "q " * 9), (8, None), (None, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(table(rows), size=2).collect()), key=repr)
+    want = [(7, 39, 1, False), (1, 39, 1, True), (None, 39, 1, False), (5, 29, 5, True), (5, 5, 5, True), (None, 29, 5, False), (None, 1, None, True), (None, 1, None, False), (8, 0, 8, True), (None, 0, None, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_strings_that_collide_in_polynomial_hashes(table):
+    text = "a"
+    for _ in range(10):
+        text += text.translate(str.maketrans("ab", "ba"))
+    rows = [(1, text), (2, text.translate(str.maketrans("ab", "ba"))), (3, text)]
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(table(rows), size=2).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_near_duplicates_of_nothing(table):
     assert neardup.near_duplicates(table([]), size=2).count() == 0
     assert [r.kept for r in neardup.near_duplicates(table([(1, None)]), size=2).collect()] == [True]

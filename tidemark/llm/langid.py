@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.batches import LOWER, carrying, pieces, text_bytes
 
 PAIRS, TRIPLES = 1 << 16, 1 << 17
+#: Bytes of text in one numpy pass; a byte needs about 150 bytes of arrays.
+PIECE = 500_000
 #: Cost of changing the language between two words, and the most that one word may say.
 SWITCH, WORD_LIMIT = 9.0, 6.0
 #: Share of a language's words that makes a script one of its own.
@@ -81,6 +83,13 @@ def letter_runs(column: pa.Array) -> Runs:
     return Runs(np.searchsorted(offsets, start, side="right") - 1, np.diff(np.append(heads, len(at))), start, _SCRIPT[data[start], nxt] if len(start) else np.zeros(0, np.int8), before * 256 + now, triple, heads)
 
 
+def ascii_letters(column: pa.Array) -> np.ndarray:
+    """Whether a text has a letter A-Z or a-z."""
+    data, offsets = text_bytes(column)
+    sums = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 0x80), dtype=np.int64)])
+    return sums[offsets[1:]] > sums[offsets[:-1]]
+
+
 class Model:
     """Log likelihoods of features per language, centred over the languages."""
 
@@ -168,7 +177,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 langs = np.array(piece.column("lang").to_pylist(), object)
                 runs = letter_runs(piece.column("text"))
                 of_run = langs[runs.text] if len(runs.text) else np.zeros(0, object)
@@ -205,7 +214,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         learned = sent.value
         width = len(learned.languages)
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 n = piece.num_rows
                 runs = letter_runs(piece.column("text"))
                 names, scores, many = ["und"] * n, np.zeros(n), np.zeros(n, np.int32)
@@ -217,8 +226,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     many = (letters > 0).sum(1).astype(np.int32)
                     scores = np.where(total > 0, letters[np.arange(n), top] / np.maximum(total, 1), 0.0)
                     names = [learned.languages[k] if t else "und" for k, t in zip(top.tolist(), total.tolist())]
-                    ascii_word = np.bincount(runs.text, runs.script == 0, n) > 0
-                    for i in np.flatnonzero((total > 0) & ~ascii_word).tolist():  # bytes above ASCII may be no letters
+                    for i in np.flatnonzero((total > 0) & ~ascii_letters(piece.column("text"))).tolist():  # bytes above ASCII may be no letters
                         if not any(c.isalpha() for c in piece.column("text")[i].as_py()):
                             names[i], scores[i], many[i] = "und", 0.0, 0
                     if with_spans:

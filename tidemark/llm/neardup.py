@@ -5,14 +5,17 @@ A table key joins one tuple of A with one of B, so a * b tables need only (a + b
 values. Documents that share a key are candidates. At similarity 0.8 with the defaults a pair is
 missed with a probability below 0.0004.
 
-Exact copies (equal sets) are merged before anything is compared. In every bucket members meet its
-centre first (a star, never all pairs); confirmed links give components. Buckets that still hold
-several components get linear passes in which each member meets the next one in a shuffled order.
-What is open then, and what the triangle inequality does not keep apart, is compared in full, block
-by block, so no link between documents of one bucket is lost.
+Exact copies (equal sets) are merged before anything is compared. Every document meets one centre first, the
+most shared of its buckets' centres; confirmed links give components, and only between different ones
+do documents meet the other centres of their buckets. Buckets that still hold several components get
+linear passes in which each member meets the next one in a shuffled order. What is open then, and
+what the triangle inequality does not keep apart, is compared in full, block by block, so no link between
+documents of one bucket is lost.
 
 Texts without words have no set: they are linked with nothing and stay. One word (or fewer words than
-a shingle) is one shingle. Repeated ids are not told apart.
+a shingle) is one shingle. Every row is a document of its own, also when ids repeat or are null: the
+component's id is the smallest id in it (null if all are null), and one row of each component is kept,
+the one with that id (of several the first read).
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm import bloom
-from tidemark.llm.batches import Words, mix, pieces, shingles, signed
+from tidemark.llm.batches import Words, carrying, mix, pieces, shingles, signed
 from tidemark.llm.graph import components, extend
 from tidemark.llm.store import keep
 
@@ -38,9 +41,24 @@ PERCENT = 80
 BLOCK, PASSES = 128, 1
 
 
+class PlacedWords(Words):
+    """Words hashed by a sum over (place, byte) pairs, each mixed for itself: unlike for a polynomial, no family of
+    strings is known that collides."""
+
+    def hashes(self) -> np.ndarray:
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        sizes = self.ends - self.starts
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        letters = self.data[place + np.repeat(self.starts, sizes)]
+        parts = mix((place.astype(np.uint64) << np.uint64(8) | letters) + np.uint64(0x9E3779B97F4A7C15))
+        return mix(np.add.reduceat(parts, first) + sizes.astype(np.uint64))
+
+
 def _distinct(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of every text in order, bounds)."""
-    h, bounds = shingles(Words(column), size)
+    h, bounds = shingles(PlacedWords(column), size)
     parts = [np.unique(h[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
     sizes = np.array([len(p) for p in parts], np.int64)
     return (np.concatenate(parts) if parts else h), np.concatenate([[0], np.cumsum(sizes)])
@@ -60,9 +78,8 @@ def _tuples(h: np.ndarray, bounds: np.ndarray, count: int, rows: int, seed: int)
     return out
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, size: int, a: int = A_TUPLES, b: int = B_TUPLES, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (hash of the whole set), ka, kb (tuple keys; null without shingles)."""
-    kind = df.schema[id_col].dataType.simpleString()
+def signatures(df: DataFrame, text_col: str, size: int, a: int = A_TUPLES, b: int = B_TUPLES, rows: int = ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """n_shingles, s1, s2 (hash of the whole set), ka, kb (tuple keys; null without shingles), text and the carried columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,10 +97,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str, size: int, a: int = A_
                         found = signed(_tuples(h, edges, count, rows, side + 1)).tolist()
                         for i, row in zip(full.tolist(), found, strict=True):
                             keys[side][i] = row
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(n, pa.int64()), pa.array(signed(sums[0])), pa.array(signed(sums[1])), *[pa.array(k, pa.list_(pa.int64())) for k in keys]], names=["doc_id", "n_shingles", "s1", "s2", "ka", "kb"])
+                columns = [pa.array(n, pa.int64()), pa.array(signed(sums[0])), pa.array(signed(sums[1])), *[pa.array(k, pa.list_(pa.int64())) for k in keys], piece.column("text")]
+                yield pa.RecordBatch.from_arrays(columns + [piece.column(f"c{i}") for i in range(len(carry))], names=["n_shingles", "s1", "s2", "ka", "kb", "text", *carry])
 
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, s1 bigint, s2 bigint, ka array<bigint>, kb array<bigint>")
+    named, more = carrying(df, carry)
+    return df.select(F.col(text_col).alias("text"), *named).mapInArrow(run, f"n_shingles bigint, s1 bigint, s2 bigint, ka array<bigint>, kb array<bigint>, text string{more}")
 
 
 def word_set(text: str | None, size: int) -> set[bytes]:
@@ -190,49 +208,84 @@ def _open_buckets(rows: DataFrame, gap: float, percent: int) -> DataFrame:
     return _open_pairs(rows, gap, percent, ("bucket",))
 
 
-def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", a: int = A_TUPLES, b: int = B_TUPLES, rows: int = ROWS) -> DataFrame:
-    """Component of every document: the id, n_shingles, component_id (smallest id reachable) and kept."""
-    sigs = keep(signatures(df, id_col, text_col, size, a, b, rows), "signatures")
-    classes = sigs.filter("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("ka").alias("ka"), F.first("kb").alias("kb"))
+def _distance(pairs: DataFrame) -> DataFrame:
+    """(id, centre, far): Jaccard distances of compared pairs."""
+    return pairs.select(F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
+
+
+def _placed(shared: DataFrame, own: DataFrame, star: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """bucket, id, n_shingles and the least and most distance (lo, hi) from the bucket's centre.
+
+    Jaccard distance obeys the triangle inequality: where a document has not met the centre, its distance
+    follows from those of its own centre to both. So only centres meet centres here.
+    """
+    exact = _distance(star)
+    rows = shared.join(exact, ["id", "centre"], "left")
+    via = own.join(exact.toDF("id", "via", "leg"), ["id", "via"])
+    open_rows = rows.filter(F.col("far").isNull() & (F.col("id") != F.col("centre"))).select("id", "centre").distinct()
+    legs = open_rows.join(via, "id", "left").select("id", "centre", F.coalesce("via", "id").alias("via"), F.coalesce("leg", F.lit(0.0)).alias("leg"))
+    legs = keep(legs, "legs")
+    between = keep(_distance(_compared(legs.filter("via <> centre").select(F.col("via").alias("a"), F.col("centre").alias("b")).distinct(), texts, size)), "between")
+    legs = legs.join(between.toDF("via", "centre", "rest"), ["via", "centre"], "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    bounds = legs.select("id", "centre", F.abs(F.col("leg") - F.col("rest")).alias("low"), F.least(F.col("leg") + F.col("rest"), F.lit(1.0)).alias("high"))
+    least = 1 - F.least("n_shingles", "m") / F.greatest("n_shingles", "m")
+    centre = F.col("id") == F.col("centre")
+    lo = F.when(centre, 0.0).otherwise(F.coalesce("far", F.greatest("low", least), least))
+    hi = F.when(centre, 0.0).otherwise(F.coalesce("far", "high", F.lit(1.0)))
+    return rows.join(bounds, ["id", "centre"], "left").select("bucket", "id", "n_shingles", lo.alias("lo"), hi.alias("hi"))
+
+
+def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", a: int = A_TUPLES, b: int = B_TUPLES, rows: int = ROWS, key_col: str | None = None) -> DataFrame:
+    """Component of every row: the id, n_shingles, component_id (smallest id reachable) and kept.
+
+    `key_col` names a column of longs that are different for all rows; the output then has it as well.
+    """
+    key = F.monotonically_increasing_id() if key_col is None else F.col(key_col)
+    named = df.select(key.alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sigs = keep(signatures(named, "text", size, a, b, rows, ("key", "doc_id")), "signatures")
+    # null ids come last; all joins go by key
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    classes = sigs.filter("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("key").alias("id"), first.alias("first"), F.count(F.lit(1)).alias("copies"), F.first("ka").alias("ka"), F.first("kb").alias("kb"))
     classes = keep(classes, "classes")
     shared = keep(_buckets(classes), "buckets")
     # the centre of a bucket is the document that shares most with others
     degree = keep(shared.groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
     # texts are only needed of documents that share a bucket: those the filter cannot rule out are stored once
-    texts = keep(bloom.ask(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", degree, "id").filter("maybe").select("id", "text"), "texts")
+    texts = keep(bloom.ask(sigs.select(F.col("key").alias("id"), "text"), "id", degree, "id").filter("maybe").select("id", "text"), "texts")
     centred = shared.join(degree, "id").withColumn("top", F.max(F.struct("degree", "id", "n_shingles")).over(Window.partitionBy("bucket")))
-    shared = keep(centred.select("bucket", "id", "n_shingles", "n", F.col("top.id").alias("centre"), F.col("top.n_shingles").alias("m")), "centred")
+    shared = keep(centred.select("bucket", "id", "n_shingles", "n", F.col("top.id").alias("centre"), F.col("top.n_shingles").alias("m"), F.col("top.degree").alias("weight")), "centred")
     near = F.least("n_shingles", "m") * 100 >= F.greatest("n_shingles", "m") * percent  # sets that differ more in size cannot be similar
-    star = shared.filter((F.col("id") != F.col("centre")) & near).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    star = keep(_compared(star, texts, size), "star")
-    links = star.filter(_similar(percent)).select("a", "b")
-    label = components(links)
-
-    # Jaccard distance obeys the triangle inequality: members of one bucket whose distances from its centre
-    # differ by more than the largest distance of a link cannot be linked
-    gap = (100 - percent) / 100
-    exact = star.select(F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-    least = 1 - F.least("n_shingles", "m") / F.greatest("n_shingles", "m")
-    placed = shared.filter("n > 2").join(exact, ["id", "centre"], "left")
-    centre = F.col("id") == F.col("centre")
-    placed = keep(placed.select("bucket", "id", "n_shingles", F.when(centre, 0.0).otherwise(F.coalesce("far", least)).alias("lo"), F.when(centre, 0.0).otherwise(F.coalesce("far", F.lit(1.0))).alias("hi")), "placed")
+    near_centres = shared.filter((F.col("id") != F.col("centre")) & near)
+    # one centre for each document, then the others only where components differ
+    own = keep(near_centres.groupBy("id").agg(F.max(F.struct("weight", "centre")).alias("w")).select("id", F.col("w.centre").alias("via")), "own")
+    star = keep(_compared(own.toDF("a", "b"), texts, size), "star")
+    label = components(star.filter(_similar(percent)).select("a", "b"))
+    others = near_centres.select("id", "centre").distinct().join(own.toDF("id", "centre"), ["id", "centre"], "left_anti").toDF("a", "b")
+    apart = others.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = keep(_compared(apart, texts, size), "more")
+    label = extend(label, more.filter(_similar(percent)).select("a", "b"))
+    star = star.unionByName(more)
+
+    gap = (100 - percent) / 100  # documents whose distances from one centre differ by more cannot be linked
+    named = _named(shared.filter("n > 2"), label)
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    placed = keep(_placed(keep(shared.join(mixed, "bucket", "left_semi"), "mixed"), own, star, texts, size), "placed")
     for turn in range(PASSES):
         # linear passes: in buckets that hold several components, each document meets the next one in a new order
-        rows = _named(placed, label)
-        rows = rows.join(_open_buckets(rows, gap, percent), "bucket", "left_semi")
+        found = _named(placed, label)
+        found = found.join(_open_buckets(found, gap, percent), "bucket", "left_semi")
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(turn)), "id")
-        met = rows.withColumn("other", F.lead(F.struct("id", "component", "n_shingles")).over(order)).filter(F.col("other.component") != F.col("component"))
+        met = found.withColumn("other", F.lead(F.struct("id", "component", "n_shingles")).over(order)).filter(F.col("other.component") != F.col("component"))
         fits = F.least("n_shingles", "other.n_shingles") * 100 >= F.greatest("n_shingles", "other.n_shingles") * percent
         met = met.filter(fits).select(F.greatest("id", "other.id").alias("a"), F.least("id", "other.id").alias("b")).distinct()
         new = keep(_compared(met.join(star.select("a", "b"), ["a", "b"], "left_anti"), texts, size).filter(_similar(percent)).select("a", "b"), "passes")
         label = extend(label, new)
     # whatever components still share a bucket are compared in full, once
-    rows = _named(placed, label)
-    pairs = keep(_open_pairs(rows, gap, percent), "open")
+    pairs = keep(_open_pairs(_named(placed, label), gap, percent), "open")
     counts = label.groupBy("component").agg(F.count(F.lit(1)).alias("count"))
-    named = pairs.join(counts.toDF("c", "nc"), "c", "left").join(counts.toDF("d", "nd"), "d", "left").fillna(1, ["nc", "nd"])
+    sized = pairs.join(counts.toDF("c", "nc"), "c", "left").join(counts.toDF("d", "nd"), "d", "left").fillna(1, ["nc", "nd"])
     swap = F.col("nd") > F.col("nc")
-    pairs = named.select(F.when(swap, F.col("d")).otherwise(F.col("c")).alias("c"), F.when(swap, F.col("c")).otherwise(F.col("d")).alias("d"), F.greatest("nc", "nd").alias("nc"))
+    pairs = sized.select(F.when(swap, F.col("d")).otherwise(F.col("c")).alias("c"), F.when(swap, F.col("c")).otherwise(F.col("d")).alias("d"), F.greatest("nc", "nd").alias("nc"))
     single = pairs.filter("nc = 1").select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     new = _compared(single, texts, size).filter(_similar(percent)).select("a", "b")
     large = keep(pairs.filter("nc > 1").select("c", "d"), "large")
@@ -241,7 +294,15 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col
     new = keep(new.unionByName(_against(large, members, texts, size, percent)), "rest")
     if not new.isEmpty():
         label = extend(label, new)
-    changed = classes.join(label, "id", "left").withColumn("component", F.coalesce("component", "id")).filter("copies > 1 OR component <> id").select("n_shingles", "s1", "s2", "component")
-    out = sigs.select("doc_id", "n_shingles", "s1", "s2").join(changed, ["n_shingles", "s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return _result(sigs, classes, label, id_col, key_col)
+
+
+def _result(sigs: DataFrame, classes: DataFrame, label: DataFrame, id_col: str, key_col: str | None) -> DataFrame:
+    """One output row for each row; classes of one row that are linked with nothing need no join."""
+    of_class = classes.select("n_shingles", "s1", "s2", "id", "first", "copies").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    keeper = of_class.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("members")).filter("members > 1")
+    changed = of_class.join(keeper, "component").select("n_shingles", "s1", "s2", "keeper")
+    out = sigs.select("key", "doc_id", "n_shingles", "s1", "s2").join(changed, ["n_shingles", "s1", "s2"], "left")
+    alone = F.col("keeper").isNull()
+    named = [F.col("doc_id").alias(id_col), "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("keeper.doc_id")).alias("component_id"), (alone | (F.col("keeper.key") == F.col("key"))).alias("kept")]
+    return out.select(*named, *([F.col("key").alias(key_col)] if key_col else []))
