@@ -12,11 +12,16 @@ from tidemark.llm.store import keep
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` without those whose doc_id is in `ids`; only rows a Bloom filter cannot clear are shuffled."""
-    asked = bloom.ask(docs, "doc_id", ids, "doc_id")
-    sure = asked.filter("NOT maybe").select(*docs.columns)
-    return sure.unionByName(asked.filter("maybe").select(*docs.columns).join(ids, "doc_id", "left_anti"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own (`row`), written once: ids may repeat or be null, so rows go, not ids."""
+    return keep(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """`rows` without those in `gone` (row); only rows a Bloom filter cannot clear are shuffled."""
+    asked = bloom.ask(rows, "row", gone, "row")
+    sure = asked.filter("NOT maybe").select(*COLUMNS)
+    return sure.unionByName(asked.filter("maybe").join(gone, "row", "left_anti").select(*COLUMNS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +34,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (five words, 0.8) the smallest doc_id stays."""
-    found = keep(neardup.near_duplicates(docs, size=5).filter("NOT kept").select("doc_id").distinct(), "copies")
-    return without(docs, found).select(*COLUMNS)
+    """Of every group of near duplicates (five words, 0.8) the row with the smallest doc_id stays."""
+    rows = keyed(docs)
+    found = keep(neardup.near_duplicates(rows, size=5, key_col="row").filter("NOT kept").select("row"), "copies")
+    return without(rows, found)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    rows = keyed(docs)
     items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    found = keep(decontaminate.find_leaks(docs, items).select("doc_id").distinct(), "leaks")
-    return without(docs, found).select(*COLUMNS)
+    found = keep(decontaminate.find_leaks(rows, items, id_col="row").select("row").distinct(), "leaks")
+    return without(rows, found)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
