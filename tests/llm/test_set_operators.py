@@ -279,6 +279,30 @@ def test_merge_orders_suffixes_and_bounds_common_prefixes():
     assert checked > 10 and (common == 64).sum() >= 30
 
 
+def test_repeats_in_rows_without_or_with_the_same_id(table):
+    rng = random.Random(8)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    rows = [(1, body), (2, "x" + body), (1, "short"), (None, body + "yy"), (None, "z" * 5 + body), (2, None), (None, "")]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(table(rows)).collect()]
+    want = [(1, 700, 700), (2, 701, 700), (1, 5, 0), (None, 702, 700), (None, 705, 700), (2, 0, 0), (None, 0, 0)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_pipeline_drops_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    body = " ".join(f"word{k % 17} thing{k}" for k in range(60))
+    leak = " ".join(f"passage{k}" for k in range(30))
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, body), (5, body), (5, "a text of its own that nothing else resembles at all"), (None, body), (None, "another one without an id but with words"), (None, leak), (1, leak + " and more")]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id, r.text[:9]) for r in left.collect() if r.doc_id) == sorted([(1, body[:9]), (1, leak[:9]), (5, "a text of")])
+    assert [r.text[:9] for r in left.collect() if r.doc_id is None] == ["another o"]
+    left = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert sorted((repr(r.doc_id), r.text[:5]) for r in left.collect()) == sorted([("1", body[:5]), ("5", body[:5]), ("5", "a tex"), ("None", body[:5]), ("None", "anoth")])
+
+
 def test_pipeline(spark, table, tmp_path):
     import corpus_pipeline
 

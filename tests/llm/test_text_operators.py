@@ -139,12 +139,12 @@ def model(spark):
 def test_languages_and_spans(table, model):
     rng = random.Random(5)
     mixed = talk(rng, "aa", 20) + " " + talk(rng, "bb", 40)
-    rows = odd_rows() + [(40, talk(rng, "aa")), (41, talk(rng, "bb")), (42, talk(rng, "ru")), (43, mixed), (44, "— … 12 %"), (45, "x" * 5000)]
+    rows = odd_rows() + [(40, talk(rng, "aa")), (41, talk(rng, "bb")), (42, talk(rng, "ru")), (43, mixed), (44, "— … 12 %"), (45, "x" * 5000), (46, "3 × 4 ÷ 2"), (47, "é × 2")]
     got = {r.doc_id: r for r in langid.identify(table(rows), model, with_spans=True).collect()}
     assert [got[i].lang_pred for i in (40, 41, 42, 43)] == ["aa", "bb", "ru", "bb"]
     assert [(s.lang, s.words) for s in got[43].spans] == [("aa", 20), ("bb", 40)] and 0.5 < got[43].score < 1
-    assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (0, 1, 2, 44))
-    assert len(got) == len(rows)
+    assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (0, 1, 2, 44, 46))
+    assert got[47].lang_pred != "und" and len(got) == len(rows)
 
 
 def test_viterbi_equals_a_plain_one(model):
@@ -206,6 +206,17 @@ def test_fingerprints_against_sets(table):
     assert fingerprint.compare_versions(table([(1, "a\nb")])).first().near_next == 1.0
 
 
+def test_fingerprints_of_rows_without_or_with_the_same_id(table):
+    rows = [(9, "a\nb\nc"), (1, "d\ne"), (1, "d\ne"), (None, "f\ng"), (None, "f\ng")]
+    got = sorted(((r.doc_id is None, -(r.doc_id or 0), r.n_chars, r.near_next, r.edited_sha256) for r in fingerprint.compare_versions(table(rows)).collect()))
+    order = [rows[0], rows[1], rows[2], rows[3], rows[4]]
+    want = []
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        want.append((i is None, -(i or 0), len(text), float(text == after), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
 # -- language model ---------------------------------------------------------------------------
 
 

@@ -135,7 +135,8 @@ def base_sketch(keys: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text, keys, cells and next (text, keys, cells of the next lower id; after the last the first).
 
-    Rows are dealt by ranges of ids; the first row of each range also goes to the range above, so no
+    Every row is a document of its own; null ids come after all others, rows of one id follow the hash of
+    their text. Rows are dealt by ranges of ids; the first row of each range also goes to the range above, so no
     range needs more than its own rows. Bounds come from quantiles of the ids alone.
     """
     spark = df.sparkSession
@@ -161,7 +162,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     head = F.element_at(F.array(*[F.lit(heads.get(b)).cast(kind) for b in range(size)]), F.col("bucket") + 1)
     goes = F.element_at(F.array(*[F.lit(target.get(b, 0)) for b in range(size)]), F.col("bucket") + 1)
     place = lambda b, ghost: F.struct(b.alias("bucket"), F.lit(ghost).alias("ghost"))
-    placed = rows.withColumn("bucket", bucket).withColumn("place", F.explode(F.when(F.col("id") == head, F.array(place(F.col("bucket"), 0), place(goes, 1))).otherwise(F.array(place(F.col("bucket"), 0)))))
+    placed = rows.withColumn("bucket", bucket).withColumn("place", F.explode(F.when(F.col("id").eqNullSafe(head), F.array(place(F.col("bucket"), 0), place(goes, 1))).otherwise(F.array(place(F.col("bucket"), 0)))))
     dealt = placed.select("id", "text", "place.bucket", "place.ghost").repartition("bucket")
     known = dealt.withColumn("keys", digests(F.col("text"))).withColumn("cells", base_sketch(F.col("keys")))
     order = Window.partitionBy("bucket").orderBy("ghost", F.desc("id"), F.xxhash64("text"))

@@ -337,11 +337,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Take every byte out that a repeated 200-byte string covers.
 
     Output: the id, n_bytes, n_removed, n_spans, kept_sha256 and, with `with_text`, kept (bytes).
-    Repeated ids are not told apart.
+    Every row is a document of its own, also when ids repeat or are null: rows get a number, written once.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = repeated_intervals(docs, kind)
+    docs = keep(df.select(F.monotonically_increasing_id().alias("doc_id"), F.col(id_col).alias("own"), F.col(text_col).alias("text")), "rows")
+    found = repeated_intervals(docs, "bigint")
     marks = keep(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("marks")), "marks")
     schema = f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
 
@@ -360,9 +360,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     rows.append((len(raw), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept)[: 4 + with_text])
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 columns = zip(*rows, strict=True) if rows else [[]] * (4 + with_text)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types)]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+                yield pa.RecordBatch.from_arrays([piece.column("own"), *[pa.array(c, t) for c, t in zip(columns, types)]], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     asked = bloom.ask(docs, "doc_id", marks, "doc_id")
-    clean = asked.filter("NOT maybe").select("doc_id", "text", F.lit(None).cast("array<struct<start: bigint, windows: int>>").alias("marks"))
-    marked = asked.filter("maybe").select("doc_id", "text").join(marks, "doc_id", "left")
+    clean = asked.filter("NOT maybe").select("own", "text", F.lit(None).cast("array<struct<start: bigint, windows: int>>").alias("marks"))
+    marked = asked.filter("maybe").join(marks, "doc_id", "left").select("own", "text", "marks")
     return clean.unionByName(marked).mapInArrow(run, schema)
