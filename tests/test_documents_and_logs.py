@@ -108,7 +108,7 @@ def test_record_files_and_pairs(spark, tmp_path):
     got = {(r.source, r.chosen, r.rejected) for r in samples.collect()}
     assert got == {("eval_harness", "good", "bad"), ("llm_judge", "strong", "weak"), ("user_feedback", "yes", "no")}
     assert set(spark.read.json(f"{out}/train").columns) == {"prompt", "chosen", "rejected"}
-    again = preferences.preference_samples(records.read_records(spark, f"{out}/full"))
+    again = preferences.preference_samples(records.read_records(spark, f"{out}/full"), ready_first=True)
     assert again.count() == 3
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators import chunking, classify, dedup, evals, maintain, prefs, relations, windows
+from tidemark.operators import chunking, classify, dedup, evals, maintain, prefs, relations
+from tidemark.plans import preferences
 from tidemark.registry import sqltext as q
 from tidemark.registry.core import Tables, query
 from tidemark.registry.memory_queries import big, items, key, labelled, now
@@ -120,18 +121,17 @@ def haystack_scan(t: Tables) -> DataFrame:
 
 @query(
     "persona_scan",
-    f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), k AS (SELECT * FROM c WHERE n <= 3)
-    SELECT 'q' || conv_id AS question_id, '(b)' AS gold_label, 'it''s b' AS gold_option, count(*) FILTER (role <> 'system') AS n_turns, md5(coalesce(string_agg({q.strip("text")}, chr(10) || chr(10) ORDER BY n) FILTER (role = 'system'), '')) AS profile FROM k GROUP BY conv_id""",
+    f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+    SELECT 'q' || conv_id AS question_id, '(b)' AS gold_label, 'it''s b' AS gold_option, count(*) FILTER (role <> 'system') AS n_turns, md5(coalesce(string_agg({q.strip("text")}, chr(10) || chr(10) ORDER BY n) FILTER (role = 'system'), '')) AS profile FROM c GROUP BY conv_id""",
 )
 def persona_scan(t: Tables) -> DataFrame:
+    """Each conversation with a question at its end: the context is one nested record, as in its file."""
     said = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     prefix = lambda m: F.when(m["role"] == "user", F.concat(F.lit(" User: "), m["text"])).otherwise(m["text"])
-    # the questions reach up to the third message, so no longer context is ever built
-    first = windows.top_rows(t.conversations, ["conv_id"], [F.col("turn")], 3, "n")
-    contexts = first.groupBy(F.col("conv_id").cast("string").alias("shared_context_id")).agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), prefix(m).alias("content"))).alias("messages"))
-    asked = t.conversations.select("conv_id").distinct().select(
+    contexts = t.conversations.groupBy(F.col("conv_id").cast("string").alias("shared_context_id")).agg(F.transform(said, lambda m: F.struct(m["role"].alias("role"), prefix(m).alias("content"))).alias("messages"))
+    asked = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).cast("string").alias("end_index_in_shared_context")).select(
         F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question_id"), F.lit("t").alias("question_type"), F.lit("why").alias("user_question_or_message"),
-        F.lit(" (B) ").alias("correct_answer"), F.lit("""['one', "it's b", 'c']""").alias("all_options"), F.col("conv_id").cast("string").alias("shared_context_id"), F.lit("3").alias("end_index_in_shared_context"),
+        F.lit(" (B) ").alias("correct_answer"), F.lit("""['one', "it's b", 'c']""").alias("all_options"), F.col("conv_id").cast("string").alias("shared_context_id"), "end_index_in_shared_context",
     )
     out = records.persona_cases(asked, contexts)
     return out.select("question_id", "gold_label", "gold_option", F.size("turns").cast("bigint").alias("n_turns"), F.md5("profile").alias("profile"))
@@ -496,6 +496,18 @@ def dedup_samples(t: Tables) -> DataFrame:
     return maintain.dedup_samples(*[p.withColumn("ord", F.xxhash64("sample_id")) for p in parts]).select("sample_id", "prompt")
 
 
+ALL_PAIRS = f"""WITH {_EVAL_PAIRS}, {_AB}, {_FB}, al AS (
+    SELECT sample_id, prompt, chosen, rejected, 'eval_harness' AS source, 'rag_qa' AS task_type FROM pp WHERE sc - sr >= 0.2 AND chosen <> rejected
+    UNION SELECT sample_id, prompt, chosen, rejected, 'llm_judge', 'tool_use' FROM aq UNION SELECT sample_id, 'say', chosen, rejected, 'user_feedback', 'general_chat' FROM fp)"""
+
+
+def all_samples(t: Tables) -> DataFrame:
+    """Samples from the logs of all three kinds."""
+    logs = {"eval_harness": scored_docs(t), "llm_judge": ab_rows(t).withColumn("score_a", F.col("score_a").cast("string")), "user_feedback": feedback_rows(t)}
+    parts = [preferences.preference_samples(rows, source=kind) for kind, rows in logs.items()]
+    return maintain.dedup_samples(*[p.withColumn("ord", F.xxhash64("sample_id")) for p in parts])
+
+
 _SETF = r"list_distinct(list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: w <> ''))"
 
 

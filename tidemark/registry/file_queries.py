@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import evals, prefs, runs, windows
+from tidemark.operators import evals, runs, windows
 from tidemark.registry.core import Tables, query
-from tidemark.registry.curation_queries import ab_rows
+from tidemark.registry.curation_queries import ALL_PAIRS, all_samples
 from tidemark.registry.memory_queries import big
 from tidemark.sources import feeds, records
 from tidemark.streaming.jobs import scratch
@@ -82,10 +82,8 @@ def backend_compare(t: Tables) -> DataFrame:
     SELECT conv_id, round(CASE WHEN conv_id % 4 = 0 THEN 1.0 ELSE least(1.0::DOUBLE, (len(list_intersect(got, ['1', '5'])) + list_contains(docs, 'd2')::INT) / 3.0::DOUBLE) END, 6) AS recall_at_k, conv_id % 3 = 0 AS citation_hit FROM c""",
 )
 def rag_case_metrics(t: Tables) -> DataFrame:
-    # the metric looks at the first three ids, so no longer list is ever built
-    first = windows.top_rows(t.conversations.select("conv_id", "turn"), ["conv_id"], [F.col("turn")], 3, "n")
-    pack = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n", c.alias("v")))), lambda r: r["v"])
-    rows = first.groupBy("conv_id").agg(pack(F.col("turn").cast("string")).alias("chunk_ids"), pack(F.concat(F.lit("d"), (F.col("turn") % 3).cast("string"))).alias("document_ids"))
+    pack = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", c.alias("v")))), lambda r: r["v"])
+    rows = t.conversations.select("conv_id", "turn").groupBy("conv_id").agg(pack(F.col("turn").cast("string")).alias("chunk_ids"), pack(F.concat(F.lit("d"), (F.col("turn") % 3).cast("string"))).alias("document_ids"))
     gold = F.col("conv_id") % 4 != 0
     none = F.array().cast("array<string>")
     said = F.when(F.col("conv_id") % 3 == 0, "so [K1] and [K2]").when(F.col("conv_id") % 3 == 1, "so [K9]").otherwise("so")
@@ -122,12 +120,16 @@ def eval_cases_scan(t: Tables) -> DataFrame:
     return cases.select("dataset", "case_id", F.md5("query").alias("query"), F.array_join("relevant_chunk_ids", "|").alias("chunks"), F.size("relevant_document_ids").cast("bigint").alias("n_docs"))
 
 
-@query("preference_sink")
+@query("preference_sink", f"{ALL_PAIRS} SELECT sample_id, prompt, md5(chosen) AS chosen, md5(rejected) AS rejected, source, 1::BIGINT AS n_train FROM al")
 def preference_sink(t: Tables) -> DataFrame:
+    """Samples of all kinds written and read back from both files."""
     out = scratch(t.spark, "samples")
-    records.write_preferences(prefs.pairs_from_ab(ab_rows(t)), out)
+    records.write_preferences(all_samples(t), out)
     full, train = t.spark.read.json(f"{out}/full"), t.spark.read.json(f"{out}/train")
-    return full.join(train, ["prompt", "chosen", "rejected"]).select("sample_id", "prompt", "chosen", "rejected", "score_gap")
+    found = train.groupBy("prompt", "chosen", "rejected").agg(F.count(F.lit(1)).alias("n"))
+    same = full.groupBy("prompt", "chosen", "rejected").agg(F.count(F.lit(1)).alias("m"))
+    shown = full.join(found.join(same, ["prompt", "chosen", "rejected"]), ["prompt", "chosen", "rejected"], "left")
+    return shown.select("sample_id", "prompt", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"), "source", F.coalesce(F.floor(F.col("n") / F.col("m")), F.lit(0)).alias("n_train"))
 
 
 @query(

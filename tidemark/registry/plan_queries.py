@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import memory as memory_ops
 from tidemark.operators import policy, vector
-from tidemark.plans import daily, memory, preferences, retrieval
+from tidemark.plans import daily, memory, retrieval
 from tidemark.registry import sqltext as q
 from tidemark.registry.core import Tables, query
-from tidemark.registry.curation_queries import ab_rows, eval_pairs
+from tidemark.registry.curation_queries import ALL_PAIRS, all_samples
 from tidemark.registry.memory_queries import POLICY, big, items, key, now
 from tidemark.registry.retrieval_queries import BM25, PASSAGES, RRF, VECTOR, _embedding, passages, questions
 
@@ -112,10 +112,9 @@ def memory_inject(t: Tables) -> DataFrame:
     return block.select("query_id", F.length("block").alias("chars"), F.array_join("injected_ids", "|").alias("injected"))
 
 
-@query("build_preferences")
+@query("build_preferences", f"{ALL_PAIRS} SELECT sample_id, prompt, md5(chosen) AS chosen, md5(rejected) AS rejected, source, task_type FROM al")
 def build_preferences(t: Tables) -> DataFrame:
-    logs = ab_rows(t).withColumn("score_a", F.col("score_a").cast("string"))
-    return preferences.preference_samples(logs).select("sample_id", "prompt", "chosen", "rejected", "source", "task_type", "score_gap")
+    return all_samples(t).select("sample_id", "prompt", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"), "source", "task_type")
 
 
 @query(

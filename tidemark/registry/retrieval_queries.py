@@ -523,12 +523,11 @@ def retrieval_eval(t: Tables) -> DataFrame:
 
 @query(
     "case_predictions",
-    f"""WITH {BM25}, k AS (SELECT query_id, count(*) AS n FROM kw WHERE rank <= 5 AND score >= 40 GROUP BY 1)
+    f"""WITH {BM25}, k AS (SELECT query_id, count(*) AS n FROM kw WHERE rank <= 5 GROUP BY 1)
     SELECT item_id AS case_id, coalesce(n, 0) AS n_hits, CASE WHEN n IS NULL THEN 'missing prediction' END AS error FROM benchmark LEFT JOIN k ON k.query_id = item_id""",
 )
 def case_predictions(t: Tables) -> DataFrame:
-    hits = keyword_hits(t).filter("score >= 40")
-    preds = hits.groupBy(F.col("query_id").alias("case_id")).agg(
+    preds = keyword_hits(t).groupBy(F.col("query_id").alias("case_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda r: r["id"].cast("string")).alias("document_ids")
     ).withColumn("chunk_ids", F.array().cast("array<string>"))
     cases = questions(t).select(
