@@ -42,16 +42,20 @@ def publish(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> str:
     spark = df.sparkSession
     path = f"{table}/v-{uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    point(spark, table, path)
+    return path
+
+
+def point(spark: SparkSession, table: str, value: str) -> None:
+    """Replace the pointer of `table` in one step: a reader finds the old one or the new one, never none."""
     fs, jvm = _fs(spark, table)
     Path = jvm.org.apache.hadoop.fs.Path
     fresh = Path(f"{table}/{POINTER}.{uuid4().hex}")
     stream = fs.create(fresh, True)
-    stream.write(bytearray(path.encode()))
+    stream.write(bytearray(value.encode()))
     stream.close()
-    # one step: a reader finds the old pointer or the new one, never none
     kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
     how = spark.sparkContext._gateway.new_array(kind, 1)
     how[0] = kind.OVERWRITE
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     context.rename(fresh, Path(f"{table}/{POINTER}"), how)
-    return path
