@@ -213,26 +213,12 @@ def _distance(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
 
 
-def _placed(shared: DataFrame, own: DataFrame, star: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """bucket, id, n_shingles and the least and most distance (lo, hi) from the bucket's centre.
-
-    Jaccard distance obeys the triangle inequality: where a document has not met the centre, its distance
-    follows from those of its own centre to both. So only centres meet centres here.
-    """
-    exact = _distance(star)
-    rows = shared.join(exact, ["id", "centre"], "left")
-    via = own.join(exact.toDF("id", "via", "leg"), ["id", "via"])
-    open_rows = rows.filter(F.col("far").isNull() & (F.col("id") != F.col("centre"))).select("id", "centre").distinct()
-    legs = open_rows.join(via, "id", "left").select("id", "centre", F.coalesce("via", "id").alias("via"), F.coalesce("leg", F.lit(0.0)).alias("leg"))
-    legs = keep(legs, "legs")
-    between = keep(_distance(_compared(legs.filter("via <> centre").select(F.col("via").alias("a"), F.col("centre").alias("b")).distinct(), texts, size)), "between")
-    legs = legs.join(between.toDF("via", "centre", "rest"), ["via", "centre"], "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
-    bounds = legs.select("id", "centre", F.abs(F.col("leg") - F.col("rest")).alias("low"), F.least(F.col("leg") + F.col("rest"), F.lit(1.0)).alias("high"))
+def _placed(shared: DataFrame, star: DataFrame) -> DataFrame:
+    """bucket, id, n_shingles and the least and most distance (lo, hi) from the bucket's centre: the same where they have met."""
     least = 1 - F.least("n_shingles", "m") / F.greatest("n_shingles", "m")
     centre = F.col("id") == F.col("centre")
-    lo = F.when(centre, 0.0).otherwise(F.coalesce("far", F.greatest("low", least), least))
-    hi = F.when(centre, 0.0).otherwise(F.coalesce("far", "high", F.lit(1.0)))
-    return rows.join(bounds, ["id", "centre"], "left").select("bucket", "id", "n_shingles", lo.alias("lo"), hi.alias("hi"))
+    lo, hi = F.when(centre, 0.0).otherwise(F.coalesce("far", least)), F.when(centre, 0.0).otherwise(F.coalesce("far", F.lit(1.0)))
+    return shared.join(_distance(star), ["id", "centre"], "left").select("bucket", "id", "n_shingles", lo.alias("lo"), hi.alias("hi"))
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", a: int = A_TUPLES, b: int = B_TUPLES, rows: int = ROWS, key_col: str | None = None) -> DataFrame:
@@ -266,10 +252,15 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col
     label = extend(label, more.filter(_similar(percent)).select("a", "b"))
     star = star.unionByName(more)
 
-    gap = (100 - percent) / 100  # documents whose distances from one centre differ by more cannot be linked
+    # Jaccard distance obeys the triangle inequality: documents whose distances from one centre differ by more
+    # than the gap cannot be linked. Only buckets that hold several components need these distances.
+    gap = (100 - percent) / 100
     named = _named(shared.filter("n > 2"), label)
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    placed = keep(_placed(keep(shared.join(mixed, "bucket", "left_semi"), "mixed"), own, star, texts, size), "placed")
+    several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    mixed = keep(shared.join(several, "bucket", "left_semi"), "mixed")
+    unmet = mixed.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
+    star = star.unionByName(keep(_compared(unmet, texts, size), "unmet"))
+    placed = keep(_placed(mixed, star), "placed")
     for turn in range(PASSES):
         # linear passes: in buckets that hold several components, each document meets the next one in a new order
         found = _named(placed, label)
@@ -281,11 +272,11 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col
         new = keep(_compared(met.join(star.select("a", "b"), ["a", "b"], "left_anti"), texts, size).filter(_similar(percent)).select("a", "b"), "passes")
         label = extend(label, new)
     # whatever components still share a bucket are compared in full, once
-    pairs = keep(_open_pairs(_named(placed, label), gap, percent), "open")
+    pairs = _open_pairs(_named(placed, label), gap, percent)
     counts = label.groupBy("component").agg(F.count(F.lit(1)).alias("count"))
     sized = pairs.join(counts.toDF("c", "nc"), "c", "left").join(counts.toDF("d", "nd"), "d", "left").fillna(1, ["nc", "nd"])
     swap = F.col("nd") > F.col("nc")
-    pairs = sized.select(F.when(swap, F.col("d")).otherwise(F.col("c")).alias("c"), F.when(swap, F.col("c")).otherwise(F.col("d")).alias("d"), F.greatest("nc", "nd").alias("nc"))
+    pairs = keep(sized.select(F.when(swap, F.col("d")).otherwise(F.col("c")).alias("c"), F.when(swap, F.col("c")).otherwise(F.col("d")).alias("d"), F.greatest("nc", "nd").alias("nc")), "rivals")
     single = pairs.filter("nc = 1").select(F.greatest("c", "d").alias("a"), F.least("c", "d").alias("b")).join(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     new = _compared(single, texts, size).filter(_similar(percent)).select("a", "b")
     large = keep(pairs.filter("nc > 1").select("c", "d"), "large")
