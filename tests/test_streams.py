@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import observe
-from tidemark.sources import versions
 from tidemark.operators import chunking
 from tidemark.streaming import jobs
 
@@ -77,10 +76,10 @@ def test_index_replaces_changed_documents_only(spark, tmp_path):
     first.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     run = lambda: jobs.start_index(jobs.read_stream(spark, f"{tmp_path}/in", first.schema, files_per_trigger=1), out, lambda d: chunking.chunk_markdown(d)).awaitTermination()
     run()
-    before = {r.source_path: r.updated_at for r in versions.read_current(spark, f"{out}/docs").collect()}
+    before = {r.source_path: r.updated_at for r in jobs.read_index(spark, out)[0].collect()}
     later.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     run()
-    docs = {r.source_path: r for r in versions.read_current(spark, f"{out}/docs").collect()}
-    texts = {r.text for r in versions.read_current(spark, f"{out}/chunks").collect()}
+    docs = {r.source_path: r for r in jobs.read_index(spark, out)[0].collect()}
+    texts = {r.text for r in jobs.read_index(spark, out)[1].collect()}
     assert set(docs) == {"a.md", "b.txt"} and texts == {"# A\nchanged", "two"}
     assert docs["b.txt"].updated_at == before["b.txt"] and docs["a.md"].updated_at > before["a.md"]

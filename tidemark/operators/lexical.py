@@ -193,6 +193,10 @@ def substring_join(
     return found.select(id_col, needle_col)
 
 
+def message_words(text: str) -> list[str]:
+    return [w for w in re.split(r"\s+", text.strip()) if w] or [text]
+
+
 def search_messages(
     messages: DataFrame,
     text: str,
@@ -201,13 +205,17 @@ def search_messages(
     offset: int = 0,
     session_key: str | None = None,
     role: str | None = None,
+    among: DataFrame | None = None,
 ) -> DataFrame:
     """Messages (session_key, seq, role, content) matching any word of `text`, with the total count.
 
+    `among`: the messages that can match, from an index; then only these are searched, and of the others
+    the lengths are read.
+
     Order: number of matched words, then relevance of the words of three or more characters (BM25
     with substring frequencies and k1 1.2), then newest first.
     """
-    words = [w for w in re.split(r"\s+", text.strip()) if w] or [text]
+    words = message_words(text)
     low = F.lower(F.col("content"))
     long_words = [w.lower() for w in words if len(w) >= 3]
     matched = reduce(lambda a, c: a + c, [F.contains(low, F.lit(w.lower())).cast("int") for w in words])
@@ -215,7 +223,7 @@ def search_messages(
     def frequency(word: str) -> Column:
         return F.size(F.regexp_extract_all(low, F.lit(f"(?={re.escape(word)})"), 0))
 
-    counted = messages.select(
+    counted = (messages if among is None else among).select(
         "*",
         matched.alias("match_score"),
         F.greatest(F.length("content") - 2, F.lit(0)).alias("__len"),
@@ -228,7 +236,8 @@ def search_messages(
             F.avg("__len").alias("mean"),
             *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(long_words))],
         )
-        n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
+        whole = stats if among is None else messages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.length("content") - 2, F.lit(0))).alias("mean"))
+        n, mean = whole.select("n").scalar(), whole.select("mean").scalar()
         total = F.lit(0.0)
         found = F.lit(False)
         for i in range(len(long_words)):

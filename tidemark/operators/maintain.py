@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 
 
-def upsert_docs(target: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
-    """Insert or replace documents by id; created_at of a known document stays."""
+def stamped_docs(target: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """The changed documents with their times and status; created_at of a known document stays."""
     old = target.select("id", F.col("created_at").alias("__created"))
     fresh = changes.join(old, "id", "left").withColumn("created_at", F.coalesce("__created", now))
-    fresh = fresh.withColumn("updated_at", now).withColumn("status", F.lit("active"))
+    return fresh.withColumn("updated_at", now).withColumn("status", F.lit("active")).drop("__created")
+
+
+def upsert_docs(target: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """Insert or replace documents by id; created_at of a known document stays."""
+    fresh = stamped_docs(target, changes, now)
     kept = target.join(changes.select("id"), "id", "left_anti")
     return kept.unionByName(fresh.select(*target.columns))
 

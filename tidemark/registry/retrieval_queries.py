@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import context, evals, fusion, inverted, lexical, policy, postings, vector
+from tidemark.operators import context, evals, fusion, inverted, lexical, policy, postings, trigrams, vector
 from tidemark.operators.windows import top_rows
 from tidemark.registry import sqltext as q
 from tidemark.registry.core import Tables, query
@@ -166,9 +166,7 @@ def catalog_search(t: Tables) -> DataFrame:
     return hits.select(F.col("query_id").alias("query"), "name", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(
-    "message_search",
-    """WITH m AS (SELECT *, lower(text) AS s FROM conversations),
+_MESSAGES = """WITH m AS (SELECT *, lower(text) AS s FROM conversations),
     c AS (SELECT *, contains(s, 'the')::INT + contains(s, 'ing')::INT + contains(s, 'ou')::INT AS match_score,
         greatest(length(text) - 2, 0) AS n,
         (length(s) - length(replace(s, 'the', ''))) // 3 AS f1, (length(s) - length(replace(s, 'ing', ''))) // 3 AS f2 FROM m),
@@ -179,14 +177,35 @@ def catalog_search(t: Tables) -> DataFrame:
       FROM c, g),
     h AS (SELECT *, round(rs, 9) AS rank_score, count(*) OVER () AS total FROM r WHERE match_score > 0 OR rs IS NOT NULL)
     SELECT conv_id, turn, match_score, round(rank_score, 6) AS rank_score, total FROM h
-    ORDER BY match_score DESC, rank_score IS NULL, h.rank_score, turn DESC, conv_id LIMIT 50""",
-)
+    ORDER BY match_score DESC, rank_score IS NULL, h.rank_score, turn DESC, conv_id LIMIT 50"""
+
+
+def message_log(t: Tables) -> DataFrame:
+    return t.conversations.select(F.col("conv_id").alias("session_key"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+
+
+def shown_messages(hits: DataFrame) -> DataFrame:
+    return hits.select(F.col("session_key").alias("conv_id"), F.col("seq").alias("turn"), "match_score", F.round("rank_score", 6).alias("rank_score"), "total")
+
+
+@query("message_search", _MESSAGES)
 def message_search(t: Tables) -> DataFrame:
-    log = t.conversations.select(F.col("conv_id").alias("session_key"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
-    hits = lexical.search_messages(log, "the ing ou", limit=50)
-    return hits.select(
-        F.col("session_key").alias("conv_id"), F.col("seq").alias("turn"), "match_score", F.round("rank_score", 6).alias("rank_score"), "total"
-    )
+    return shown_messages(lexical.search_messages(message_log(t), "the ing ou", limit=50))
+
+
+@query("message_search_indexed", _MESSAGES)
+def message_search_indexed(t: Tables) -> DataFrame:
+    """The same page from an index that saw the log in three changes: older texts, the real ones, and deletions."""
+    log, words = message_log(t), "the ing ou"
+    index = trigrams.TrigramIndex(t.spark, jobs.scratch(t.spark, "trigrams"), ["session_key", "seq"])
+    index.change(log.withColumn("content", F.concat(F.lit("the old thing "), F.reverse("content"))).unionByName(log.withColumn("seq", -1 - F.col("seq"))), batch="0")
+    index.change(log.filter("seq % 2 = 0"), batch="1")
+    index.change(log.filter("seq % 2 <> 0"), log.select("session_key", (-1 - F.col("seq")).alias("seq")), batch="2")
+    terms = t.spark.createDataFrame([(w,) for w in lexical.message_words(words)], "term string")
+    found = jobs.scratch(t.spark, "among")
+    index.search(terms).select(*log.columns).distinct().write.parquet(found)  # the ranking reads it several times
+    among = t.spark.read.parquet(found)
+    return shown_messages(lexical.search_messages(index.texts.read(), words, limit=50, among=among))
 
 
 # -- vector lane ------------------------------------------------------------------------------

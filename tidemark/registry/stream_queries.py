@@ -12,7 +12,6 @@ from tidemark.registry.core import Tables, query
 from tidemark.registry.curation_queries import RULES
 from tidemark.registry.memory_queries import POLICY, key
 from tidemark.registry.observe_queries import _P90, _RUNS, stamp
-from tidemark.sources import versions
 from tidemark.streaming import jobs
 
 
@@ -165,9 +164,8 @@ def stream_index(t: Tables) -> DataFrame:
     files = stream(t, "documents", "doc_id").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("source_path"), F.col("text").alias("content"), F.col("doc_id").alias("mtime"))
     out = jobs.scratch(t.spark, "index")
     jobs.start_index(files, out, lambda rows: chunking.chunk_markdown(rows)).awaitTermination()
-    chunks = versions.read_current(t.spark, f"{out}/chunks").select("document_id").distinct()
-    docs = versions.read_current(t.spark, f"{out}/docs").select(F.col("id").alias("document_id"), "content_hash")
-    return docs.join(chunks, "document_id", "left_semi")
+    docs, chunks = jobs.read_index(t.spark, out)
+    return docs.select(F.col("id").alias("document_id"), "content_hash").join(chunks.select("document_id").distinct(), "document_id", "left_semi")
 
 
 @query(

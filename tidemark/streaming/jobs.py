@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import classify, policy, relations
 from tidemark.operators.observe import REPEATABLE_TOOLS
 from tidemark.session import checkpoint_root
-from tidemark.sources import documents, feeds, versions
+from tidemark.sources import documents, feeds
+from tidemark.sources.deltas import DeltaTable
 from tidemark.streaming import stateful
 
 WATERMARK = "1 hour"
@@ -85,11 +86,21 @@ def start_traces(df: DataFrame, out: str, available_now: bool = True):
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def index_tables(spark: SparkSession, out: str) -> tuple[DeltaTable, DeltaTable]:
+    """The tables of documents (by id) and of chunks (by document_id) that `start_index` keeps."""
+    return DeltaTable(spark, f"{out}/docs", ["id"]), DeltaTable(spark, f"{out}/chunks", ["document_id"])
+
+
+def read_index(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    docs, chunks = index_tables(spark, out)
+    return docs.read(), chunks.read()
+
+
 def start_index(files: DataFrame, out: str, cut, available_now: bool = True):
     """Keep `docs` and `chunks` tables below `out` up to date with (source_path, content, mtime) rows.
 
-    In a batch the row with the largest mtime counts. Unchanged documents are skipped, changed ones replace their chunks. Both tables are published
-    as new versions.
+    In a batch the row with the largest mtime counts. Unchanged documents are skipped, changed ones replace their chunks.
+    A batch adds one delta to each table (`read_index` merges them) and rewrites neither.
     """
     from tidemark.operators import maintain
 
@@ -98,20 +109,17 @@ def start_index(files: DataFrame, out: str, cut, available_now: bool = True):
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        doc_table, chunk_table = index_tables(spark, out)
         newest = batch.groupBy("source_path").agg(F.max_by("content", "mtime").alias("content"))
         found = documents.document_rows(newest)
-        known = versions.current_path(spark, f"{out}/docs")
-        docs = versions.read_current(spark, f"{out}/docs") if known else None
-        fresh = found if docs is None else relations.changed_docs(found, docs)
-        fresh = fresh.persist()
+        docs = doc_table.read() if doc_table.exists() else None
+        fresh = (found if docs is None else relations.changed_docs(found, docs)).persist()
         at = F.current_timestamp()
         slim = fresh.select("id", "source_path", "title", "file_type", "content_hash")
-        base = docs if docs is not None else slim.limit(0).withColumn("created_at", at).withColumn("updated_at", at).withColumn("status", F.lit("active"))
-        pieces = cut(fresh)
-        old = versions.read_current(spark, f"{out}/chunks") if known else pieces.limit(0)
+        known = docs if docs is not None else slim.limit(0).withColumn("created_at", at)
         # the chunks go first: the document rows are what marks a document as done
-        versions.publish(maintain.replace_children(old, pieces), f"{out}/chunks")
-        versions.publish(maintain.upsert_docs(base, slim, at), f"{out}/docs")
+        chunk_table.change(cut(fresh), fresh.select(F.col("id").alias("document_id")), batch=str(number))
+        doc_table.change(maintain.stamped_docs(known, slim, at), batch=str(number))
         fresh.unpersist()
 
     writer = files.writeStream.foreachBatch(sink).option("checkpointLocation", f"{out}/_checkpoint")
