@@ -100,6 +100,44 @@ def page(df: DataFrame, allowed: Sequence[str], sort_by: str, ascending: bool, n
     return cut.withColumn("total", total)
 
 
+#: Ranges into which the sort column of a deep page is cut, and the rows from which a range of one value is cut by id.
+PAGE_RANGES, PILE_ROWS = 256, 100_000
+
+
+def deep_page(df: DataFrame, column: str, ascending: bool, number: int, size: int, id_col: str) -> DataFrame:
+    """The page that `page` gives, without sorting the table.
+
+    A quantile sketch of the sort column cuts it into ranges, one count says how many rows each holds, and only
+    the ranges that the page touches are read and sorted. A range that is one value held by very many rows is cut
+    again, by id. `column` is a number, date or time; nulls are first in rising order, last in falling.
+    """
+    rows, first = max(1, int(size)), (max(1, int(number)) - 1) * max(1, int(size))
+    cut, total = _page_rows(df, column, ascending, first, rows, id_col)
+    return cut.withColumn("total", F.lit(total).cast("bigint"))
+
+
+def _page_rows(df: DataFrame, column: str, ascending: bool, first: int, rows: int, id_col: str) -> tuple[DataFrame, int]:
+    sketch = df.agg(F.percentile_approx(column, [i / PAGE_RANGES for i in range(1, PAGE_RANGES)], 20 * PAGE_RANGES)).first()[0]
+    cuts = sorted(set(sketch or ()))
+    at = F.col(column)
+    inside = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < at)) if cuts else F.lit(0)
+    place = F.when(at.isNull(), -1).otherwise(inside)
+    counts = df.groupBy(place.alias("range")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).collect()
+    held, before, chosen = sorted(counts, key=lambda r: r["range"], reverse=not ascending), 0, []
+    skipped = 0
+    for r in held:
+        if before + r.n <= first:
+            skipped = before + r.n
+        elif before < first + rows:
+            chosen.append(r)
+        before += r.n
+    part = df.filter(place.isin([r["range"] for r in chosen])) if chosen else df.limit(0)
+    if len(chosen) == 1 and chosen[0].n > PILE_ROWS and chosen[0].low == chosen[0].high and column != id_col:
+        return _page_rows(part, id_col, True, first - skipped, rows, id_col)[0], before
+    key = at.asc() if ascending else at.desc()
+    return part.orderBy(key, F.col(id_col)).offset(first - skipped).limit(rows), before
+
+
 def mark_rollup(items: DataFrame, decisions: DataFrame, acted_at: Column) -> DataFrame:
     """Note a decision in the extra_json of its source items, so they are not proposed again.
 

@@ -593,6 +593,15 @@ def page(t: Tables) -> DataFrame:
     return out.select("o_orderkey", "o_totalprice", "total")
 
 
+@query(
+    "deep_page",
+    """SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 1225""",
+)
+def deep_page(t: Tables) -> DataFrame:
+    out = maintain.deep_page(t.orders, "o_totalprice", False, 50, 25, "o_orderkey")
+    return out.select("o_orderkey", "o_totalprice", "total")
+
+
 @query(
     "query_variants",
     """WITH n AS (SELECT item_id, trim(text) AS o, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS n FROM benchmark),
