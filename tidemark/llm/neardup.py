@@ -7,9 +7,8 @@ missed with a probability below 0.0004.
 
 Exact copies (equal sets) are merged before anything is compared. Every document meets one centre first, the
 most shared of its buckets' centres; confirmed links give components, and only between different ones
-do documents meet the other centres of their buckets. Buckets that still hold several components get
-linear passes in which each member meets the next one in a shuffled order. What is open then, and
-what the triangle inequality does not keep apart, is compared in full, block by block, so no link between
+do documents meet the other centres of their buckets. Where a bucket still holds several components, those
+that the triangle inequality does not keep apart are compared in full, block by block, so no link between
 documents of one bucket is lost.
 
 Texts without words have no set: they are linked with nothing and stay. One word (or fewer words than
@@ -37,8 +36,8 @@ from tidemark.llm.store import keep
 #: Tuples in either collection, and MinHash values in a tuple.
 A_TUPLES, B_TUPLES, ROWS = 12, 12, 3
 PERCENT = 80
-#: Documents of one component that one task compares with those of others, and linear passes before that.
-BLOCK, PASSES = 128, 1
+#: Documents of one component that one task compares with those of others.
+BLOCK = 128
 
 
 class PlacedWords(Words):
@@ -193,7 +192,7 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "component").agg(F.min("n_shingles").alias("small"), F.max("n_shingles").alias("big"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def _open_pairs(rows: DataFrame, gap: float, percent: int, columns: tuple[str, ...] = ("c", "d")) -> DataFrame:
+def _open_pairs(rows: DataFrame, gap: float, percent: int) -> DataFrame:
     """Components (c < d) that share a bucket and that sizes and distances do not keep apart."""
     mine = _by_bucket(rows)
     several = mine.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
@@ -201,11 +200,7 @@ def _open_pairs(rows: DataFrame, gap: float, percent: int, columns: tuple[str, .
     other = mine.toDF("bucket", "d", "small2", "big2", "lo2", "hi2")
     sizes = (F.col("big") * 100 >= F.col("small2") * percent) & (F.col("big2") * 100 >= F.col("small") * percent)
     rings = (F.col("lo") <= F.col("hi2") + gap + 1e-9) & (F.col("lo2") <= F.col("hi") + gap + 1e-9)
-    return mine.join(other, "bucket").filter((F.col("c") < F.col("d")) & sizes & rings).select(*columns).distinct()
-
-
-def _open_buckets(rows: DataFrame, gap: float, percent: int) -> DataFrame:
-    return _open_pairs(rows, gap, percent, ("bucket",))
+    return mine.join(other, "bucket").filter((F.col("c") < F.col("d")) & sizes & rings).select("c", "d").distinct()
 
 
 def _distance(pairs: DataFrame) -> DataFrame:
@@ -261,16 +256,6 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col
     unmet = mixed.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
     star = star.unionByName(keep(_compared(unmet, texts, size), "unmet"))
     placed = keep(_placed(mixed, star), "placed")
-    for turn in range(PASSES):
-        # linear passes: in buckets that hold several components, each document meets the next one in a new order
-        found = _named(placed, label)
-        found = found.join(_open_buckets(found, gap, percent), "bucket", "left_semi")
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(turn)), "id")
-        met = found.withColumn("other", F.lead(F.struct("id", "component", "n_shingles")).over(order)).filter(F.col("other.component") != F.col("component"))
-        fits = F.least("n_shingles", "other.n_shingles") * 100 >= F.greatest("n_shingles", "other.n_shingles") * percent
-        met = met.filter(fits).select(F.greatest("id", "other.id").alias("a"), F.least("id", "other.id").alias("b")).distinct()
-        new = keep(_compared(met.join(star.select("a", "b"), ["a", "b"], "left_anti"), texts, size).filter(_similar(percent)).select("a", "b"), "passes")
-        label = extend(label, new)
     # whatever components still share a bucket are compared in full, once
     pairs = _open_pairs(_named(placed, label), gap, percent)
     counts = label.groupBy("component").agg(F.count(F.lit(1)).alias("count"))
