@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text one numpy pass holds at a time; a longer single text is still taken whole.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 IS_SPACE = np.zeros(256, bool)

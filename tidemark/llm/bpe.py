@@ -40,8 +40,9 @@ def byte_alphabet() -> dict[int, str]:
 class WordBpe:
     """Encoder and decoder of one vocabulary whose words end in a suffix."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, cache_words: int = CACHE_WORDS) -> None:
         spec = json.loads(text)
+        self.cache_words = cache_words
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
@@ -91,7 +92,7 @@ class WordBpe:
         ids = self.merge(word)
         entry = len(ids), " ".join(map(str, ids)), " ".join(self.strings[i] for i in ids)
         if len(word) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_WORDS:
+            if len(self.cache) >= self.cache_words:
                 self.cache.clear()
             self.cache[word] = entry
         return entry
@@ -116,8 +117,8 @@ class WordBpe:
         return " ".join(self.strings[i] for i in ids)
 
 
-def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Encode and decode every text.
+def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Encode and decode every text; a task remembers the ids of at most `cache_words` words.
 
     Output: the id, n_tokens, ids_sha256, decoded_sha256 and, with `with_ids`, ids (array) and decoded.
     `vocabulary` is a file on the driver; it reaches the executors once each.
@@ -129,7 +130,7 @@ def encode_texts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(spec.value)
+        bpe = WordBpe(spec.value, cache_words)
         sha = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             for piece in pieces(batch):
