@@ -56,7 +56,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
-    return bpe.encode_texts(docs, vocabulary(), with_ids=False)
+    return bpe.encode_texts(docs, vocabulary(), with_ids=False, cache_words=80_000)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminated), ("pii", without_pii), ("bpe", encoded)]
