@@ -343,6 +343,9 @@ def test_queries_on_the_small_table(spark):
     from tidemark.llm import queries
 
     root = "/root/testdata/sf0.001"
-    line = verify_sql.compare(spark, verify_sql.connect(root), root, "op4_url_filter")
-    assert line.startswith("ok"), line
-    assert set(queries.QUERIES) == {f"op{n}_{name}" for n, name in enumerate(("pii", "bpe", "decontaminate", "url_filter", "repeats", "chat_format", "fingerprint", "lm_score", "language", "near_dedup"), 1)}
+    db = verify_sql.connect(root)
+    for name in ("op4_url_filter", "op11_phrases", "op13_ranked_search"):
+        line = verify_sql.compare(spark, db, root, name)
+        assert line.startswith("ok"), line
+    names = ("pii", "bpe", "decontaminate", "url_filter", "repeats", "chat_format", "fingerprint", "lm_score", "language", "near_dedup", "phrases", "byte_bpe", "ranked_search")
+    assert set(queries.QUERIES) == {f"op{n}_{name}" for n, name in enumerate(names, 1)}
