@@ -124,7 +124,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, second = None, set()
-        for batch in batches:
+        for batch in (q for whole_batch in batches for p in pieces(whole_batch, "ta") for q in pieces(p, "tb")):  # texts of both sides are bounded
             rows = []
             for b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("b", "ta", "tb"))):
                 if b != last:
