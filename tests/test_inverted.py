@@ -59,3 +59,34 @@ def test_probes_follow_the_rows_not_their_square(spark, tmp_path):
         asked = items.selectExpr("id AS qid", "0 AS grp", "embedding AS vec", "0.95D AS floor")
         counts.append(inverted._probes(lists, asked, lists.heads.toPandas(), 0.0, None, 0).count())
     assert counts[1] < 6 * counts[0] and counts[0] < 1000 * 10
+
+
+def test_rows_without_structure_are_copied_like_a_grid(spark, tmp_path):
+    """Random directions rule no list out: a question goes to each shelf, not to each of the lists on it."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "k", [float(x) for x in rng.normal(size=16)]) for i in range(600)]
+    items = spark.createDataFrame(rows, SCHEMA)
+    lists = inverted.build_lists(items, str(tmp_path / "l"), n_lists=30)
+    heads = inverted._shelves(lists, 200)
+    asked = items.selectExpr("id AS qid", "0 AS grp", "embedding AS vec", "0.1D AS floor")
+    assert inverted._probes(lists, asked, heads, 0.0, None).count() <= 600 * heads["shelf"].nunique() <= 600 * 5
+    got = inverted.search_lists(lists, items.withColumnRenamed("id", "query_id"), threshold=0.6, block_rows=200)
+    assert {(r.query_id, r.id) for r in got.collect()} == {(q, i) for q, i, _ in brute(rows, 10**6, 0.6, None, False)}
+
+
+def test_questions_leave_in_small_frames(spark, tmp_path, monkeypatch):
+    """A batch of questions that probes everything is not copied as a whole."""
+    sizes = []
+    items = spark.createDataFrame(clustered(300, 6), SCHEMA)
+    lists = inverted.build_lists(items, str(tmp_path / "l"), n_lists=6)
+    monkeypatch.setattr(inverted, "OUT_ROWS", 50)
+
+    class Questions:
+        schema = spark.createDataFrame([], "qid bigint, grp int, vec array<float>, floor double").schema
+
+        def mapInPandas(self, fn, _):
+            batch = items.selectExpr("id AS qid", "0 AS grp", "embedding AS vec", "-1D AS floor").toPandas()
+            sizes.extend(len(f) for f in fn(iter([batch])))
+
+    inverted._probes(lists, Questions(), lists.heads.toPandas(), 0.0, None)
+    assert sum(sizes) == 300 * 6 and max(sizes) <= 50
