@@ -1,5 +1,10 @@
 """Keyword search, fusion, context, citations and metrics on small fixtures."""
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -138,3 +143,38 @@ def test_query_variants(spark):
         (1, 1, "my tool memory tool calling function calling memory long-term memory retrieval"),
         (2, 0, "nothing"),
     ]
+
+
+@pytest.mark.parametrize("pairs, cells", [(1_000_000, 1_000_000), (7, 1_000_000), (50, 3)])
+def test_bm25_scores_documents_where_they_lie(monkeypatch, pairs, cells):
+    """What a task lets out holds the best rows with all ties, and far fewer rows than it scored."""
+    monkeypatch.setattr(lexical, "PIECE_PAIRS", pairs)
+    monkeypatch.setattr(lexical, "PIECE_CELLS", cells)
+    rng = np.random.default_rng(2)
+    docs = [["common", *rng.choice(list("abcdefgh"), rng.integers(0, 9)).tolist()] if i % 9 else [] for i in range(400)] + [["common", "a", "b"]] * 9
+    asked = {1: ["a", "b", "common"], 2: ["common", "none"], 3: ["h"], None: ["c", "d"]}
+    pairs_of = [(q, t) for q, ts in asked.items() for t in ts]
+    plan = lexical._Asked.of(pa.chunked_array([pa.array([q for q, _ in pairs_of], pa.int64())]), pa.chunked_array([pa.array([t for _, t in pairs_of])]))
+    df = {t: sum(t in d for d in docs) for _, t in pairs_of}
+    mean = sum(map(len, docs)) / len(docs)
+    cut = [pa.RecordBatch.from_arrays([pa.array(range(i, min(i + 90, len(docs)))), pa.array(docs[i : i + 90], pa.list_(pa.string()))], ["id", "toks"]) for i in range(0, len(docs), 90)]
+    out = list(plan.scorer((len(docs), mean, np.array([df[t] for t in plan.vocabulary.to_pylist()], float)), 5, 1.5, 0.75, "q")(iter(cut)))
+    got = {(r["q"], r["id"]): r["score"] for b in out for r in b.to_pylist()}
+    n = 0
+    for q, terms in asked.items():
+        idf = {t: math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) for t in terms}
+        want = {i: sum(idf[t] * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in terms) for i, d in enumerate(docs)}
+        want = {i: round(s, 9) for i, s in want.items() if s > 0}
+        n += len(want)
+        fifth = sorted(want.values())[-5]
+        assert all(abs(got[q, i] - s) < 1e-8 for i, s in want.items() if s >= fifth)
+    assert len(got) == sum(b.num_rows for b in out) < n
+
+
+def test_bm25_shuffles_only_the_best(spark):
+    docs = spark.range(500).selectExpr("id", "concat('common word', id % 7) AS text")
+    asked = spark.createDataFrame([(q, f"common word{q}") for q in range(7)], "query_id int, query string")
+    hits = lexical.bm25_search(docs, asked, 3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" in plan and ", id#" not in plan.split("hashpartitioning(")[1].split(")")[0]
+    assert {(r.query_id, r.id) for r in hits.collect()} == {(q, q + 7 * i) for q in range(7) for i in range(3)}
