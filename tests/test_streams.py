@@ -83,3 +83,18 @@ def test_index_replaces_changed_documents_only(spark, tmp_path):
     texts = {r.text for r in jobs.read_index(spark, out)[1].collect()}
     assert set(docs) == {"a.md", "b.txt"} and texts == {"# A\nchanged", "two"}
     assert docs["b.txt"].updated_at == before["b.txt"] and docs["a.md"].updated_at > before["a.md"]
+
+
+def test_a_batch_of_a_larger_table_has_several_files(spark, tmp_path, monkeypatch):
+    """Else one task reads a whole batch; the files still follow the order of the rows."""
+    from tidemark.registry import stream_queries
+    from tidemark.registry.core import Tables
+
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 10)
+    spark.range(400).selectExpr("id AS doc_id").write.parquet(f"{tmp_path}/t.parquet")
+    seen = []
+    rows = stream_queries.stream(Tables(spark, str(tmp_path)), "t", "doc_id").withColumn("file", F.input_file_name())
+    rows.writeStream.foreachBatch(lambda b, _: seen.append([tuple(r) for r in b.select("doc_id", "file").collect()])).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) >= 3 and all(len({f for _, f in batch}) > 1 for batch in seen[:-1])
+    assert sorted(i for batch in seen for i, _ in batch) == list(range(400))
+    assert all(max(a)[0] < min(b)[0] for a, b in zip(seen, seen[1:]))
