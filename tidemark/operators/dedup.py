@@ -11,7 +11,8 @@ from tidemark.functions import text as tx
 from tidemark.session import spread
 
 SIMILAR_AT = 0.45
-BLOCK_ROWS = 1024
+#: Least and most rows of a block, rows of each side that are compared at once.
+BLOCK_ROWS, MOST_BLOCK_ROWS, PIECE_ROWS = 1024, 8192, 1024
 
 
 def _hits(grams: pd.Series, vocabulary: np.ndarray) -> np.ndarray:
@@ -24,49 +25,86 @@ def _hits(grams: pd.Series, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_dups(df: DataFrame, threshold: float = SIMILAR_AT, id_col: str = "id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _better(score: np.ndarray, ids: np.ndarray, best: np.ndarray, pick: np.ndarray) -> None:
+    """Put the best column of each row of `score` (of equal ones the smallest id) where it beats what is known."""
+    by_id = np.argsort(ids, kind="stable")
+    at = by_id[np.argmax(score[:, by_id], axis=1)]
+    top, other = score[np.arange(len(score)), at], ids[at]
+    known = best >= 0
+    less = np.zeros(len(score), bool)
+    less[known] = other[known] < pick[known]
+    more = (top > best) | ((top == best) & known & less)
+    best[more], pick[more] = top[more], other[more]
+
+
+def _best(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """For every row of both blocks the most similar row with a smaller id in the other one; a block of its own is given as `b` too."""
+    twice = a is not b
+    a_ids, b_ids = a["id"].to_numpy(), b["id"].to_numpy()
+    a_len, b_len = a["g"].map(len).to_numpy(), b["g"].map(len).to_numpy()
+    best, pick = [np.full(len(x), -1.0) for x in (a, b)], [x.copy() for x in (a_ids, b_ids)]
+    for start in range(0, len(b), PIECE_ROWS):
+        cols = slice(start, start + PIECE_ROWS)
+        grams = b["g"].iloc[cols]
+        vocabulary = np.unique(np.concatenate(grams.tolist()))
+        right = _hits(grams, vocabulary).T
+        for first in range(0, len(a), PIECE_ROWS):
+            rows = slice(first, first + PIECE_ROWS)
+            inter = (_hits(a["g"].iloc[rows], vocabulary) @ right).astype(np.float64)
+            score = np.round(inter / (a_len[rows, None] + b_len[None, cols] - inter), 9)
+            earlier = b_ids[None, cols] < a_ids[rows, None]
+            _better(np.where(earlier, score, -1.0), b_ids[cols], best[0][rows], pick[0][rows])
+            if twice:
+                later = a_ids[rows, None] < b_ids[None, cols]
+                _better(np.where(later, score, -1.0).T, a_ids[rows], best[1][cols], pick[1][cols])
+    found = []
+    for ids, top, other in zip((a_ids, b_ids), best, pick, strict=True):
+        ok = top >= threshold
+        found.append(pd.DataFrame({"id": ids[ok], "similar_id": other[ok], "score": top[ok]}))
+    return pd.concat(found, ignore_index=True) if twice else found[0]
+
+
+def near_dups(df: DataFrame, threshold: float = SIMILAR_AT, id_col: str = "id", text_col: str = "text", block_rows: int | None = None) -> DataFrame:
     """For every text the most similar earlier one (smaller id) by Jaccard of character pairs.
 
     Output: id, similar_id, score, for scores at or above the threshold. Texts are laid out in
-    blocks; each pair of blocks is one task that keeps only the best match per text, so neither a
-    task nor the shuffle grows with the number of similar texts. Block pairs that cannot reach the
-    threshold by set size are never formed: blocks follow the set size.
+    blocks; each pair of blocks is one task that keeps only the best match per text of either side, so neither a
+    task nor its output grows with the number of similar texts. Block pairs that cannot reach the
+    threshold by set size are never formed: blocks follow the set size. A text is copied once for each near block:
+    all pairs are compared, so work and shuffle stay quadratic, with a quarter of a level's texts, 8,192 at most, in a block.
     """
     grams = spread(df).select(F.col(id_col).alias("id"), tx.char_bigrams(F.col(text_col)).alias("grams"))
     # pairs as numbers built from both code points: cheap to compare and equal only for equal pairs
     number = lambda g: F.ascii(F.substring(g, 1, 1)).cast("bigint") * 2097152 + F.ascii(F.substring(g, 2, 1))
     coded = grams.select("id", F.array_sort(F.transform("grams", number)).alias("g")).filter(F.size("g") > 0)
     sized = coded.withColumn("level", F.floor(F.log(F.size("g").cast("double")) / F.log(F.lit(1.25))).cast("int"))
-    counts = sized.groupBy("level").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_blocks"))
+    n = F.count(F.lit(1))
+    rows = F.lit(block_rows) if block_rows else F.least(F.lit(MOST_BLOCK_ROWS), F.greatest(F.lit(BLOCK_ROWS), F.floor(n / 4)))
+    counts = sized.groupBy("level").agg(F.ceil(n / rows).cast("int").alias("n_blocks"))
     placed = sized.join(counts, "level").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    # a/b >= threshold bounds the distance of two size levels
+    # a/b >= threshold bounds the distance of two size levels; a pair of blocks is formed once, by its lower one
     reach = int(np.ceil(np.log(1.0 / threshold) / np.log(1.25))) + 1
     levels = counts.select(F.col("level").alias("o_level"), F.col("n_blocks").alias("o_blocks"))
     near = counts.select("level", F.explode(F.sequence(F.col("level") - reach, F.col("level") + reach)).alias("o_level")).join(levels, "o_level")
-    left = placed.join(near, "level").withColumn("o_block", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1)))
-    left = left.select(F.col("id"), F.col("g"), F.col("level").alias("la"), F.col("block").alias("ba"), F.col("o_level").alias("lb"), F.col("o_block").alias("bb"))
-    right = placed.join(near, "level").withColumn("o_block", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1)))
-    right = right.select("id", "g", F.col("o_level").alias("la"), F.col("o_block").alias("ba"), F.col("level").alias("lb"), F.col("block").alias("bb"))
+    copied = placed.join(near, "level").withColumn("o_block", F.explode(F.sequence(F.lit(0), F.col("o_blocks") - 1)))
+    own, other = F.struct("level", "block"), F.struct(F.col("o_level").alias("level"), F.col("o_block").alias("block"))
+    left = copied.filter(own <= other).select("id", "g", F.col("level").alias("la"), F.col("block").alias("ba"), F.col("o_level").alias("lb"), F.col("o_block").alias("bb"))
+    right = copied.filter(other < own).select("id", "g", F.col("o_level").alias("la"), F.col("o_block").alias("ba"), F.col("level").alias("lb"), F.col("block").alias("bb"))
     id_type = df.schema[id_col].dataType.simpleString()
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": a["id"][:0], "similar_id": b["id"][:0], "score": np.zeros(0)})
+    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if key[:2] == key[2:]:
+            b = a
         if a.empty or b.empty:
-            return empty
-        vocabulary = np.unique(np.concatenate(b["g"].tolist()))
-        inter = (_hits(a["g"], vocabulary) @ _hits(b["g"], vocabulary).T).astype(np.float64)
-        n_a, n_b = a["g"].map(len).to_numpy(), b["g"].map(len).to_numpy()
-        score = np.round(inter / (n_a[:, None] + n_b[None, :] - inter), 9)
-        a_ids, b_ids = a["id"].to_numpy(), b["id"].to_numpy()
-        score = np.where(b_ids[None, :] < a_ids[:, None], score, -1.0)
-        by_id = np.argsort(b_ids, kind="stable")
-        pick = by_id[np.argmax(score[:, by_id], axis=1)]
-        top = score[np.arange(len(a_ids)), pick]
-        ok = top >= threshold
-        return pd.DataFrame({"id": a_ids[ok], "similar_id": b_ids[pick[ok]], "score": top[ok]})
+            return pd.DataFrame({"id": a["id"][:0], "similar_id": b["id"][:0], "score": np.zeros(0)})
+        return _best(a, b, threshold)
 
     keys = ["la", "ba", "lb", "bb"]
     right = right.toDF("id", "g", *keys)
+    # pairs of blocks are much work for few bytes: a given number keeps them from being put together by size
+    spark = df.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"id {id_type}, similar_id {id_type}, score double")
     order = F.struct(F.col("score"), -F.col("similar_id")) if id_type in ("bigint", "int") else F.struct("score", "similar_id")
     return found.groupBy("id").agg(F.max_by(F.struct("similar_id", "score"), order).alias("m")).select("id", "m.similar_id", "m.score")
