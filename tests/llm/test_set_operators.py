@@ -78,6 +78,22 @@ def test_links_between_rings_are_found(table):
     assert set(got.values()) == {0}
 
 
+def test_near_copies_too_different_to_be_linked_meet_nobody(table, monkeypatch):
+    """One text in which every copy changes a tenth of the words for itself: pairs share buckets, few are candidates."""
+    rng, found = random.Random(3), []
+    rows = []
+    for copy in range(80):
+        words = [f"w{i}" for i in range(200)]
+        for at in rng.sample(range(200), rng.randint(18, 24)):
+            words[at] = f"c{copy}x{at}"
+        rows.append((copy, " ".join(words)))
+    pairs = neardup._open_pairs
+    monkeypatch.setattr(neardup, "_open_pairs", lambda *given: found.append(pairs(*given)) or found[0])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(table(rows), size=2).collect()}
+    assert got == plain_components(rows, 2)
+    assert found[0].count() == 0
+
+
 def test_rows_without_or_with_the_same_id(table):
     """Every row is linked and kept or not for itself; of a group the row with the smallest id stays."""
     base = [f"w{i}" for i in range(40)]

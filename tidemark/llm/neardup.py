@@ -7,9 +7,9 @@ missed with a probability below 0.0004.
 
 Exact copies (equal sets) are merged before anything is compared. Every document meets one centre first, the
 most shared of its buckets' centres; confirmed links give components, and only between different ones
-do documents meet the other centres of their buckets. Where a bucket still holds several components, those
-that the triangle inequality does not keep apart are compared in full, block by block, so no link between
-documents of one bucket is lost.
+do documents meet the other centres of their buckets. Where a bucket still holds several components, their
+documents are joined by their rarest shingles: linked ones share one early in the order. Components with such
+documents are compared in full, block by block, so no link between documents of one bucket is lost.
 
 Texts without words have no set: they are linked with nothing and stay. One word (or fewer words than
 a shingle) is one shingle. Every row is a document of its own, also when ids repeat or are null: the
@@ -187,33 +187,43 @@ def _named(placed: DataFrame, label: DataFrame) -> DataFrame:
     return placed.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _by_bucket(rows: DataFrame) -> DataFrame:
-    """Per bucket and component the range of set sizes and of distances from the centre."""
-    return rows.groupBy("bucket", "component").agg(F.min("n_shingles").alias("small"), F.max("n_shingles").alias("big"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+def _spread(rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """id, component, n, h: every distinct shingle of every document in `rows` (id, component)."""
+    kind = rows.schema["id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                h, bounds = _distinct(piece.column("text"), size)
+                n = np.diff(bounds)
+                row = np.repeat(np.arange(len(n)), n)
+                yield pa.RecordBatch.from_arrays([*[piece.column(x).take(pa.array(row)) for x in ("id", "component")], pa.array(n[row], pa.int64()), pa.array(signed(h))], names=["id", "component", "n", "h"])
 
-def _open_pairs(rows: DataFrame, gap: float, percent: int) -> DataFrame:
-    """Components (c < d) that share a bucket and that sizes and distances do not keep apart."""
-    mine = _by_bucket(rows)
-    several = mine.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
-    mine = mine.join(several, "bucket", "left_semi").withColumnRenamed("component", "c")
-    other = mine.toDF("bucket", "d", "small2", "big2", "lo2", "hi2")
-    sizes = (F.col("big") * 100 >= F.col("small2") * percent) & (F.col("big2") * 100 >= F.col("small") * percent)
-    rings = (F.col("lo") <= F.col("hi2") + gap + 1e-9) & (F.col("lo2") <= F.col("hi") + gap + 1e-9)
-    return mine.join(other, "bucket").filter((F.col("c") < F.col("d")) & sizes & rings).select("c", "d").distinct()
-
+    return rows.join(texts, "id").select("id", "component", "text").mapInArrow(run, f"id {kind}, component {kind}, n bigint, h bigint")
 
-def _distance(pairs: DataFrame) -> DataFrame:
-    """(id, centre, far): Jaccard distances of compared pairs."""
-    return pairs.select(F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
 
+def _open_pairs(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Components (c < d) whose documents (id, component) may be linked, by the first shingle they share.
 
-def _placed(shared: DataFrame, star: DataFrame) -> DataFrame:
-    """bucket, id, n_shingles and the least and most distance (lo, hi) from the bucket's centre: the same where they have met."""
-    least = 1 - F.least("n_shingles", "m") / F.greatest("n_shingles", "m")
-    centre = F.col("id") == F.col("centre")
-    lo, hi = F.when(centre, 0.0).otherwise(F.coalesce("far", least)), F.when(centre, 0.0).otherwise(F.coalesce("far", F.lit(1.0)))
-    return shared.join(_distance(star), ["id", "centre"], "left").select("bucket", "id", "n_shingles", lo.alias("lo"), hi.alias("hi"))
+    Shingles are ordered by the number of components that have them. When x and y of n <= m shingles are linked, they
+    share at least percent / (100 + percent) * (n + m), so behind their first common shingle, itself included,
+    either has as many: that shingle stands early in both. Shingles of one component only come first and need no
+    rows, so documents that differ from all others in enough of them meet nobody.
+    """
+    every = keep(_spread(rows, texts, size), "shingles")
+    common = every.groupBy("h", "component").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    met = every.join(common, "h")
+    order = Window.partitionBy("id").orderBy(F.desc("held"), "h")
+    # what stands behind a shingle: counted from the end of the order, all of it held by several components
+    placed = met.withColumn("reach", F.row_number().over(order).cast("bigint")).filter(F.col("reach") * 100 >= F.col("n") * percent)
+    by = lambda found, side: found.groupBy("h", "component").agg(F.min("n").alias(f"small{side}"), F.max("n").alias(f"big{side}"), F.max("reach").alias(f"reach{side}"))
+    placed = keep(placed.select("h", "component", "n", "reach"), "prefixes")
+    less = by(placed.filter(F.col("reach") * (100 + percent) >= F.col("n") * 2 * percent), 1).withColumnRenamed("component", "c")
+    more = by(placed, 2).withColumnRenamed("component", "d")
+    sizes = (F.col("small1") <= F.col("big2")) & (F.col("big1") * 100 >= F.col("small2") * percent)
+    enough = F.least("reach1", "reach2") * (100 + percent) >= (F.col("small1") + F.col("small2")) * percent
+    pairs = less.join(more, "h").filter((F.col("c") != F.col("d")) & sizes & enough)
+    return pairs.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct()
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", a: int = A_TUPLES, b: int = B_TUPLES, rows: int = ROWS, key_col: str | None = None) -> DataFrame:
@@ -247,17 +257,11 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = PERCENT, id_col
     label = extend(label, more.filter(_similar(percent)).select("a", "b"))
     star = star.unionByName(more)
 
-    # Jaccard distance obeys the triangle inequality: documents whose distances from one centre differ by more
-    # than the gap cannot be linked. Only buckets that hold several components need these distances.
-    gap = (100 - percent) / 100
-    named = _named(shared.filter("n > 2"), label)
+    # only buckets that hold several components are open; of these, whatever may be linked is compared in full, once
+    named = keep(_named(shared.filter("n > 2").select("bucket", "id"), label), "named")
     several = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    mixed = keep(shared.join(several, "bucket", "left_semi"), "mixed")
-    unmet = mixed.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    star = star.unionByName(keep(_compared(unmet, texts, size), "unmet"))
-    placed = keep(_placed(mixed, star), "placed")
-    # whatever components still share a bucket are compared in full, once
-    pairs = _open_pairs(_named(placed, label), gap, percent)
+    mixed = keep(named.join(several, "bucket", "left_semi").select("id", "component").distinct(), "mixed")
+    pairs = _open_pairs(mixed, texts, size, percent)
     counts = label.groupBy("component").agg(F.count(F.lit(1)).alias("count"))
     sized = pairs.join(counts.toDF("c", "nc"), "c", "left").join(counts.toDF("d", "nd"), "d", "left").fillna(1, ["nc", "nd"])
     swap = F.col("nd") > F.col("nc")
