@@ -253,6 +253,16 @@ def test_order_of_words_counts(table):
         assert kept.perplexity < 0.6 * shuffled.perplexity
 
 
+def test_contexts_are_averaged_over_several_draws(table):
+    rng = random.Random(11)
+    rows = [(i, " ".join([f"w{rng.randint(0, 15)}" for _ in range(30)] + [f"only{i}"])) for i in range(60)]
+    pairs = lm.train_contexts(table(rows))[0][2].collect()
+    discount = next(1 - r.p for r in pairs if r.c == 1)
+    tables = [(r.c - r.p) / discount for r in pairs if r.c > 2]
+    assert all(1 <= round(t, 6) <= r.c for t, r in zip(tables, [r for r in pairs if r.c > 2]))
+    assert any(abs(t - round(t)) > 0.1 for t in tables)  # one draw gives whole tables only
+
+
 def test_spelling_is_a_distribution():
     rng = random.Random(9)
     words = pa.array(["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(300)])

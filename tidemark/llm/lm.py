@@ -6,8 +6,11 @@ words by restaurants of contexts: two symbols before, whose parent is the contex
 parent is the context of none, over a uniform base. A table sends one customer to its parent.
 
 A document's word opens a table at its first use, and at later ones as drawn from the probability of all
-words. The seating of contexts, words and spelling is drawn in sweeps: each draws the tables of every dish,
-given the other tables of the sweep before. Word probabilities are averaged over the last sweeps.
+words. The seating of words and spelling is drawn in sweeps: each draws the tables of every dish, given the
+other tables of the sweep before. Then contexts are drawn several times, each time given the words and the
+tables of the draw before, and followed by a sweep of the words that goes on from the last one. Probabilities
+of words and tables of contexts are averaged over the last draws. A word met once after another has one table
+there in every draw, so only pairs met more often are drawn.
 
 A document is scored in order: its own restaurant fills up as its words are read, so the probability
 of a text is the product of proper predictive probabilities, unknown words included.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.batches import Words, mix, pieces, signed, span_hashes, text_bytes
-from tidemark.llm.store import keep
+from tidemark.llm.store import forget, keep
 
 #: Gibbs sweeps, and how many of the last are averaged.
 SWEEPS, AVERAGED = 5, 3
-#: Draws of the context restaurants' seats; each is followed by the sweeps of the words.
-CONTEXT_SWEEPS = 1
+#: Draws of the context restaurants' seats, each followed by a sweep of the words; the last are averaged as well.
+CONTEXT_SWEEPS = 5
 #: Words that travel to every executor with their probabilities (24 bytes each); the rest is joined.
 FREQUENT = 1 << 18
 STRENGTH, DOC_STRENGTH = 1.0, 100.0
@@ -265,8 +269,20 @@ def seat_contexts(pairs: DataFrame, model: DataFrame, contexts: DataFrame, disco
     return met.select("before", "key", "c", "tables", "p").mapInArrow(run, "pair bigint, before bigint, key bigint, c bigint, t bigint")
 
 
-def train_contexts(df: DataFrame, text_col: str = "text") -> tuple[tuple[DataFrame, DataFrame, DataFrame], list[Sweep], Seats, dict]:
-    """((words, contexts, pairs), sweeps, seats, totals); each table has key, c and p: of a word its probability,
+def single_pairs(pairs: DataFrame, discount: float) -> DataFrame:
+    """key, c, p of the pairs met once: one customer at one table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, key = [batch.column(x).to_numpy().view(np.uint64) for x in ("before", "key")]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(pair_keys(before, key)))], names=["key"])
+
+    keys = pairs.filter("c = 1").select("before", "key").mapInArrow(run, "key bigint")
+    return keys.select("key", F.lit(1).cast("bigint").alias("c"), F.lit(1.0 - discount).alias("p"))
+
+
+def train_contexts(df: DataFrame, text_col: str = "text") -> tuple[tuple[DataFrame, DataFrame, DataFrame], list[tuple[Sweep, Seats]], dict]:
+    """((words, contexts, pairs), draws, totals); each table has key, c and p: of a word its probability,
     of a context the share left to all words, of a pair the customers less the discount of their tables."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,18 +290,37 @@ def train_contexts(df: DataFrame, text_col: str = "text") -> tuple[tuple[DataFra
             yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(signed(word_keys(batch.column("word")))), batch.column("c"), batch.column("m")], names=["word", "key", "c", "m"])
 
     counts = keep(count_words(df, text_col).mapInArrow(keyed, "word string, key bigint, c bigint, m bigint"), "words")
-    model, sweeps, seats, total = train(counts)
+    model, sweeps, seats, total, state = train(counts)
     pairs = keep(count_pairs(df, model, total["doc_discount"], text_col), "pairs")
     discount = discount_of(*pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first())
-    contexts = pairs.groupBy("before").agg(F.count(F.lit(1)).alias("tables"), F.sum("c").alias("c"))
+    # every pair has one table; what more the drawn ones have is added
+    first = keep(pairs.groupBy("before").agg(F.count(F.lit(1)).alias("tables"), F.sum("c").alias("c")), "contexts")
+    held = keep(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("t")), "held")
+    several = keep(pairs.filter("c > 1"), "several")
+    more = lambda seated, by: seated.groupBy(by).agg(F.sum(F.col("t") - 1).alias("more"))
+    added = lambda name: (F.col(name) + F.coalesce("more", F.lit(0))).alias(name)
+    after = lambda seated: first.join(more(seated, "before"), "before", "left").select("before", "c", added("tables"))
+    contexts, draws, drawn, models = first, [], [], []
     for sweep in range(CONTEXT_SWEEPS):
-        seated = keep(seat_contexts(pairs, model, contexts, discount, sweep), "seated")
-        contexts = keep(seated.groupBy("before").agg(F.sum("t").alias("tables"), F.sum("c").alias("c")), "contexts")
-        tables = seated.groupBy("key").agg(F.sum("t").alias("t"))
-        model, sweeps, seats, _ = train(keep(counts.join(tables, "key", "left").select("word", "key", "c", F.when(F.col("word") == STATS, F.col("m")).otherwise(F.coalesce("t", "m")).alias("m")), "words"))
-    left = contexts.select(F.col("before").alias("key"), "c", ((STRENGTH + discount * F.col("tables")) / (STRENGTH + F.col("c"))).alias("p"))
-    kept = seated.select(F.col("pair").alias("key"), "c", F.greatest(F.col("c") - discount * F.col("t"), F.lit(0.0)).alias("p"))
-    return (model, left, kept), sweeps, seats, total
+        seated = keep(seat_contexts(several, model, contexts, discount, sweep), "seated")
+        contexts = after(seated)
+        tables = held.join(more(seated, "key"), "key", "left").select("key", added("t"))
+        words = keep(counts.join(tables, "key", "left").select("word", "key", "c", F.when(F.col("word") == STATS, F.col("m")).otherwise(F.coalesce("t", "m")).alias("m")), "words")
+        model, sweeps, seats, _, state = train(words, state, 1)
+        draws, drawn, models = draws + [(sweeps[-1], seats)], drawn + [seated], models + [model]
+        forget(words)
+        if len(draws) > AVERAGED:
+            forget(drawn[-AVERAGED - 1])
+            forget(models[-AVERAGED - 1])
+    union = lambda parts: reduce(DataFrame.unionByName, parts[-AVERAGED:])
+    words, seated = union(models).groupBy("key").agg(F.max("c").alias("c"), F.avg("p").alias("p")), union(drawn).groupBy("pair", "before", "c").agg(F.avg("t").alias("t"))
+    model, seated = keep(words, "model"), keep(seated, "seated")
+    left = keep(after(seated).select(F.col("before").alias("key"), "c", ((STRENGTH + discount * F.col("tables")) / (STRENGTH + F.col("c"))).alias("p")), "contexts")
+    met = seated.select(F.col("pair").alias("key"), "c", F.greatest(F.col("c") - discount * F.col("t"), F.lit(0.0)).alias("p"))
+    kept = keep(single_pairs(pairs, discount).unionByName(met), "shares")
+    for done in (counts, pairs, first, held, several, seated, *models[-AVERAGED:], *drawn[-AVERAGED:]):
+        forget(done)
+    return (model, left, kept), draws[-AVERAGED:], total
 
 
 def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -318,17 +353,20 @@ def word_keys(words: pa.Array) -> np.ndarray:
     return span_hashes(data, offsets[:-1], offsets[1:])
 
 
-def train(counts: DataFrame) -> tuple[DataFrame, list[Sweep], Seats, dict]:
-    """(key, c, p of every word; the averaged sweeps; seats; totals) from the kept rows of `count_words`."""
+def train(counts: DataFrame, state: tuple[int, Speller, float] | None = None, rounds: int = SWEEPS) -> tuple[DataFrame, list[Sweep], Seats, dict, tuple[int, Speller, float]]:
+    """(key, c, p of every word; the averaged sweeps; seats; totals; state) from the kept rows of `count_words`.
+
+    state: the number, spelling and tables that the next sweep starts from; without one sweeps begin anew.
+    """
     spark = counts.sparkSession
     words = counts.filter(F.col("word") != STATS)
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.count_if(F.col("m") == 1).alias("once"), F.count_if(F.col("m") == 2).alias("twice")).first().asDict()
     stats = counts.filter(F.col("word") == STATS).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
     total["doc_discount"] = discount_of(*map(float, stats)) if stats[0] else 0.5
     seats = Seats(discount_of(float(total["once"]), float(total["twice"])), float(total["m"]))
-    speller = spell(np.zeros(0, np.int64), np.zeros(0), 0)
-    tables, sweeps = float(total["v"]), []
-    for number in range(SWEEPS):
+    begun, speller, tables = state or (0, spell(np.zeros(0, np.int64), np.zeros(0), 0), float(total["v"]))
+    sweeps = []
+    for number in range(begun, begun + rounds):
         sweep = Sweep(number, speller, tables)
         sent = spark.sparkContext.broadcast((sweep, seats))
 
@@ -363,7 +401,7 @@ def train(counts: DataFrame) -> tuple[DataFrame, list[Sweep], Seats, dict]:
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), batch.column("c"), pa.array(p / len(drawn))], names=["key", "c", "p"])
 
     model = keep(words.select("word", "c", "m").mapInArrow(predict, "key bigint, c bigint, p double"), "model")
-    return model, sweeps, seats, total
+    return model, sweeps, seats, total, (begun + rounds, speller, tables)
 
 
 def _triples(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -407,17 +445,17 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     score (log10 probability by the model) and perplexity (10 to the minus mean score per token).
     """
     spark = df.sparkSession
-    tables, sweeps, seats, total = train_contexts(df.filter(training), text_col)
+    tables, draws, total = train_contexts(df.filter(training), text_col)
     tops = [frequent(x) for x in tables]
     n, v, discount = float(total["n"]), float(total["v"]), total["doc_discount"]
     below = n + 0.5 * (v + 1)
-    sent = spark.sparkContext.broadcast(([x[1:] for x in tops], sweeps, seats))
+    sent = spark.sparkContext.broadcast(([x[1:] for x in tops], draws))
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"key bigint, row bigint, doc_id {kind}, held_out boolean, place bigint, kind int, n_tokens bigint, n_known bigint, " + ", ".join(f"{x} double" for x in NUMBERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ((keys, counts, probs), (context_keys, context_counts, lefts), (pairs, _, shares)), drawn, held = sent.value
-        mean = lambda of: sum((STRENGTH + held.discount * s.tables) / (STRENGTH + held.customers) * of(s) for s in drawn) / len(drawn)
+        ((keys, counts, probs), (context_keys, context_counts, lefts), (pairs, _, shares)), drawn = sent.value
+        mean = lambda of: sum((STRENGTH + held.discount * s.tables) / (STRENGTH + held.customers) * of(s) for s, held in drawn) / len(drawn)
         at_end = mean(lambda s: s.speller.end())
         for batch in batches:
             for piece in pieces(batch):
@@ -455,7 +493,7 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
                     if not len(key):
                         continue
                     size, index = len(key), pa.array(text, pa.int64())
-                    columns = [pa.array(signed(key)), *[piece.column(x).take(index) for x in ("row", "id", "held_out")], pa.nulls(size, pa.int64()) if place is None else pa.array(place, pa.int64()), pa.array(np.full(size, code, np.int32))]
+                    columns = [pa.array(signed(key)), piece.column("row").take(index), *[piece.column(x) if code == SUMS else pa.nulls(size, piece.column(x).type) for x in ("id", "held_out")], pa.nulls(size, pa.int64()) if place is None else pa.array(place, pa.int64()), pa.array(np.full(size, code, np.int32))]
                     columns += [pa.array(more[x], pa.int64()) if x in more else pa.nulls(size, pa.int64()) for x in ("n_tokens", "n_known")]
                     columns += [pa.array(more[x], pa.float64(), from_pandas=True) if x in more else pa.nulls(size, pa.float64()) for x in NUMBERS]
                     yield pa.RecordBatch.from_arrays(columns, names=NAMES)
@@ -465,7 +503,8 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     rare = [x.filter(F.col("c") < top[0]).select("key", "c", "p") for x, top in zip(tables, tops)]
     met = rows.join(rare[0].unionByName(rare[1]).unionByName(rare[2]), "key", "left")
     c, p, is_ = F.coalesce("c", F.lit(0)), F.col("p"), lambda code: F.col("kind") == code
-    token = met.groupBy("row", "doc_id", "place").agg(
+    token = met.groupBy("row", "place").agg(
+        F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.when(is_(WORD), (c > 0).cast("bigint")).otherwise(F.col("n_known"))).alias("n_known"),
@@ -479,7 +518,7 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
         F.max(F.when(is_(CONTEXT), 1 / (STRENGTH + c)).otherwise(F.col("share"))).alias("share"),
     )
     value = F.when(F.col("place").isNull(), F.col("score")).otherwise(F.log10(F.col("near") + F.col("fresh") * (F.col("own") * F.col("share") + F.col("left") * F.col("p_word"))))
-    out = token.groupBy("row", "doc_id").agg(F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known")], F.sum("base").alias("base_score"), F.sum(value).alias("score"))
+    out = token.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known")], F.sum("base").alias("base_score"), F.sum(value).alias("score"))
     return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", F.coalesce("n_known", F.lit(0)).alias("n_known"), F.lit(int(n)).cast("bigint").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
