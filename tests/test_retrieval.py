@@ -74,6 +74,13 @@ def test_rerank_without_scores_keeps_order(spark):
     assert got == [(1, 1, "b"), (1, 2, "a"), (1, 3, "c"), (2, 1, "a"), (2, 2, "b")]
 
 
+def test_rerank_by_scores_the_hits_carry(spark):
+    hits = spark.createDataFrame([(1, "a", 0.9, 1, None), (1, "b", 0.8, 2, 7.0), (1, "c", 0.7, 3, 1.0), (2, "a", 0.5, 1, None), (2, "b", 0.4, 2, None)], "query_id int, id string, score double, rank int, given_score double")
+    got = fusion.rerank(hits, None, 2, 5)
+    assert sorted((r.query_id, r["rank"], r.id) for r in got.collect()) == [(1, 1, "b"), (1, 2, "a"), (1, 3, "c"), (2, 1, "a"), (2, 2, "b")]
+    assert got.columns == fusion.rerank(hits.drop("given_score"), hits.select("query_id", "id", "given_score"), 2, 5).columns
+
+
 def test_parents_pool_children(spark):
     hits = spark.createDataFrame(
         [(1, "child_a", "parent_1", "child", 0.4), (1, "child_b", None, "child", 0.9), (1, "lone", None, "child", 0.2)], "query_id int, id string, parent_id string, chunk_type string, score double"

@@ -51,6 +51,29 @@ def test_both_layouts_match_brute_force(spark):
             assert {(r.query_id, r.id, r.rank) for r in got.collect()} == want
 
 
+def test_blocks_of_the_best_are_long(spark, monkeypatch):
+    """With `k` a query meets few blocks of items, whatever their number: copies and answers shuffled follow the rows."""
+    rows = vectors(600)
+    items = spark.createDataFrame(rows, SCHEMA)
+    asked = items.withColumnRenamed("id", "query_id")
+    for name, size in (("GRID_ROWS", 16), ("MOST_BLOCK_ROWS", 32), ("TOP_QUERY_ROWS", 64), ("TOP_ITEM_ROWS", 256), ("PIECE_ROWS", 50)):
+        monkeypatch.setattr(vector, name, size)
+    blocks = lambda *most: items.agg(vector._blocks(None, *most).alias("n")).first().n
+    assert (blocks(32), blocks(vector.TOP_QUERY_ROWS), blocks(vector.TOP_ITEM_ROWS, 4)) == (19, 16, 4)
+    got = vector.similar(asked, items, k=3, threshold=0.1, skip_same_id=True, broadcast_rows=0)
+    assert {(r.query_id, r.id, r.rank) for r in got.collect()} == brute(rows, 3, 0.1, None, True)
+
+
+def test_equal_scores_do_not_pass_the_cut():
+    """Of many copies of a vector a block keeps `k`, those with the smallest ids."""
+    import pandas as pd
+
+    for ids in (np.arange(3000)[::-1], np.array([f"x{i:04d}" for i in range(3000)], object)[::-1]):
+        same = pd.DataFrame({"iid": ids, "grp": 0, "vec": [np.ones(4, np.float32)] * len(ids)})
+        got = vector._best(same.rename(columns={"iid": "qid"})[:5], same, 7, float("-inf"), False, 0.0)
+        assert len(got) == 35 and all(g["iid"].tolist() == sorted(ids)[:7] for _, g in got.groupby("qid"))
+
+
 def test_all_pairs_above_a_threshold(spark):
     rows = vectors(80)
     items = spark.createDataFrame(rows, SCHEMA)
