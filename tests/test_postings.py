@@ -67,3 +67,14 @@ def test_a_new_version_replaces_the_old_one(spark, tmp_path):
     assert {r.id for r in postings.search_index(index, asked.filter("query_id = 90"), 50).collect()} == set(range(50, 62))
     empty = postings.build_index(docs.limit(0), str(tmp_path / "none"))
     assert postings.search_index(empty, asked, 5).count() == 0
+
+
+def test_postings_are_shuffled_in_blocks_only(spark, tmp_path):
+    """Grouping by range and term, and scoring, find the rows dealt by range: no exchange carries single postings."""
+    docs, asked = frames(spark, 9, 200)
+    index = postings.build_index(docs, str(tmp_path / "ix"), range_docs=16)
+    found = postings.chosen_ranges(index, asked, 5, query_id="query_id", query_col="query", k1=1.5, b=0.75, first_ranges=1)
+    plan = found.scores(found.bounds)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert any("hashpartitioning(range" in line for line in exchanges)
+    assert not any("term#" in line.split("hashpartitioning")[1] or "query_id" in line for line in exchanges if "range" in line)

@@ -2,8 +2,9 @@
 
 Documents are dealt into ranges of about RANGE_DOCS. The postings of a term in a range are one block: the
 document ids, term counts and lengths in arrays, and beside them the largest count and the smallest
-length. A block is bounded by its range, so no term, however common, makes a long row. Blocks lie in
-folders by term bucket, sorted by term, so a search reads the folders and row groups of its terms only.
+length. A block is bounded by its range, so no term, however common, makes a long row. Documents are
+shuffled by range, once, and the blocks of a range are made and written where it lies: in folders by term bucket,
+sorted by term within a file, so a search reads the folders and pages of its terms only.
 
 A search (block-max pruning) runs in three steps, all of them joins and aggregates:
 
@@ -83,12 +84,13 @@ def build_index(docs: DataFrame, path: str, id_col: str = "id", text_col: str =
     n_ranges = rows.select(F.greatest(F.ceil(F.count(F.lit(1)) / range_docs), F.lit(1)).cast("int")).first()[0]
     counted = term_counts(rows, id_col, text_col).select(F.pmod(F.xxhash64("id"), F.lit(n_ranges)).cast("int").alias("range"), "id", "len", "terms")
     versions.publish(counted, f"{path}/docs")  # texts are read and cut into tokens once
-    postings = versions.read_current(spark, f"{path}/docs").select("range", "id", "len", F.explode("terms").alias("t")).select("range", "id", "len", "t.term", "t.tf")
+    # dealt by range, which grouping by range and term then finds in place: postings are not shuffled
+    dealt = versions.read_current(spark, f"{path}/docs").repartition("range")
+    postings = dealt.select("range", "id", "len", F.explode("terms").alias("t")).select("range", "id", "len", "t.term", "t.tf")
     block = F.array_sort(F.collect_list(F.struct("id", "tf", "len")))
     blocks = postings.groupBy("range", "term").agg(block.alias("b"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len"))
     shaped = blocks.select(bucket_of(F.col("term")).alias("bucket"), "term", "range", F.size("b").alias("n"), F.col("b.id").alias("ids"), F.col("b.tf").alias("tfs"), F.col("b.len").alias("lens"), "most_tf", "least_len")
-    laid = shaped.repartitionByRange(F.col("bucket"), F.col("term"), F.col("range")).sortWithinPartitions("bucket", "term", "range")
-    versions.publish(laid, f"{path}/blocks", partition_by=("bucket",))
+    versions.publish(shaped.sortWithinPartitions("bucket", "term", "range"), f"{path}/blocks", partition_by=("bucket",))
     return Index(spark, path)
 
 
@@ -129,10 +131,12 @@ def chosen_ranges(index: Index, queries: DataFrame, k: int, *, query_id: str, qu
 
     def scores(pairs: DataFrame) -> DataFrame:
         """Full scores of all documents in the given (question, range) pairs that hold a term of the question."""
-        terms = pairs.select("qid", "range").join(sent(weights), "qid")
-        posts = near.select("term", "range", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("p")).join(terms, ["term", "range"])
+        here = pairs.groupBy("range").agg(F.collect_set("qid").alias("qids"))
+        # blocks are dealt by range, so the scores of a document are summed in place and its postings are not shuffled for each question
+        posts = near.repartition("range").join(here, "range").join(sent(weights), "term").filter(F.array_contains("qids", F.col("qid")))
+        parts = posts.select("range", "qid", "idf", F.explode(F.arrays_zip("ids", "tfs", "lens")).alias("p"))
         part = F.col("idf") * _part(F.col("p.tfs"), F.col("p.lens"), mean, k1, b)
-        found = posts.groupBy(F.col("qid").alias(query_id), F.col("p.ids").alias("id")).agg(settle(F.sum(part), SCORE_DIGITS).alias("score"))
+        found = parts.groupBy("range", F.col("qid").alias(query_id), F.col("p.ids").alias("id")).agg(settle(F.sum(part), SCORE_DIGITS).alias("score")).drop("range")
         return found.filter(F.col("score") > 0)
 
     first = top_rows(bounds, ["qid"], [F.col("bound").desc(), F.col("range")], first_ranges, "n")
