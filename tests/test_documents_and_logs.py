@@ -42,6 +42,28 @@ def test_children_belong_to_parents(spark):
     assert all(p.id.endswith("_parent") for p in parents.values()) and len({r.id for r in rows}) == len(rows)
 
 
+def test_chunks_leave_in_small_frames(spark, monkeypatch):
+    """A batch of many documents is not turned into one frame of all their chunks; the chunks are the same."""
+    df = spark.createDataFrame([(str(i), TEXT * (i % 3)) for i in range(60)] + [("n", None)], "id string, content string").coalesce(1)
+    whole = chunking.chunk_parent_child(df, (600, 60), (200, 20))
+    key = lambda rows: sorted(map(str, rows))
+    want = key(whole.collect())
+    monkeypatch.setattr(chunking, "PIECE_CHARS", 2000)
+    assert key(chunking.chunk_parent_child(df, (600, 60), (200, 20)).collect()) == want and len(want) > 300
+    frames = []
+    monkeypatch.setattr(chunking, "spread", lambda rows: Rows(rows.toArrow().to_batches()))
+
+    class Rows:
+        def __init__(self, batches):
+            self.batches = batches
+
+        def mapInArrow(self, run, schema):
+            frames.extend(run(iter(self.batches)))
+
+    chunking.chunk_parent_child(df, (600, 60), (200, 20))
+    assert sum(f.num_rows for f in frames) == len(want) and max(sum(map(len, f.column("text").to_pylist())) for f in frames) < 3000
+
+
 def test_memory_blocks_and_samples(spark):
     text = "## A\nshort\n## B\n" + "- one " + "x" * 300 + "\n- two " + "y" * 300
     df = spark.createDataFrame([("m", text)], "id string, content string")

@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,9 @@ HEADING = re.compile(r"(#{1,6})\s+(.+?)\s*$")
 LEVELS = 6
 BLANK_LINES = re.compile(r"\n\s*\n")
 LINE_ENDS = "\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
+#: Characters of the chunks of one frame, about.
+PIECE_CHARS = 1 << 20
+ARROW_TYPES = {"string": pa.string(), "int": pa.int32()}
 CHUNK_SCHEMA = (
     "id string, document_id string, chunk_index int, text string, heading_path string, line_start int, "
     "line_end int, token_count int, content_hash string, parent_id string, chunk_type string, parent_chunk_index int"
@@ -123,17 +126,24 @@ def _families(document_id: str, content: str, parent: tuple[int, int], child: tu
 
 
 def _map_documents(docs: DataFrame, cut, id_col: str, content_col: str) -> DataFrame:
-    names = [part.split()[0] for part in CHUNK_SCHEMA.split(",")]
+    """The chunks of all documents. They leave in frames of about PIECE_CHARS, so a task holds one batch of texts and one frame."""
+    schema = pa.schema([pa.field(name, ARROW_TYPES[kind]) for name, kind in (part.split() for part in CHUNK_SCHEMA.split(","))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row for key, text in zip(batch["k"], batch["t"]) if text for row in cut(key, text)]
-            frame = pd.DataFrame(rows, columns=names)
-            frame["parent_chunk_index"] = frame["parent_chunk_index"].astype("Int32")
-            yield frame
+            rows, held = [], 0
+            for key, text in zip(batch.column("k"), batch.column("t")):
+                for row in cut(key.as_py(), text.as_py() or ""):
+                    rows.append(row)
+                    held += len(row["text"])
+                    if held >= PIECE_CHARS:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     slim = spread(docs.select(F.col(id_col).cast("string").alias("k"), F.col(content_col).alias("t")))
-    return slim.mapInPandas(run, CHUNK_SCHEMA)
+    return slim.mapInArrow(run, CHUNK_SCHEMA)
 
 
 def chunk_markdown(docs: DataFrame, max_chars: int = 1200, overlap: int = 120, id_col: str = "id", content_col: str = "content") -> DataFrame:
