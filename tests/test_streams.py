@@ -98,3 +98,13 @@ def test_a_batch_of_a_larger_table_has_several_files(spark, tmp_path, monkeypatc
     assert len(seen) >= 3 and all(len({f for _, f in batch}) > 1 for batch in seen[:-1])
     assert sorted(i for batch in seen for i, _ in batch) == list(range(400))
     assert all(max(a)[0] < min(b)[0] for a, b in zip(seen, seen[1:]))
+
+
+def test_batches_do_not_grow_in_number_with_the_table():
+    """A batch pays for all state partitions: large tables get larger batches of files of bounded size, small ones as before."""
+    from tidemark.registry.stream_queries import layout
+
+    assert layout(100_000) == (5, 16, 2 * 1250) and layout(1_000_000)[:2] == (5, 16)
+    for n in (6_000_000, 36_000_000, 360_000_000):
+        parts, files, most = layout(n)
+        assert parts == 16 and parts * files * most >= n and most <= 100_000
