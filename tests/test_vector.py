@@ -124,3 +124,29 @@ def test_embedding_hook_and_default(spark):
     assert [list(r.embedding) for r in own] == [[12.0, 1.0], [0.0, 1.0]]
     plain = vector.embed(df, "text", dim=16).orderBy("id").collect()
     assert abs(sum(x * x for x in plain[0].embedding) - 1) < 1e-5 and not any(plain[1].embedding)
+
+
+def test_tokens_are_digested_once_for_many_texts(spark, monkeypatch):
+    """The vectors of the default embedding are those of one digest per token, in whatever pieces texts are hashed."""
+    import hashlib
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    lists = [[rng.choice(["aa", "bb", "数据", "don't", "w1"]) for _ in range(rng.choice([0, 1, 5, 40]))] for _ in range(50)]
+    want = []
+    for tokens in lists:
+        values = np.zeros(16)
+        for t in tokens:
+            h = int(hashlib.md5(t.encode()).hexdigest()[:5], 16)
+            values[(h >> 4) % 16] += -1.0 if h & 1 else 1.0
+        size = np.sqrt((values * values).sum())
+        want.append((values / size if size else values).astype(np.float32).tolist())
+    rows, calls, real = pa.array([["zz"], *lists], pa.list_(pa.string()))[1:], [], hashlib.md5
+    monkeypatch.setattr(vector.hashlib, "md5", lambda b: calls.append(b) or real(b))
+    assert vector._hashed(rows, 16).to_pylist() == want and len(calls) == 5
+    monkeypatch.undo()
+    monkeypatch.setattr(vector, "PIECE_TOKENS", 7)
+    df = spark.createDataFrame([(i, " ".join(["aa", "bb", "w1"] * (i % 9))) for i in range(40)], "id int, text string").coalesce(1)
+    got = {r.id: r.embedding for r in vector.embed(df, "text", dim=16).collect()}
+    assert all(got[i] == vector._hashed(pa.array([["aa", "bb", "w1"] * (i % 9)], pa.list_(pa.string())), 16).to_pylist()[0] for i in range(40))
