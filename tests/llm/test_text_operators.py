@@ -286,3 +286,23 @@ def test_frequent_words_and_joined_words_score_alike(table, monkeypatch):
     whole = score()
     monkeypatch.setattr(lm.frequent, "__defaults__", (0,))
     assert score() == whole
+
+
+def test_passes_score_alike_and_leave_only_scores(table, monkeypatch):
+    import os
+    import pickle
+
+    rows = [(i, " ".join(f"w{i * k % 13}" for k in range(1, 20)) + f" only{i}") for i in range(40)]
+    kept, keep = [], lm.keep
+    monkeypatch.setattr(lm, "keep", lambda df, *more: kept.append(keep(df, *more)) or kept[-1])
+    score = lambda: {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in lm.score_texts(table(rows), F.col("doc_id") % 4 > 0).collect()}
+    monkeypatch.setattr(lm.frequent, "__defaults__", (5,))  # most is looked up
+    whole = score()
+    folders = {file.rsplit("/", 1)[0].removeprefix("file:") for df in kept for file in df.inputFiles()}
+    assert len(whole) == 40 and {os.path.basename(x).split("-")[0] for x in folders if os.path.exists(x) and any(f.endswith(".parquet") for f in os.listdir(x))} == {"scores"}
+    monkeypatch.setattr(lm, "PASS_BYTES", 1_000)
+    monkeypatch.setattr(lm, "LEAST_DEALS", 3)
+    assert score() == whole
+    speller = lm.spell(lm._triples(pa.array(["ab", "abc", "b"]))[0], lm.np.ones(9), 1)
+    again = pickle.loads(pickle.dumps(speller))
+    assert (again.table == speller.table).all() and (again.row == speller.row).all() and len(pickle.dumps(speller)) < speller.table.nbytes + speller.row.nbytes
