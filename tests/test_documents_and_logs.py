@@ -223,3 +223,22 @@ def test_named_references_need_their_semicolon(spark):
     page = "<h1>a &amp; b &amp</h1><p>&ampX; &copy; &#65;&#x42 &amp;quot; &nope; &notin;</p>"
     got = spark.createDataFrame([(page,)], "h string").select(documents.html_text(F.col("h")).alias("x")).first().x
     assert got == "a & b &amp&ampX; © AB &quot; &nope; ∉"
+
+
+def test_lines_and_words_of_odd_posts(spark):
+    import re
+
+    texts = ["", " \n", "a\r\nb\x0bc\x0cd\x1ce\x1df\x1eg\x85h\u2028i\u2029j", "\u3000x y \n\n\t z \r", "one", "岗位要求：　RAG\nagent \x1f\n职位: \n", "AGENT\n量化 agents 市场风险 市场", "rag_ RAG. İbi BI KBI"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    lines = {r.id: r.x for r in df.select("id", classify.post_lines(F.col("text")).alias("x")).collect()}
+    assert lines == {i: [x.strip() for x in re.split("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", t) if x.strip()] for i, t in enumerate(texts)}
+    sections = {r.id: r.x for r in df.select("id", classify.post_sections(F.col("text")).alias("x")).collect()}
+    assert (sections[5].duties, sections[5].needs, sections[5].title) == ("", "RAG\nagent", "")
+    words = ("Agent", "RAG", "BI", "市场", "量化")
+    rules = classify.PostRules(exclude=(), irrelevant=words, intent=(), target=(), whole_words=words[:3])
+    got = {r.id: r.matched_irrelevant for r in classify.classify_messages(df, rules).collect()}
+
+    def whole(w, t):
+        return re.search(rf"(?<![A-Za-z0-9_]){w}(?![A-Za-z0-9_])", t, re.I | re.A)
+
+    assert got[6] == ["Agent", "市场", "量化"] and got[7] == [w for w in words[:3] if whole(w, texts[7])]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,23 +61,39 @@ def _quoted(word: str) -> str:
     return r"\Q" + word + r"\E"
 
 
-def _meets(text: Column, word: str, rules: PostRules) -> Column:
+def _meets(text: Column, low: Column, word: str, rules: PostRules) -> Column:
+    """Whether `text` holds the word; `low` is the lowered text. A plain search comes first: a pattern reads only texts that can meet it."""
     for base, follow in rules.unless_followed:
         if word == base:
-            return F.rlike(text, F.lit(f"{_quoted(base)}(?!{_quoted(follow)})"))
+            return F.contains(text, F.lit(base)) & F.rlike(text, F.lit(f"{_quoted(base)}(?!{_quoted(follow)})"))
     if word in rules.whole_words:
-        return F.rlike(text, F.lit(rf"(?i)(?<![A-Za-z0-9_]){_quoted(word)}(?![A-Za-z0-9_])"))
-    return F.contains(F.lower(text), F.lit(word.lower()))
+        whole = F.rlike(text, F.lit(rf"(?i)(?<![A-Za-z0-9_]){_quoted(word)}(?![A-Za-z0-9_])"))
+        return F.contains(low, F.lit(word.lower())) & whole if word.isascii() else whole
+    return F.contains(low, F.lit(word.lower()))
 
 
-def matched(text: Column, words: Sequence[str], rules: PostRules) -> Column:
+def matched(text: Column, low: Column, words: Sequence[str], rules: PostRules) -> Column:
     if not words:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(_meets(text, w, rules), F.lit(w)) for w in words]))
+    return F.array_compact(F.array(*[F.when(_meets(text, low, w, rules), F.lit(w)) for w in words]))
+
+
+#: Line breaks other than "\n", see `tx.LINE_BREAK`.
+RARE_BREAKS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+
+
+def post_lines(text: Column) -> Column:
+    """The stripped lines of a text that are not empty."""
+    ends = lambda l: F.concat(F.substring(l, 1, 1), F.substring(l, -1, 1))
+    rare = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in RARE_BREAKS])
+    split = F.when(rare, F.split(text, tx.LINE_BREAK, -1)).otherwise(F.split(text, "\n", -1))
+    parts = F.filter(split, lambda l: l != "")
+    return F.filter(F.transform(parts, lambda l: F.when(F.rlike(ends(l), F.lit(tx.SPACE)), tx.strip(l)).otherwise(l)), lambda l: l != "")
 
 
 def post_sections(text: Column) -> Column:
     """Struct of title, duties and needs of a labelled post."""
+    any_label = "(?:" + "|".join(_quoted(name) for name in SECTION_LABELS) + r")\s*[:：]"
 
     def labelled(line: Column) -> Column:
         label, value = F.lit(""), F.lit("")
@@ -86,9 +103,13 @@ def post_sections(text: Column) -> Column:
             label = F.when(hit, name).otherwise(label)
             value = F.when(hit, F.regexp_extract(line, pattern, 1)).otherwise(value)
         clean = tx.strip(tx.squash(F.replace(F.regexp_replace(value, r"#(?=\S)", ""), F.lit("#"), F.lit(" "))))
-        return F.struct(line.alias("line"), label.alias("label"), clean.alias("value"))
+        named = F.struct(line.alias("line"), label.alias("label"), clean.alias("value"))
+        plain = F.struct(line.alias("line"), F.lit("").alias("label"), F.lit("").alias("value"))
+        # most lines have no label: none is tried on them one by one
+        has = (F.contains(line, F.lit(":")) | F.contains(line, F.lit("："))) & F.rlike(line, F.lit(any_label))
+        return F.when(has, named).otherwise(plain)
 
-    rows = F.transform(F.filter(F.transform(tx.lines(text), tx.strip), lambda l: l != ""), labelled)
+    rows = F.transform(post_lines(text), labelled)
     start = F.struct(F.lit("").alias("title"), F.lit("").alias("duties"), F.lit("").alias("needs"), F.lit("").alias("at"))
 
     def grow(old: Column, more: Column, when: Column) -> Column:
@@ -104,26 +125,29 @@ def post_sections(text: Column) -> Column:
             at.alias("at"),
         )
 
-    done = F.aggregate(rows, start, step)
-    return F.struct(
-        done["title"].alias("title"), tx.strip(done["duties"]).alias("duties"), tx.strip(done["needs"]).alias("needs")
-    )
+    # what grew are stripped lines, each after a line break
+    shown = lambda done: F.struct(done["title"].alias("title"), *[F.substr(done[n], F.lit(2)).alias(n) for n in ("duties", "needs")])
+    return tx.let(F.aggregate(rows, start, step), shown)
 
 
 def classify_messages(df: DataFrame, rules: PostRules = JOB_RULES, text: str = "text") -> DataFrame:
     """Add the decision (`matched`, `skipped`), the reason and the matched keywords."""
     none = F.array().cast("array<string>")
 
+    def lowered(row: Column) -> Column:
+        parts = {"body": row["body"], **{n: row["s"][n] for n in ("title", "duties", "needs")}}
+        return F.struct(*[x.alias(n) for n, x in parts.items()], *[F.lower(x).alias(f"low_{n}") for n, x in parts.items()])
+
     def found(row: Column) -> Column:
-        title, duties, needs = (row["s"][n] for n in ("title", "duties", "needs"))
-        scope = F.when(title != "", title).otherwise(row["body"])
+        title = row["title"]
+        hits = lambda part, words: matched(row[part], row[f"low_{part}"], words, rules)
         return F.struct(
             title.alias("title"),
-            matched(row["body"], rules.exclude, rules).alias("exclude"),
-            matched(row["body"], rules.intent, rules).alias("intent"),
-            matched(scope, rules.irrelevant, rules).alias("irrelevant"),
-            matched(title, rules.target, rules).alias("titled"),
-            F.array_distinct(F.concat(matched(duties, rules.target, rules), matched(needs, rules.target, rules))).alias("inside"),
+            hits("body", rules.exclude).alias("exclude"),
+            hits("body", rules.intent).alias("intent"),
+            F.when(title != "", hits("title", rules.irrelevant)).otherwise(hits("body", rules.irrelevant)).alias("irrelevant"),
+            hits("title", rules.target).alias("titled"),
+            F.array_distinct(F.concat(hits("duties", rules.target), hits("needs", rules.target))).alias("inside"),
         )
 
     def judged(m: Column) -> Column:
@@ -140,8 +164,8 @@ def classify_messages(df: DataFrame, rules: PostRules = JOB_RULES, text: str = "
         return F.struct(m.alias("m"), reason.alias("reason"))
 
     # each step is bound once: a filter on the decision must not repeat the keyword search inside it
-    row = F.struct(F.coalesce(F.col(text), F.lit("")).alias("body"), post_sections(F.coalesce(F.col(text), F.lit(""))).alias("s"))
-    out = df.withColumn("__v", tx.let(tx.let(row, found), judged))
+    row = lambda body: F.struct(body.alias("body"), post_sections(body).alias("s"))
+    out = df.withColumn("__v", tx.let(tx.let(tx.let(tx.let(F.coalesce(F.col(text), F.lit("")), row), lowered), found), judged))
     m, reason = F.col("__v.m"), F.col("__v.reason")
     early = reason.isin("skipped_by_exclude_keywords", "skipped_irrelevant_role", "skipped_no_job_intent_keywords")
     target = (
