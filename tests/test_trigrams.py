@@ -48,3 +48,21 @@ def test_postings_hold_no_texts(spark, tmp_path):
     index = trigrams.TrigramIndex(spark, str(tmp_path / "p"), ["session_key", "seq"])
     index.change(spark.createDataFrame([("s", 1, "user", "Words words"), ("s", 2, "user", "ab")], SCHEMA))
     assert sorted((r.seq, r.gram) for r in index.grams.read().collect()) == sorted((1, g) for g in {"wor", "ord", "rds", "ds ", "s w", " wo"})
+
+
+def test_few_and_many_terms_find_alike(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    index = trigrams.TrigramIndex(spark, str(tmp_path / "f"), ["session_key", "seq"])
+    texts = {("s", i): "".join(rng.choices("abÉé\U0001f600 \U0001f601记", k=rng.randint(0, 12))) for i in range(60)}
+    make = lambda held: spark.createDataFrame([(a, b, "user", t) for (a, b), t in held.items()], SCHEMA)
+    index.change(make({k: "old " + t for k, t in texts.items()}), batch="0")
+    index.change(make(texts), batch="1")
+    words = ["ab", "É", "\U0001f600", "a\U0001f600", "\U0001f600 \U0001f601", "éab", "old", "记"]
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    want = {(w, *k) for w in words for k, t in texts.items() if w.lower() in t.lower()}
+    grams = {(*k, t.lower()[i : i + 3]) for k, t in texts.items() for i in range(len(t) - 2)}
+    assert {tuple(r) for r in index.grams.read().select("session_key", "seq", "gram").collect()} == grams
+    for asked, scanned in ((1_000, 64), (0, 0)):
+        monkeypatch.setattr(trigrams, "ASKED", asked)
+        monkeypatch.setattr(trigrams, "SCANNED", scanned)
+        assert {(r.term, r.session_key, r.seq) for r in index.search(terms).collect()} == want

@@ -14,7 +14,7 @@ all, not once for each batch. Deltas that no kept snapshot names are removed by
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
 from uuid import uuid4
@@ -78,20 +78,21 @@ class DeltaTable:
         parts = [self.spark.read.parquet(f"{self.path}/data/{d.name}/keys").withColumn("__last", F.lit(d.number)) for d in deltas if d.keys]
         return reduce(DataFrame.unionByName, parts).groupBy(*self.keys).agg(F.max("__last").alias("__last")) if parts else None
 
-    def _live(self, deltas: list[Delta], schema: str) -> DataFrame:
+    def _live(self, deltas: list[Delta], schema: str, among: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         rows, later = self._rows(deltas, schema), self._keys(deltas[1:])
+        rows = among(rows) if among else rows
         if later is not None:
             later = small_side(later.select(*[F.col(k).alias(f"__k_{k}") for k in self.keys], "__last"))
             same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in self.keys])
             rows = rows.join(later, same & (F.col("__last") > F.col("__n")), "left_anti")
         return rows.drop("__n")
 
-    def read(self, snapshot: str | None = None) -> DataFrame:
-        """The rows of the current snapshot, or of the named one."""
+    def read(self, snapshot: str | None = None, among: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The rows of the current snapshot, or of the named one; `among` filters rows before they are held against later changes."""
         found = self.load(snapshot) if snapshot else self.snapshot()
         if found["schema"] is None:
             raise FileNotFoundError(self.path)
-        return self._live(found["deltas"], found["schema"])
+        return self._live(found["deltas"], found["schema"], among)
 
     def exists(self) -> bool:
         return current_path(self.spark, self.path) is not None
